@@ -4,7 +4,7 @@ import importlib
 
 from graticule.plans import catalog
 
-MODULES = ["cells", "aggregates", "splits"]
+MODULES = ["cells", "aggregates", "splits", "evaluation", "grid"]
 
 
 def _load():

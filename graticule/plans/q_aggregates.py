@@ -226,7 +226,7 @@ def consecutive_runs(spark, d):
 
 # --- 2.6 sort and top -------------------------------------------------------------
 
-@query("sort_axis", "select cell, lon from (select cell, ((c * 3 + 180) % 360) - 180.0 as lon from g)",
+@query("sort_axis", "select cell, lon from (select cell, ((c * 3 + 180) % 360) - cast(180 as double) as lon from g)",
        ["g"])
 def sort_axis(spark, d):
     from graticule.functions.scalar import lon_wrap
