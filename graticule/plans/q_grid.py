@@ -38,7 +38,7 @@ def downsample_bilinear(spark, d):
     return rounded(out, "v", digits=4)
 
 
-SOURCE_GRID, TARGET_GRID = (0.0, 0.0, 1.0), (3.3, -2.7, 0.7)
+SOURCE_GRID, TARGET_GRID = (0.0, 0.0, 1.0), (3.3141592, -2.7182818, 0.7071067)
 
 CUBIC = """case when {t} <= 1 then (1.5 * {t} - 2.5) * {t} * {t} + 1
  when {t} < 2 then ((-0.5 * {t} + 2.5) * {t} - 4) * {t} + 2 else 0.0 end"""
@@ -47,21 +47,20 @@ SPLINE = """case when {t} < 1 then (4 + {t} * {t} * (3 * {t} - 6)) / 6
 
 
 def resample_sql(method, taps, weight):
-    wx, wy = weight.format(t="abs(x - b.c)"), weight.format(t="abs(y - b.r)")
+    wx, wy = weight.format(t="abs(t.x - b.c)"), weight.format(t="abs(t.y - b.r)")
     lo = 1 - taps // 2 if taps > 1 else 0
-    base = "floor(v)" if taps > 1 else "floor(v + 0.5)"
-    x, y = base.replace("v", "x", 1), base.replace("v", "y", 1)
+    x, y = (f"floor(t.{v})" if taps > 1 else f"floor(t.{v} + 0.5)" for v in "xy")
     return f"""
-select cell, '{method}' as method, round(sum({wx} * {wy} * b.v) / sum({wx} * {wy}), 3) as v
+select t.cell, '{method}' as method, round(sum({wx} * {wy} * b.v) / sum({wx} * {wy}), 3) as v
 from t, range({taps}) p(i), range({taps}) q(j), g b
-where b.r = cast({y.replace('(v', '(y')} as bigint) + i + {lo}
-  and b.c = cast({x.replace('(v', '(x')} as bigint) + j + {lo}
-group by cell, method having max(cast(b.r = floor(y + 0.5) and b.c = floor(x + 0.5) as int)) = 1"""
+where b.r = cast({y} as bigint) + i + {lo}
+  and b.c = cast({x} as bigint) + j + {lo}
+group by 1, 2 having max(cast(b.r = floor(t.y + 0.5) and b.c = floor(t.x + 0.5) as int)) = 1"""
 
 
 @query("resample_grid", """
-with t as (select cell, (3.3 + (c + 0.5) * 0.7 - 0.0) / 1.0 - 0.5 as x,
-  (0.0 - (-2.7 - (r + 0.5) * 0.7)) / 1.0 - 0.5 as y from g)""" + " union all ".join([
+with t as (select cell, (3.3141592::double + (c + 0.5::double) * 0.7071067::double - 0.0) / 1.0 - 0.5 as x,
+  (0.0::double - (-2.7182818::double - (r + 0.5::double) * 0.7071067::double)) / 1.0 - 0.5 as y from g)""" + " union all ".join([
     resample_sql("nearest", 1, "1.0"),
     resample_sql("bilinear", 2, "greatest(0.0, 1 - {t})"),
     resample_sql("cubic", 4, CUBIC),
