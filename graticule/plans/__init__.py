@@ -4,7 +4,7 @@ import importlib
 
 from graticule.plans import catalog
 
-MODULES = ["cells", "aggregates", "splits", "evaluation", "grid", "climate", "spatial"]
+MODULES = ["cells", "aggregates", "splits", "evaluation", "grid", "climate", "spatial", "models"]
 
 
 def _load():

@@ -22,14 +22,13 @@ def local_session(app="graticule", cores="*", partitions=8):
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables, as named by the session.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``.  Only a
-    local session without one gets a temporary folder; on a cluster that would
-    not survive the loss of a machine, so it is refused.
+    That is ``spark.checkpoint.dir``.  Only a local session without one gets a
+    temporary folder; on a cluster that would not survive the loss of a machine,
+    so it is refused.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,4 +37,10 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="graticule-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared scratch folder and drop its lineage."""
+    scratch_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -10,6 +10,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 CHUNK_ROWS = 64
 
 
+def posix(path):
+    """Array files are read by position, so they live on a mounted folder."""
+    scheme, _, rest = path.rpartition(":")
+    if scheme not in ("", "file"):
+        raise ValueError(f"array files need a mounted folder, not {path}")
+    return "/" + rest.lstrip("/") if scheme else rest
+
+
 def read_header(path):
     """(dtype, shape, byte offset of the data)."""
     with open(path, "rb") as f:
@@ -48,7 +56,7 @@ class NpyGridSource(DataSource):
 
 class NpyGridReader(DataSourceReader):
     def __init__(self, options):
-        self.path = options["path"].removeprefix("file:")
+        self.path = posix(options["path"])
         self.rows = int(options.get("rows_per_task", CHUNK_ROWS * 4))
         self.nodata = float(options.get("nodata", "nan"))
 
@@ -79,3 +87,37 @@ def scan_npy_grid(spark, path, **options):
     for key, value in options.items():
         reader = reader.option(key, value)
     return reader.load(path)
+
+
+def write_npy_grid(df, path, height, width, value="value"):
+    """Write a grid as one array file in a shared folder, each task its own rows.
+
+    The file is created at full size with missing values, then every task writes
+    its runs of cells in place; doing so twice changes nothing.
+    """
+    path = posix(path)
+    header = f"{{'descr': '<f8', 'fortran_order': False, 'shape': ({height}, {width}), }}"
+    pad = -(len(header) + 11) % 64
+    head = (header + " " * pad + "\n").encode("latin1")
+    with open(path, "wb") as f:
+        f.write(b"\x93NUMPY\x01\x00" + len(head).to_bytes(2, "little") + head)
+        offset = f.tell()
+        row = np.full(width, np.nan).tobytes()
+        for _ in range(height):
+            f.write(row)
+
+    def store(batches):
+        with open(path, "r+b") as f:
+            for pdf in batches:
+                cells = pdf["cell"].to_numpy()
+                values = pdf["value"].to_numpy(float)
+                cuts = np.flatnonzero(np.diff(cells) != 1) + 1
+                for at, run in zip(np.split(cells, cuts), np.split(values, cuts)):
+                    if len(at):
+                        f.seek(offset + int(at[0]) * 8)
+                        f.write(run.astype("<f8").tobytes())
+        yield pa.Table.from_pylist([], pa.schema([("cell", pa.int64())])).to_pandas()
+
+    rows = df.selectExpr("cast(cell as bigint) as cell", f"cast({value} as double) as value")
+    placed = rows.repartitionByRange("cell").sortWithinPartitions("cell")
+    placed.mapInPandas(store, "cell bigint").write.format("noop").mode("overwrite").save()

@@ -20,17 +20,18 @@ HEADER_LINES = 6
 def scan_ascii_grid(spark, path) -> DataFrame:
     """ESRI ASCII grid: six header lines, then one line of numbers per row.
 
-    Spark's text reader keeps no line numbers, but a file's lines come in order
-    of their position: blocks are numbered by offset and lines within a block, so
-    numbering the sorted (block, line) pairs gives true row numbers without
-    reading the file in one task.
+    ``path`` is a file or a folder of parts in name order.  Spark's text reader
+    keeps no line numbers, but blocks are known by file and offset and lines come
+    in order within a block, so numbering the sorted (file, block, line) triples
+    gives true row numbers without reading the file in one task.
     """
     lines = spark.read.text(path).select(
         "value",
+        F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"),
     ).where(F.length(F.trim("value")) > 0)
-    numbered = ordered_rank(lines, ["_block", "_line"], "_row", start=0)
+    numbered = ordered_rank(lines, ["_file", "_block", "_line"], "_row", start=0)
     header = (
         numbered.where(F.col("_row") < HEADER_LINES)
         .select(F.split(F.trim("value"), r"\s+").alias("w"))
