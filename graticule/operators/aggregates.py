@@ -7,7 +7,7 @@ task and group, so a crowded group costs no more than a small one.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graticule.operators.ranks import prefix_sums
+from graticule.operators.ranks import join_back, prefix_sums
 
 
 def _n():
@@ -144,16 +144,17 @@ def quantiles(df: DataFrame, value, at, keys=()) -> DataFrame:
     )
     # the group's wanted ranks travel as one small array next to its values
     packed = want.groupBy(*keys).agg(F.collect_list(F.struct("q", "_pos")).alias("_want"))
-    first = F.col("_upto") - F.col("_n")
-    from graticule.operators.ranks import join_back
     near = (
         join_back(running, packed, keys) if keys
         else running.withColumn("_want", packed.select("_want").scalar())
-    ).select(*keys, F.col(value).alias("_v"), first.alias("_from"), "_upto",
-             F.explode("_want").alias("w"))
-    lo, hi = F.floor("w._pos"), F.ceil("w._pos")
+    ).withColumn("_from", F.col("_upto") - F.col("_n"))
     holds = lambda k: (F.col("_from") <= k) & (k < F.col("_upto"))
-    picked = near.where(holds(lo) | holds(hi)).groupBy(
+    around = lambda w: holds(F.floor(w["_pos"])) | holds(F.ceil(w["_pos"]))
+    # only the values next to a wanted rank leave this step
+    near = near.select(*keys, F.col(value).alias("_v"), "_from", "_upto",
+                       F.explode(F.filter("_want", around)).alias("w"))
+    lo, hi = F.floor("w._pos"), F.ceil("w._pos")
+    picked = near.groupBy(
         *keys, F.col("w.q").alias("q"), F.col("w._pos").alias("_pos")
     ).agg(
         F.max(F.when(holds(lo), F.col("_v"))).alias("_a"),
@@ -187,7 +188,6 @@ def kde_1d(df: DataFrame, value, low, high, points=50, bins=512, keys=()) -> Dat
     step = (high - low) / (points - 1)
     place = F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)),
                                   lambda i: F.lit(low) + i * step))
-    from graticule.operators.ranks import join_back
     joined = join_back(counts, stats, keys) if keys else counts.withColumn(
         "_s", stats.select(F.struct("_n", "_h")).scalar()
     ).withColumns({"_n": F.col("_s._n"), "_h": F.col("_s._h")})

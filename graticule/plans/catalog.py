@@ -1,5 +1,9 @@
 """Registry that ties an operator id to its query and its checking SQL."""
 
+import functools
+
+from graticule.session import ship_package
+
 QUERIES = {}
 SQL = {}
 
@@ -41,7 +45,13 @@ def query(name, sql=None, views=()):
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark, folder):
+            ship_package(spark)
+            return fn(spark, folder)
+
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = with_views(views, sql)
         return fn

@@ -178,9 +178,29 @@ def kde_1d(spark, d):
     return out.select("y", place, F.round("density", 6).alias("density"))
 
 
-@query("kde_2d")
+@query("kde_2d", """
+with s as (select count(*) as n, var_samp(price) as sxx, var_samp(age) as syy,
+  covar_samp(price, age) as sxy, min(price) as x0, max(price) as x1, min(age) as y0,
+  max(age) as y1, pow(count(*), -1.0 / 6) as k from features),
+h as (select *, sxx * k * k as a, sxy * k * k as b, syy * k * k as c,
+  sxx * k * k * syy * k * k - sxy * k * k * sxy * k * k as det from s),
+p as (select cast(least(floor((price - x0) / (x1 - x0) * 60), 59) as integer) as i,
+  cast(least(floor((age - y0) / (y1 - y0) * 60), 59) as integer) as j, count(*) as w
+  from features, s group by 1, 2),
+t as (select gi, gj, w, x0 + gi * (x1 - x0) / 39 - (x0 + (i + 0.5) * (x1 - x0) / 60) as u,
+  y0 + gj * (y1 - y0) / 39 - (y0 + (j + 0.5) * (y1 - y0) / 60) as v, a, b, c, det, n
+  from p, h, range(40) g1(gi), range(40) g2(gj))
+select gi as i, gj as j, round(sum(w * exp(-0.5 * (c * u * u - 2 * b * u * v + a * v * v) / det))
+  / (2 * pi() * sqrt(max(det)) * max(n)) * 1e9, 4) as density from t group by 1, 2""",
+       ["features"])
 def kde_2d(spark, d):
-    return A.kde_2d(X.features(spark, d), "price", "age", points=40, bins=60)
+    f = X.features(spark, d)
+    out = A.kde_2d(f, "price", "age", points=40, bins=60)
+    step = lambda v, name: F.round(
+        (F.col(v) - f.agg(F.min(name)).scalar())
+        / (f.agg(F.max(name)).scalar() - f.agg(F.min(name)).scalar()) * 39).cast("long")
+    return out.select(step("x", "price").alias("i"), step("y", "age").alias("j"),
+                      F.round(F.col("density") * 1e9, 4).alias("density"))
 
 
 @query("land_share", """

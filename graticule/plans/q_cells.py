@@ -510,10 +510,21 @@ def code_sorted(spark, d):
         "c_custkey", "code")
 
 
-@query("yeo_johnson")
+YJ = """case when x >= 0 then case when l = 0 then ln(1 + x) else (pow(x + 1, l) - 1) / l end
+  else case when l = 2 then -ln(1 - x) else -(pow(1 - x, 2 - l) - 1) / (2 - l) end end"""
+
+
+@query("yeo_johnson", f"""
+with x as (select cell, v / 1000 as x from g_missing),
+l as (select round(-2.0 + 0.05 * i, 2)::double as l from range(81) r(i)),
+b as (select l from (select l, -count(*) / 2 * ln(var_pop({YJ})) + (l - 1)
+  * sum(case when x >= 0 then ln(1 + x) else -ln(1 - x) end) as score
+  from x, l where x is not null group by 1) order by score desc limit 1)
+select cell, round({YJ}, 6) as transformed, l as lambda from x, b""", ["g_missing"])
 def yeo_johnson(spark, d):
     df = X.g_missing(spark, d).withColumn("v", F.col("v") / 1000)
-    return scaling.yeo_johnson(df, "v").select("cell", "transformed", "lambda")
+    return scaling.yeo_johnson(df, "v").select(
+        "cell", rnd("transformed").alias("transformed"), "lambda")
 
 
 @query("target_scale", """

