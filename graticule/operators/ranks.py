@@ -47,9 +47,11 @@ def join_back(df: DataFrame, small: DataFrame, keys) -> DataFrame:
     return df.join(renamed, match).drop(*[f"_on_{k}" for k in keys])
 
 
-def _bucketed(df, order, keys, bucket_rows):
+def _bucketed(df, order, keys, bucket_rows, size=None):
     keys = list(keys)
-    if keys:
+    if size is not None:
+        tagged = df.withColumn("_n", size)
+    elif keys:
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         tagged = join_back(df, sizes, keys)
     else:
@@ -72,7 +74,7 @@ def _bucketed(df, order, keys, bucket_rows):
 
 
 def hash_rank(df: DataFrame, seed, key, keys=(), into="rank",
-              bucket_rows=BUCKET_ROWS) -> DataFrame:
+              bucket_rows=BUCKET_ROWS, size=None) -> DataFrame:
     """1-based rank of each row within ``keys`` in random but repeatable order.
 
     ``key`` names the row (unique within its group); its md5 gives the order.
@@ -81,23 +83,24 @@ def hash_rank(df: DataFrame, seed, key, keys=(), into="rank",
     """
     key = [key] if isinstance(key, str) else list(key)
     work = df.withColumn("_h", shuffle_key(seed, *key))
-    placed, by = _bucketed(work, F.col("_h"), keys, bucket_rows)
+    placed, by = _bucketed(work, F.col("_h"), keys, bucket_rows, size)
     inner = Window.partitionBy(*by).orderBy("_h", *key)
     rank = (F.col("_before") + F.row_number().over(inner)).cast("long")
     return placed.withColumn(into, rank).drop("_h", "_n", "_bucket", "_before")
 
 
-def hash_take(df: DataFrame, seed, key, quota, keys=(),
-              bucket_rows=BUCKET_ROWS) -> DataFrame:
+def hash_take(df: DataFrame, seed, key, quota, keys=(), bucket_rows=BUCKET_ROWS,
+              size=None) -> DataFrame:
     """Keep exactly ``quota`` random rows per group (all when it has fewer).
 
     ``quota`` is a number or a column that is constant within the group.  Buckets
-    entirely past the quota are dropped before anything is sorted.
+    entirely past the quota are dropped before anything is sorted.  A caller that
+    knows the groups' sizes passes them as a column and saves a pass.
     """
     key = [key] if isinstance(key, str) else list(key)
     quota = quota if isinstance(quota, Column) else F.lit(quota)
     work = df.withColumn("_h", shuffle_key(seed, *key)).withColumn("_quota", quota)
-    placed, by = _bucketed(work, F.col("_h"), keys, bucket_rows)
+    placed, by = _bucketed(work, F.col("_h"), keys, bucket_rows, size)
     placed = placed.where(F.col("_before") < F.col("_quota"))
     inner = Window.partitionBy(*by).orderBy("_h", *key)
     return (

@@ -1,13 +1,9 @@
 """Splits, balancing and sampling of cells, all in repeatable hash order."""
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graticule.operators.ranks import (
-    hash_rank, hash_take, hash_uniform, join_back, ordered_rank, shuffle_key,
-)
+from graticule.operators.ranks import hash_rank, hash_take, hash_uniform, join_back
 
 
 def distinct_regions_hit(df: DataFrame, region="rid", label="y") -> DataFrame:
@@ -23,8 +19,8 @@ def spatial_split(df: DataFrame, region="rid", label="y", mask=None, seed=42,
     ``mask`` is NULL or the condition ``exclude`` holds.
     """
     regions = distinct_regions_hit(df, region, label)
-    ranked = hash_rank(regions, seed, region, into="_rank")
     n = regions.agg(F.count(F.lit(1))).scalar()
+    ranked = hash_rank(regions, seed, region, into="_rank", size=n)
     code = (
         F.when(F.col("_rank") <= F.floor(F.lit(train) * n), 1)
         .when(F.col("_rank") <= F.floor(F.lit(train + validation) * n), 2)
@@ -53,7 +49,7 @@ def fixed_split(df: DataFrame, region, train, validation, test) -> DataFrame:
 def random_split(df: DataFrame, key="cell", train=0.8, test=0.15, seed=42) -> DataFrame:
     """80 % of all rows train, 15 % of all rows from the rest test (3), others 0."""
     n = df.agg(F.count(F.lit(1))).scalar()
-    ranked = hash_rank(df, seed, key, into="_rank")
+    ranked = hash_rank(df, seed, key, into="_rank", size=n)
     cut = F.floor(F.lit(train) * n)
     code = (
         F.when(F.col("_rank") <= cut, 1)
@@ -81,7 +77,7 @@ def sample_n(df: DataFrame, n, key="cell", seed=42, split="split") -> DataFrame:
 def sample_fraction(df: DataFrame, fraction, key="cell", seed=42) -> DataFrame:
     """The given fraction of the rows, rounded down, without replacement."""
     n = df.agg(F.count(F.lit(1))).scalar()
-    return hash_take(df, seed, key, F.floor(F.lit(fraction) * n))
+    return hash_take(df, seed, key, F.floor(F.lit(fraction) * n), size=n)
 
 
 def balance_by_region(df: DataFrame, split="split", region="rid", label="y",
@@ -93,11 +89,12 @@ def balance_by_region(df: DataFrame, split="split", region="rid", label="y",
     """
     groups = [split, region]
     rows = df.where(F.col(split).isin(1, 2, 3))
-    quota = rows.groupBy(*groups).agg(F.count_if(F.col(label) == 1).alias("_pos"))
-    negatives = join_back(rows.where(F.col(label) == 0), quota, groups)
-    kept = hash_take(negatives, seed, key, F.col("_pos"), groups).drop("_pos")
-    others = rows.where(F.col(label).isNull() | (F.col(label) != 0))
-    return others.unionByName(kept)
+    sizes = rows.groupBy(*groups).agg(
+        F.count_if(F.col(label) == 1).alias("_pos"), F.count(F.lit(1)).alias("_all"))
+    quota = F.when(F.col(label) == 0, F.col("_pos")).otherwise(F.col("_all"))
+    kept = hash_take(join_back(rows, sizes, groups), seed, key, quota, [*groups, label],
+                     size=F.col("_all"))
+    return kept.drop("_pos", "_all")
 
 
 def balance_classes(df: DataFrame, ratio=1.0, label="y", key="cell", seed=42) -> DataFrame:
@@ -106,9 +103,7 @@ def balance_classes(df: DataFrame, ratio=1.0, label="y", key="cell", seed=42) ->
     Fewer positives: int(n_pos / ratio) negatives stay.  Otherwise int(n_neg *
     ratio) positives stay.  With a class missing nothing changes.
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    pos = F.coalesce(counts.where(F.col(label) == 1).select("_n").scalar(), F.lit(0))
-    neg = F.coalesce(counts.where(F.col(label) == 0).select("_n").scalar(), F.lit(0))
+    pos, neg = _class_sizes(df, label)
     no_class = (pos == 0) | (neg == 0)
     quota = (
         F.when(no_class, pos + neg)
@@ -116,7 +111,15 @@ def balance_classes(df: DataFrame, ratio=1.0, label="y", key="cell", seed=42) ->
         .when((F.col(label) == 1) & (pos >= neg), F.floor(neg * F.lit(ratio)))
         .otherwise(pos + neg)
     )
-    return hash_take(df, seed, key, quota, [label])
+    return hash_take(df, seed, key, quota, [label], size=pos + neg)
+
+
+def _class_sizes(df, label):
+    """Number of positives and of negatives, from one pass."""
+    sizes = F.struct(F.count_if(F.col(label) == 1).alias("pos"),
+                     F.count_if(F.col(label) == 0).alias("neg"))
+    both = df.agg(sizes.alias("_sizes")).scalar()
+    return both["pos"], both["neg"]
 
 
 def class_weight(df: DataFrame, ratio, label="y", into="weight") -> DataFrame:
@@ -137,11 +140,11 @@ def balanced_batches(df: DataFrame, batch_size, neg_ratio=1.0, label="y", key="c
     if pos_per == 0:
         raise ValueError("batch size too small for the given ratio of negatives")
     rows = df.where(F.col(label).isin(0, 1))
-    ranked = hash_rank(rows, seed, key, [label], into="_rank")
+    pos, neg = _class_sizes(rows, label)
+    ranked = hash_rank(rows, seed, key, [label], into="_rank", size=pos + neg)
     if replacement:
         ranked = _redraw(ranked, label, seed)
-    n_of = lambda value: rows.where(F.col(label) == value).agg(F.count(F.lit(1))).scalar()
-    batches = F.least(F.floor(n_of(1) / pos_per), F.floor(n_of(0) / max(neg_per, 1)))
+    batches = F.least(F.floor(pos / pos_per), F.floor(neg / max(neg_per, 1)))
     per = F.when(F.col(label) == 1, pos_per).otherwise(max(neg_per, 1))
     return (
         ranked.withColumn("batch", F.floor((F.col("_rank") - 1) / per).cast("long"))
@@ -170,7 +173,7 @@ def ensemble_slice(df: DataFrame, member, ratio=0.8, stride=None, key="cell",
     n = df.agg(F.count(F.lit(1))).scalar()
     start = F.floor(F.lit(stride) * n * F.lit(member))
     end = F.floor(F.lit(stride) * n * F.lit(member) + F.lit(ratio) * n)
-    ranked = hash_rank(df, seed, key, into="_rank")
+    ranked = hash_rank(df, seed, key, into="_rank", size=n)
     return ranked.where((F.col("_rank") > start) & (F.col("_rank") <= end)).drop("_rank")
 
 

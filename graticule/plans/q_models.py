@@ -217,7 +217,7 @@ def scan_npy_grid(spark, d):
     height = g.agg(F.max("r")).first()[0] + 1
     path = new_path(spark, "grid") + ".npy"
     npy.write_npy_grid(g, path, height, X.WIDTH, "v")
-    return npy.scan_npy_grid(spark, path, rows_per_task=16)
+    return npy.scan_npy_grid(spark, path)
 
 
 @query("scan_ascii_grid", "select cell, r, c, v as value from g_missing", ["g_missing"])
