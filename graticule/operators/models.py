@@ -48,7 +48,7 @@ def fit_lr(train: DataFrame, variables, label="y", C=1.0, iterations=100, weight
     """L2 logistic regression; the penalty matches 1 / (2 C) times the squared weights."""
     n = train.count()
     model = LogisticRegression(
-        labelCol=label, regParam=1.0 / (C * n), elasticNetParam=0.0, maxIter=iterations,
+        labelCol=label, regParam=1.0 / (C * n), elasticNetParam=0.0, maxIter=iterations, tol=1e-4,
         standardization=False)
     if weight:
         model = model.setWeightCol(weight)
