@@ -21,13 +21,16 @@ def segment(x1, y1, x2, y2) -> Column:
 
 
 def edges(ring: Column) -> Column:
-    """Consecutive corner pairs as ARRAY<STRUCT<x1, y1, x2, y2>>."""
+    """Consecutive corner pairs as ARRAY<STRUCT<x1, y1, x2, y2>>.
+
+    A single point is an edge of no length.
+    """
     def pair(i):
-        a, b = F.get(ring, i), F.get(ring, i + 1)
+        a, b = F.get(ring, i), F.get(ring, F.least(i + 1, F.size(ring) - 1))
         return F.struct(a["x"].alias("x1"), a["y"].alias("y1"),
                         b["x"].alias("x2"), b["y"].alias("y2"))
-    last = F.size(ring) - 2
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), pair)).otherwise(F.array())
+    last = F.greatest(F.size(ring) - 2, F.lit(0))
+    return F.when(F.size(ring) > 0, F.transform(F.sequence(F.lit(0), last), pair)).otherwise(F.array())
 
 
 def centroid(ring: Column) -> Column:

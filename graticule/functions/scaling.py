@@ -78,35 +78,29 @@ def code_first_seen(df: DataFrame, column, order, into="code") -> DataFrame:
     return df.join(codes, column, "left").withColumn(into, F.col("_code").cast("int")).drop("_code")
 
 
+def _yeo_johnson(x, lam):
+    """The transform for a column ``x`` and an exponent column ``lam``."""
+    up = F.when(lam == 0, F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / lam)
+    down = F.when(lam == 2, -F.log1p(-x)).otherwise(-(F.pow(1 - x, 2 - lam) - 1) / (2 - lam))
+    return F.when(x >= 0, up).otherwise(down)
+
+
 def yeo_johnson(df: DataFrame, column, into="transformed", lambdas=None) -> DataFrame:
     """Yeo-Johnson power transform, exponent of the highest likelihood on a grid.
 
-    One pass gathers mean and variance of the transform for every exponent of the
-    grid and the log term; the exponents' scores are a single row.
+    Each value is transformed for every exponent of the grid and reduced at once
+    to one row per exponent; the best one enters the plan as a constant.
     """
     lambdas = lambdas or [round(-2.0 + 0.05 * i, 2) for i in range(81)]
-    x = F.col(column)
-
-    def transform(lam):
-        up = F.log1p(x) if lam == 0 else (F.pow(x + 1, F.lit(lam)) - 1) / lam
-        two = 2.0 - lam
-        down = -F.log1p(-x) if two == 0 else -(F.pow(1 - x, F.lit(two)) - 1) / two
-        return F.when(x >= 0, up).otherwise(down)
-
+    x, lam = F.col(column), F.col("_lambda")
     term = F.when(x >= 0, F.log1p(x)).otherwise(-F.log1p(-x))
-    sums = df.where(x.isNotNull()).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(term).alias("log_term"),
-        *[F.var_pop(transform(lam)).alias(f"v{i}") for i, lam in enumerate(lambdas)],
-    ).first()
-    if not sums["n"]:
-        return df.withColumn(into, F.lit(None).cast("double"))
-    import math
-
-    def likelihood(i):
-        variance = sums[f"v{i}"]
-        if not variance or variance <= 0 or math.isnan(variance):
-            return -math.inf
-        return -sums["n"] / 2 * math.log(variance) + (lambdas[i] - 1) * sums["log_term"]
-
-    best = max(range(len(lambdas)), key=likelihood)
-    return df.withColumns({into: transform(lambdas[best]), "lambda": F.lit(lambdas[best])})
+    grid = F.explode(F.array(*[F.lit(float(v)) for v in lambdas]))
+    each = df.where(x.isNotNull()).select(column, grid.alias("_lambda"))
+    likelihood = -F.count(F.lit(1)) / 2 * F.log(F.var_pop(_yeo_johnson(x, lam))) + (
+        F.first(lam) - 1) * F.sum(term)
+    best = each.groupBy("_lambda").agg(likelihood.alias("_l")).where(
+        F.col("_l").isNotNull() & ~F.isnan("_l")).orderBy(F.desc("_l"), "_lambda").first()
+    if best is None:
+        return df.withColumns({into: F.lit(None).cast("double"), "lambda": F.lit(None).cast("double")})
+    chosen = F.lit(best["_lambda"])
+    return df.withColumns({into: _yeo_johnson(x, chosen), "lambda": chosen})

@@ -39,28 +39,34 @@ def cumulative_curve(df: DataFrame, keys=("model",), y="y", p="p", buckets=None)
     return _with_totals(running, counts, keys)
 
 
+def _points(curve, keys, point, end):
+    """One row per threshold, and the curve's end point next to the highest score.
+
+    The highest score is the one with nothing accumulated before it, so the end
+    point needs no second pass over the curve.
+    """
+    first = (F.col("ctp") == F.col("tp")) & (F.col("cfp") == F.col("fp"))
+    row = lambda values: F.struct(*[v.cast("double").alias(n) for n, v in values.items()])
+    both = F.when(first, F.array(row(point), row(end))).otherwise(F.array(row(point)))
+    return curve.select(*keys, F.explode(both).alias("_p")).select(*keys, "_p.*")
+
+
 def pr_curve(curve: DataFrame, keys=("model",)) -> DataFrame:
     """Precision and recall per threshold, plus the end point (1, 0)."""
-    points = curve.select(
-        *keys, F.col("p").alias("threshold"),
-        (F.col("ctp") / (F.col("ctp") + F.col("cfp"))).alias("precision"),
-        F.coalesce(F.try_divide("ctp", "pos"), F.lit(1.0)).alias("recall"),
-    )
-    ends = curve.select(*keys).distinct() if keys else curve.limit(1).select()
-    return points.unionByName(ends.select(
-        *keys, F.lit(None).cast("double").alias("threshold"),
-        F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")))
+    return _points(
+        curve, keys,
+        {"threshold": F.col("p"), "precision": F.col("ctp") / (F.col("ctp") + F.col("cfp")),
+         "recall": F.coalesce(F.try_divide("ctp", "pos"), F.lit(1.0))},
+        {"threshold": F.lit(None), "precision": F.lit(1.0), "recall": F.lit(0.0)})
 
 
 def roc_curve(curve: DataFrame, keys=("model",)) -> DataFrame:
     """False and true positive rate per threshold, plus the start (0, 0)."""
-    points = curve.select(
-        *keys, F.col("p").alias("threshold"),
-        F.try_divide("cfp", "neg").alias("fpr"), F.try_divide("ctp", "pos").alias("tpr"))
-    starts = curve.select(*keys).distinct() if keys else curve.limit(1).select()
-    return points.unionByName(starts.select(
-        *keys, F.lit(None).cast("double").alias("threshold"),
-        F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
+    return _points(
+        curve, keys,
+        {"threshold": F.col("p"), "fpr": F.try_divide("cfp", "neg"),
+         "tpr": F.try_divide("ctp", "pos")},
+        {"threshold": F.lit(None), "fpr": F.lit(0.0), "tpr": F.lit(0.0)})
 
 
 def _auroc():

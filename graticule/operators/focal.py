@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 TILE = 128
 
@@ -34,17 +35,18 @@ def _dense(column, rows, cols, side):
     return grid
 
 
-def focal_apply(df: DataFrame, values, fn, outputs, halo, tile=TILE) -> DataFrame:
+def focal_apply(df: DataFrame, values, fn, outputs, halo, tile=TILE, carry=()) -> DataFrame:
     """Apply ``fn(present, grids) -> {name: per-cell array}`` tile by tile.
 
     ``present`` and each grid have ``tile + 2 * halo`` cells a side.  An output
     is a (tile, tile) array, or (tile, tile, n) for a list column; NaN becomes
-    NULL.  Input columns ``cell, r, c`` are kept next to the ``outputs`` (name ->
-    type).
+    NULL.  The columns ``cell, r, c`` and those of ``carry`` are kept next to the
+    ``outputs`` (name -> type), so that no join is needed to get them back.
     """
-    values = list(values)
+    values, carry = list(values), list(carry)
     schema = T.StructType(
         [T.StructField(k, T.LongType()) for k in ("cell", "r", "c")]
+        + [df.schema[name] for name in carry]
         + [T.StructField(name, kind) for name, kind in outputs.items()]
     )
     side = tile + 2 * halo
@@ -68,33 +70,30 @@ def focal_apply(df: DataFrame, values, fn, outputs, halo, tile=TILE) -> DataFram
         data = {
             "cell": table.column("cell").to_numpy()[core], "r": r[core], "c": c[core],
         }
+        for name in carry:
+            data[name] = table.column(name).filter(pa.array(core))
         for name in outputs:
             data[name] = out[name][at]
         return _arrow_table(schema, data, int(core.sum()))
 
     needed = df.select(
         F.col("cell").cast("long"), F.col("r").cast("long"), F.col("c").cast("long"),
-        *[v for v in values if v not in ("cell", "r", "c")],
+        *dict.fromkeys(v for v in values + carry if v not in ("cell", "r", "c")),
     )
     return tiled(needed, halo, tile).groupBy("_tr", "_tc").applyInArrow(run, schema)
 
 
-def _arrow_type(kind):
-    if isinstance(kind, T.ArrayType):
-        return pa.list_(_arrow_type(kind.elementType))
-    if isinstance(kind, T.DoubleType):
-        return pa.float64()
-    return pa.int64()
-
-
 def _arrow_table(schema, data, n):
     arrays = []
     for field in schema.fields:
-        kind = _arrow_type(field.dataType)
         if n == 0:
-            arrays.append(pa.array([], kind))
+            arrays.append(pa.array([], to_arrow_type(field.dataType)))
             continue
         values = data[field.name]
+        if isinstance(values, pa.ChunkedArray):
+            arrays.append(values)
+            continue
+        kind = to_arrow_type(field.dataType)
         if isinstance(field.dataType, T.ArrayType):
             width = values.shape[-1]
             flat = values.reshape(-1)
@@ -121,7 +120,7 @@ def windows(grid, radius, tile):
     return view[skip:skip + tile, skip:skip + tile]
 
 
-def patch_extract(df: DataFrame, variables, size=5, tile=TILE) -> DataFrame:
+def patch_extract(df: DataFrame, variables, size=5, tile=TILE, carry=()) -> DataFrame:
     """One row-major list of ``size * size`` values per variable and cell.
 
     Gaps, the outside of the raster and missing values are 0.
@@ -136,7 +135,7 @@ def patch_extract(df: DataFrame, variables, size=5, tile=TILE) -> DataFrame:
         return out
 
     kind = T.ArrayType(T.DoubleType())
-    return focal_apply(df, variables, run, {v: kind for v in variables}, radius, tile)
+    return focal_apply(df, variables, run, {v: kind for v in variables}, radius, tile, carry)
 
 
 def focal_sum_count(df: DataFrame, value, radius=1, tile=TILE) -> DataFrame:
@@ -154,7 +153,7 @@ def focal_sum_count(df: DataFrame, value, radius=1, tile=TILE) -> DataFrame:
 
 
 def erode_borders(df: DataFrame, split="split", kernel=5, height=None, width=None,
-                  erode_train=False, tile=TILE) -> DataFrame:
+                  erode_train=False, tile=TILE, carry=()) -> DataFrame:
     """Drop (set to 0) cells whose kernel meets another split or leaves the raster.
 
     Training cells stay unless ``erode_train``; neighbours that belong to no
@@ -177,4 +176,5 @@ def erode_borders(df: DataFrame, split="split", kernel=5, height=None, width=Non
         return {split: np.where(lose, 0, own).astype("int64")}
 
     work = df.withColumn("_row", F.col("r")).withColumn("_col", F.col("c"))
-    return focal_apply(work, [split, "_row", "_col"], run, {split: T.LongType()}, radius, tile)
+    return focal_apply(work, [split, "_row", "_col"], run, {split: T.LongType()}, radius, tile,
+                       carry)

@@ -1,6 +1,7 @@
 """Fitting and scoring per-cell models with Spark ML, importances, ensembles."""
 
 import random
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -9,7 +10,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graticule.functions.scalar import clipped_probability
@@ -19,6 +20,7 @@ from graticule.operators.focal import patch_extract
 from graticule.operators.joins import align_layers, scatter_to_grid
 from graticule.operators.ranks import hash_rank
 from graticule.operators.sampling import sample_fraction
+from graticule.session import durable
 
 
 def train_frame(cells: DataFrame, variables, elevation, count, split="split", fraction=1.0,
@@ -75,9 +77,8 @@ def fit_mlp(train: DataFrame, variables, label="y", hidden=(128, 128), iteration
 
 def patch_frame(cells: DataFrame, variables, patch=5, keep=("y", "split")) -> DataFrame:
     """Each cell's patches of all variables as one vector, next to its label."""
-    flat = patch_extract(cells, variables, patch).select(
-        "cell", array_to_vector(F.concat(*variables)).alias("features"))
-    return flat.join(cells.select("cell", *keep), "cell")
+    return patch_extract(cells, variables, patch, carry=keep).select(
+        "cell", *keep, array_to_vector(F.concat(*variables)).alias("features"))
 
 
 def fit_patch_model(frame: DataFrame, estimator=None, label="y"):
@@ -136,23 +137,28 @@ def permutation_importance(model, cells: DataFrame, variables, metric=None, labe
                            key="cell", seed=42) -> DataFrame:
     """Baseline score minus the score with one variable shuffled.
 
-    A shuffle joins each row with the value at the same place of another random
-    order; both orders are exact ranks, so every value is used once.
+    The rows are put in one random order; a variable is shuffled by taking each
+    value from the row a random distance further on (around the end), so every
+    value is used once and all variables share one ranking.
     """
     metric = metric if metric is not None else accuracy(label)
-    score = lambda df: score_cells(model, df, key, (label,)).agg(metric.alias("score"))
-    base = hash_rank(cells.select(key, label, *variables), seed, key, into="_rank")
-    parts = [score(cells).select(F.lit("baseline").alias("variable"), F.col("score").alias("importance"))]
-    baseline = score(cells).scalar()
+    score = lambda df: score_cells(model, df, key, (label,)).agg(metric.alias("_score"))
+    base = durable(hash_rank(cells.select(key, label, *variables), seed, key, into="_rank"))
+    n = base.count()
+    rng = random.Random(seed)
+    parts = [score(base.drop("_rank")).select(F.lit("baseline").alias("variable"), "_score")]
     for v in variables:
-        order = hash_rank(cells.select(key, F.col(v).alias("_v")), f"{seed}:{v}", key, into="_rank")
-        mixed = base.drop(v).join(order.select("_rank", F.col("_v").alias(v)), "_rank").drop("_rank")
-        parts.append(score(mixed).select(
-            F.lit(v).alias("variable"), (baseline - F.col("score")).alias("importance")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        shift = rng.randrange(1, max(n, 2))
+        donor = base.select(
+            (F.pmod(F.col("_rank") - 1 + shift, F.lit(n)) + 1).alias("_rank"), F.col(v).alias(v))
+        mixed = base.drop(v).join(donor, "_rank").drop("_rank")
+        parts.append(score(mixed).select(F.lit(v).alias("variable"), "_score"))
+    scores = reduce(DataFrame.unionByName, parts)
+    baseline = F.max(F.when(F.col("variable") == "baseline", F.col("_score"))).over(
+        Window.partitionBy())  # one row per variable
+    return scores.withColumn("_base", baseline).select("variable", F.when(
+        F.col("variable") == "baseline", F.col("_score")
+    ).otherwise(F.col("_base") - F.col("_score")).alias("importance"))
 
 
 def log_loss(y="y", p="p"):

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from graticule.operators import focal, sampling
+from graticule.operators import focal, partition, sampling
 from graticule.plans import fixtures as X
-from graticule.plans.catalog import query
+from graticule.plans.catalog import query, view
 
 ORDER = "order by md5(concat('42:', cell)), cell"
 
@@ -93,18 +93,34 @@ def ensemble_slice(spark, d):
     return sampling.ensemble_slice(X.g(spark, d), member=1).select("cell")
 
 
-@query("erode_borders", """
+view("eroded", """
 with edge as (select max(r) as top from g),
 clash as (select distinct a.cell from split a, unnest([-2, -1, 0, 1, 2]) as x(dr),
   unnest([-2, -1, 0, 1, 2]) as w(dc), split b
   where b.r = a.r + x.dr and b.c = a.c + w.dc and b.split <> 0 and b.split <> a.split)
-select cell, case when split > 1 and (cell in (select cell from clash) or r < 2 or c < 2
+select cell, rid, y, case when split > 1 and (cell in (select cell from clash) or r < 2 or c < 2
   or c > 147 or r > (select top from edge) - 2) then 0 else cast(split as bigint) end as split
 from split""", ["split"])
+
+
+def height(spark, d):
+    return X.table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0] // X.WIDTH + 1
+
+
+@query("erode_borders", "select cell, split from eroded", ["eroded"])
 def erode_borders(spark, d):
     s = X.split(spark, d)
-    height = X.table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0] // X.WIDTH + 1
-    return focal.erode_borders(s, "split", 5, height, X.WIDTH).select("cell", "split")
+    return focal.erode_borders(s, "split", 5, height(spark, d), X.WIDTH).select("cell", "split")
+
+
+@query("partition_map", f"""
+select cell, rid, y, split from (select *, row_number() over ({ORDER}) as rk from (
+  select * from (select *, row_number() over (partition by split, rid, y {ORDER}) as k,
+    sum(y) over (partition by split, rid) as pos from eroded where split > 0)
+  where y = 1 or k <= pos)) where rk <= 1500""", ["eroded"])
+def split_map(spark, d):
+    out = partition.partition_map(X.g(spark, d), height(spark, d), X.WIDTH, n=1500)
+    return out.select("cell", "rid", "y", "split")
 
 
 @query("patch_extract", """

@@ -189,3 +189,17 @@ def test_plane_slope_and_aspect(spark):
     assert {round(x.slope, 9) for x in terrain.terrain_slope(df).where(inner).collect()} == {3.0}
     # the plane rises eastward, so it falls to the west
     assert {x.aspect for x in terrain.terrain_aspect(df).where(inner).collect()} == {270.0}
+
+
+def test_point_marks_and_buffers_its_cell(spark):
+    df = spark.createDataFrame([(1, [[(3.5, 2.5)]])], "id int, rings array<array<struct<x:double,y:double>>>")
+    assert [tuple(x) for x in rasterize.rasterize_mask(df, ["id"], 9, 9).collect()] == [(2, 3)]
+    near = rasterize.line_buffer(df, ["id"], 1.1, 9, 9).select("r", "c").collect()
+    assert sorted(map(tuple, near)) == [(1, 3), (2, 2), (2, 3), (2, 4), (3, 3)]
+
+
+def test_carried_columns(spark, grid):
+    df = spark.createDataFrame(grid.assign(name=grid["cell"].astype(str)))
+    got = focal.patch_extract(df, ["z"], 3, tile=6, carry=("name", "split")).toPandas()
+    assert len(got) == len(grid) and (got["name"] == got["cell"].astype(str)).all()
+    assert dict(zip(got["cell"], got["split"])) == dict(zip(grid["cell"], grid["split"]))
