@@ -62,13 +62,27 @@ def normal_cdf(z):
     return 0.5 * np.vectorize(math.erfc, otypes=[float])(-np.asarray(z, float) / math.sqrt(2))
 
 
+# Coefficients of a published rational approximation of the normal
+# quantile (central part numerator and denominator, tail numerator and denominator).
+CENTRE = ([-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
+           1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00],
+          [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
+           6.680131188771972e+01, -1.328068155288572e+01, 1.0])
+TAIL = ([-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
+         -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00],
+        [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
+         3.754408661907416e+00, 1.0])
+
+
 def normal_quantile(p):
-    """Inverse of the normal distribution function by bisection."""
+    """Inverse of the normal distribution function: approximation, then one Halley step."""
     p = np.asarray(p, float)
-    lo, hi = np.full(p.shape, -9.0), np.full(p.shape, 9.0)
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        below = normal_cdf(mid) < p
-        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
-    z = (lo + hi) / 2
-    return np.where(np.isnan(p), np.nan, z)
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        q = p - 0.5
+        centre = q * np.polyval(CENTRE[0], q * q) / np.polyval(CENTRE[1], q * q)
+        t = np.sqrt(-2 * np.log(np.minimum(p, 1 - p)))
+        tail = np.sign(-q) * np.polyval(TAIL[0], t) / np.polyval(TAIL[1], t)
+        z = np.where(np.abs(q) <= 0.47575, centre, tail)
+        error = (normal_cdf(z) - p) * np.sqrt(2 * np.pi) * np.exp(z * z / 2)
+        z = np.where(np.isfinite(error), z - error / (1 + z * error / 2), z)
+    return np.where(p <= 0, -np.inf, np.where(p >= 1, np.inf, z))

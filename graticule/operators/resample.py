@@ -1,5 +1,7 @@
 """Changing a grid's resolution."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ def upsample_repeat(df: DataFrame, factor, value="value", trim=False) -> DataFra
     return out
 
 
-def triangle(x: Column) -> Column:
+def _triangle(x: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - F.abs(x))
 
 
@@ -39,7 +41,7 @@ def downsample_bilinear(df: DataFrame, factor, value="value", height=None, width
         rat.alias("_ra"), cat.alias("_ca"), value,
         F.explode(rows).alias("r"), cols.alias("_cols"),
     ).select("_ra", "_ca", value, "r", F.explode("_cols").alias("c"))
-    w = triangle(F.col("_ra") - F.col("r")) * triangle(F.col("_ca") - F.col("c"))
+    w = _triangle(F.col("_ra") - F.col("r")) * _triangle(F.col("_ca") - F.col("c"))
     inside = (F.col("r") >= 0) & (F.col("c") >= 0)
     if height is not None:
         inside &= F.col("r") < height // factor
@@ -49,57 +51,99 @@ def downsample_bilinear(df: DataFrame, factor, value="value", height=None, width
         (F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias(value))
 
 
-def _cubic(x: Column) -> Column:
+def _linear(t):
+    return np.maximum(0.0, 1 - t)
+
+
+def _cubic(t):
     """Convolution cubic with a = -0.5 (Catmull-Rom)."""
-    t = F.abs(x)
-    return F.when(t <= 1, (1.5 * t - 2.5) * t * t + 1).when(
-        t < 2, ((-0.5 * t + 2.5) * t - 4) * t + 2).otherwise(0.0)
+    return np.where(t <= 1, (1.5 * t - 2.5) * t * t + 1,
+                    np.where(t < 2, ((-0.5 * t + 2.5) * t - 4) * t + 2, 0.0))
 
 
-def _bspline(x: Column) -> Column:
-    t = F.abs(x)
-    return F.when(t < 1, (4 + t * t * (3 * t - 6)) / 6).when(
-        t < 2, (2 - t) * (2 - t) * (2 - t) / 6).otherwise(0.0)
+def _bspline(t):
+    return np.where(t < 1, (4 + t * t * (3 * t - 6)) / 6,
+                    np.where(t < 2, (2 - t) ** 3 / 6, 0.0))
 
 
 # name -> (taps per axis, weight of a tap at a distance)
 KERNELS = {
     "nearest": (1, None),
-    "bilinear": (2, triangle),
+    "bilinear": (2, _linear),
     "cubic": (4, _cubic),
     "cubic_spline": (4, _bspline),
 }
 
 
 def resample_grid(source: DataFrame, target: DataFrame, method, source_grid, target_grid,
-                  value="value") -> DataFrame:
+                  value="value", tile=128) -> DataFrame:
     """Values of ``source`` at the cells of ``target`` (cell, r, c).
 
-    Grids are (left, top, resolution).  Each target cell asks for 1, 4 or 16
-    source cells around its centre; the taps join on the source cell's row and
-    column, and weights of missing cells are left out of the mean.  A target cell
-    whose nearest source cell is missing stays missing.
+    Grids are (left, top, resolution).  A target cell is the weighted mean of the
+    1, 4 or 16 source cells around its centre; missing ones are left out.  A
+    target cell whose nearest source cell is missing stays missing.
+
+    Target cells are grouped by tile and every source cell goes to the tiles
+    whose cells it weighs on (nearly always one), so neither side is multiplied
+    by the number of taps.  Coarser targets get smaller tiles, which keeps the
+    source cells of a group within about ``tile`` squared.
     """
     (sx, sy, sres), (tx, ty, tres) = source_grid, target_grid
     taps, kernel = KERNELS[method]
-    fx = (F.lit(tx) + (F.col("c") + 0.5) * tres - F.lit(sx)) / sres - 0.5
-    fy = (F.lit(sy) - (F.lit(ty) - (F.col("r") + 0.5) * tres)) / sres - 0.5
-    placed = target.select("cell", "r", "c", fx.alias("_x"), fy.alias("_y"))
-    if taps == 1:
-        first = lambda v: F.array(F.floor(F.col(v) + 0.5).cast("long"))
-    else:
-        reach = range(1 - taps // 2, taps // 2 + 1)
-        first = lambda v: F.array(*[(F.floor(v) + i).cast("long") for i in reach])
-    asked = placed.withColumn("_sr", F.explode(first("_y"))).withColumn(
-        "_sc", F.explode(first("_x")))
+    step = tres / sres
+    side = max(4, int(tile / max(1.0, step)))
+    # source position of target row or column i is start + step * i
+    y_start, x_start = (sy - ty + 0.5 * tres) / sres - 0.5, (tx - sx + 0.5 * tres) / sres - 0.5
+    reach = taps / 2 + 0.51
+
+    def tiles(name, start):
+        at = lambda v: F.floor((v - start) / step / side).cast("long")
+        return F.sequence(at(F.col(name) - reach), at(F.col(name) + reach))
+
+    wanted = target.select(
+        F.col("cell").cast("long"), F.col("r").cast("long"), F.col("c").cast("long"),
+        F.floor(F.col("r") / side).alias("_tr"), F.floor(F.col("c") / side).alias("_tc"))
     given = source.where(F.col(value).isNotNull()).select(
-        F.col("r").alias("_sr"), F.col("c").alias("_sc"), F.col(value).alias("_v"))
-    hit = asked.join(given, ["_sr", "_sc"])
-    if taps == 1:
-        return hit.select("cell", "r", "c", F.col("_v").alias(value))
-    w = kernel(F.col("_y") - F.col("_sr")) * kernel(F.col("_x") - F.col("_sc"))
-    nearest = (F.col("_sr") == F.floor(F.col("_y") + 0.5)) & (
-        F.col("_sc") == F.floor(F.col("_x") + 0.5))
-    return hit.groupBy("cell", "r", "c").agg(
-        (F.sum(w * F.col("_v")) / F.sum(w)).alias(value), F.max(nearest).alias("_near")
-    ).where(F.col("_near")).drop("_near")
+        F.col("r").cast("long").alias("sr"), F.col("c").cast("long").alias("sc"),
+        F.col(value).cast("double").alias("v"),
+        F.explode(tiles("r", y_start)).alias("_tr"), tiles("c", x_start).alias("_tcs"),
+    ).select("sr", "sc", "v", "_tr", F.explode("_tcs").alias("_tc"))
+
+    def run(asked, cells):
+        if not asked.num_rows or not cells.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in (
+                ("cell", pa.int64()), ("r", pa.int64()), ("c", pa.int64()), (value, pa.float64()))})
+        sr, sc = cells.column("sr").to_numpy(), cells.column("sc").to_numpy()
+        top, left = sr.min(), sc.min()
+        known = np.full((sr.max() - top + 1, sc.max() - left + 1), np.nan)
+        known[sr - top, sc - left] = cells.column("v").to_numpy()
+
+        def tap(rows, cols):
+            rows, cols = rows - top, cols - left
+            ok = (rows >= 0) & (rows < known.shape[0]) & (cols >= 0) & (cols < known.shape[1])
+            return np.where(ok, known[np.where(ok, rows, 0), np.where(ok, cols, 0)], np.nan)
+
+        y = y_start + step * asked.column("r").to_numpy()
+        x = x_start + step * asked.column("c").to_numpy()
+        near = tap(np.floor(y + 0.5).astype(int), np.floor(x + 0.5).astype(int))
+        out = near
+        if kernel is not None:
+            total, weight = np.zeros(len(x)), np.zeros(len(x))
+            for i in range(1 - taps // 2, taps // 2 + 1):
+                for j in range(1 - taps // 2, taps // 2 + 1):
+                    rows, cols = np.floor(y).astype(int) + i, np.floor(x).astype(int) + j
+                    v = tap(rows, cols)
+                    w = np.where(np.isnan(v), 0.0, kernel(np.abs(y - rows)) * kernel(np.abs(x - cols)))
+                    total += w * np.where(np.isnan(v), 0.0, v)
+                    weight += w
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out = np.where(np.isnan(near), np.nan, total / weight)
+        keep = ~np.isnan(out)
+        mask = pa.array(keep)
+        return pa.table({
+            "cell": asked.column("cell").filter(mask), "r": asked.column("r").filter(mask),
+            "c": asked.column("c").filter(mask), value: out[keep]})
+
+    keys = ["_tr", "_tc"]
+    return wanted.groupBy(*keys).cogroup(given.groupBy(*keys)).applyInArrow(
+        run, f"cell bigint, r bigint, c bigint, {value} double")

@@ -203,3 +203,20 @@ def test_carried_columns(spark, grid):
     got = focal.patch_extract(df, ["z"], 3, tile=6, carry=("name", "split")).toPandas()
     assert len(got) == len(grid) and (got["name"] == got["cell"].astype(str)).all()
     assert dict(zip(got["cell"], got["split"])) == dict(zip(grid["cell"], grid["split"]))
+
+
+@pytest.mark.parametrize("method", ["nearest", "bilinear", "cubic", "cubic_spline"])
+@pytest.mark.parametrize("resolution", [0.35, 2.6])
+def test_resampling_does_not_depend_on_tiles(spark, grid, method, resolution):
+    from graticule.operators.resample import resample_grid
+
+    source = spark.createDataFrame(gaps(grid))
+    target = spark.createDataFrame(grid[["cell", "r", "c"]])
+    run = lambda tile: {x.cell: round(x.z, 9) for x in resample_grid(
+        source, target, method, (0.0, 0.0, 1.0), (1.3, -2.2, resolution), "z", tile).collect()}
+    small, whole = run(5), run(1000)
+    assert small == whole and len(whole) > 10
+    # a constant stays constant
+    flat = resample_grid(source.withColumn("z", F.lit(3.0)), target, method, (0.0, 0.0, 1.0),
+                         (1.3, -2.2, resolution), "z", 5)
+    assert {round(x.z, 9) for x in flat.collect()} == {3.0}

@@ -18,7 +18,7 @@ from graticule.sources import layers, npy, text
 def test_gamma_and_normal():
     assert np.allclose(gamma_cdf([1.0, 2.0, 10.0], [1.0, 1.0, 1.0]), 1 - np.exp([-1.0, -2.0, -10.0]))
     assert np.allclose(gamma_cdf([3.0], [2.0]), 1 - math.exp(-3) * 4)
-    assert np.allclose(normal_quantile([0.5, 0.975, 0.025]), [0, 1.959963984540054, -1.959963984540054])
+    assert np.allclose(normal_quantile([0.5, 0.975, 0.001, 0.999]), [0, 1.959963984540054, -3.090232306167813, 3.090232306167813])
 
 
 def test_published_fire_weather_day(spark):
