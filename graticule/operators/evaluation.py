@@ -125,7 +125,7 @@ def f1_threshold_grid(df: DataFrame, keys=("model",), y="y", p="p", steps=100) -
     counts = df.withColumn("_k", F.coalesce(level, F.lit(-1))).groupBy(*keys, "_k").agg(
         F.sum(F.col(y).cast("long")).alias("tp"), F.sum((1 - F.col(y)).cast("long")).alias("fp"))
     grid = F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(last).cast("long")))
-    ks = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    ks = counts.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
     every = ks.withColumn("_k", grid)
     full = every.join(counts, [*keys, "_k"], "left").fillna(0, ["tp", "fp"])
     above = Window.partitionBy(*keys).orderBy(F.desc("_k")).rowsBetween(

@@ -19,7 +19,8 @@ def stack_features(long: DataFrame, names, key="cell", name="name", value="value
 
 
 def region_semi(df: DataFrame, regions: DataFrame, key) -> DataFrame:
-    return df.join(regions, key, "left_semi")
+    """Rows whose region is listed; a region listed often is reduced to one row first."""
+    return df.join(regions.select(key).distinct(), key, "left_semi")
 
 
 def lut_map(df: DataFrame, table: DataFrame, key, code, into="code", missing=0) -> DataFrame:
@@ -45,7 +46,8 @@ def match_first(start: DataFrame, end: DataFrame, keys, order, carry) -> DataFra
 
 def anti_unmatched(start: DataFrame, end: DataFrame, keys, key) -> DataFrame:
     """Starts left over: a match on all keys removes every start of that one key."""
-    matched = start.join(end, list(keys), "left_semi").select(key).distinct()
+    pairs = end.select(*keys).distinct()
+    matched = start.join(pairs, list(keys), "left_semi").select(key).distinct()
     return start.join(matched, key, "left_anti")
 
 
@@ -59,7 +61,7 @@ def union_tables(*tables) -> DataFrame:
 
 
 def complement(everything: DataFrame, taken: DataFrame, key="cell") -> DataFrame:
-    return everything.join(taken, key, "left_anti")
+    return everything.join(taken.select(key).distinct(), key, "left_anti")
 
 
 def dedupe_geometry(df: DataFrame, geometry) -> DataFrame:

@@ -46,33 +46,39 @@ def assembled(estimator, variables):
         VectorAssembler(inputCols=list(variables), outputCol="features"), estimator])
 
 
+def _fit(train, variables, label, estimator, extra=()):
+    """Fit on the needed columns only, kept for the passes an optimiser makes."""
+    rows = train.select(*variables, label, *extra).persist()
+    try:
+        return assembled(estimator(rows), variables).fit(rows)
+    finally:
+        rows.unpersist()
+
+
 def fit_lr(train: DataFrame, variables, label="y", C=1.0, iterations=100, weight=None):
     """L2 logistic regression; the penalty matches 1 / (2 C) times the squared weights."""
-    n = train.count()
-    model = LogisticRegression(
-        labelCol=label, regParam=1.0 / (C * n), elasticNetParam=0.0, maxIter=iterations, tol=1e-4,
-        standardization=False)
-    if weight:
-        model = model.setWeightCol(weight)
-    return assembled(model, variables).fit(train)
+    def estimator(rows):
+        model = LogisticRegression(
+            labelCol=label, regParam=1.0 / (C * rows.count()), elasticNetParam=0.0,
+            maxIter=iterations, tol=1e-4, standardization=False)
+        return model.setWeightCol(weight) if weight else model
+
+    return _fit(train, variables, label, estimator, [weight] if weight else [])
 
 
 def fit_rf(train: DataFrame, variables, label="y", trees=100, depth=10, seed=42):
-    model = RandomForestClassifier(
-        labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed)
-    return assembled(model, variables).fit(train)
+    return _fit(train, variables, label, lambda rows: RandomForestClassifier(
+        labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed))
 
 
 def fit_rf_reg(train: DataFrame, variables, label, trees=100, depth=10, leaf=5, seed=42):
-    model = RandomForestRegressor(
-        labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed)
-    return assembled(model, variables).fit(train)
+    return _fit(train, variables, label, lambda rows: RandomForestRegressor(
+        labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed))
 
 
 def fit_mlp(train: DataFrame, variables, label="y", hidden=(128, 128), iterations=100, seed=42):
-    model = MultilayerPerceptronClassifier(
-        labelCol=label, layers=[len(variables), *hidden, 2], maxIter=iterations, seed=seed)
-    return assembled(model, variables).fit(train)
+    return _fit(train, variables, label, lambda rows: MultilayerPerceptronClassifier(
+        labelCol=label, layers=[len(variables), *hidden, 2], maxIter=iterations, seed=seed))
 
 
 def patch_frame(cells: DataFrame, variables, patch=5, keep=("y", "split")) -> DataFrame:
@@ -84,7 +90,11 @@ def patch_frame(cells: DataFrame, variables, patch=5, keep=("y", "split")) -> Da
 def fit_patch_model(frame: DataFrame, estimator=None, label="y"):
     """Any classifier on the neighbourhood instead of the centre cell."""
     estimator = estimator or LogisticRegression(labelCol=label, maxIter=50, regParam=1e-4)
-    return Pipeline(stages=[estimator]).fit(frame)
+    rows = frame.select("features", label).persist()
+    try:
+        return Pipeline(stages=[estimator]).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def score_cells(model, cells: DataFrame, key="cell", keep=()) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from graticule.functions import geometry as G
 from graticule.functions.scalar import vei_radius
-from graticule.operators import distance, focal, hydrology, rasterize, resample, terrain
+from graticule.operators import distance, hydrology, rasterize, resample, terrain
 from graticule.plans import fixtures as X
 from graticule.plans.catalog import query, view
 
