@@ -4,7 +4,7 @@ import functools
 
 from pyspark.sql import functions as F
 
-from graticule.llm import packing, quality_rules, simhash
+from graticule.llm import chat, packing, quality_rules, simhash
 from graticule.llm.common import short_batches, table
 from graticule.session import ship_package
 
@@ -52,3 +52,23 @@ def op7(spark, folder):
 def op10(spark, folder):
     return simhash.near_classes(table(spark, folder, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op1_chat")
+def op1(spark, folder):
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")],
+        "conv_id bigint, turn bigint, role string, text string")
+    done = chat.format_turns(rows.unionByName(extra)).select(
+        F.col("tree").alias("conv_id"), "formatted",
+        chat.read_back(F.col("formatted")).alias("turns"),
+        chat.learned_text(F.col("formatted"), F.col("spans")).alias("learned"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(
+        t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length("learned").cast("bigint").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("bigint").alias("formatted_chars"))
