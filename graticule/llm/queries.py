@@ -4,7 +4,7 @@ import functools
 
 from pyspark.sql import functions as F
 
-from graticule.llm import chat, packing, quality_rules, simhash
+from graticule.llm import chat, packing, quality_rules, simhash, trie_bpe
 from graticule.llm.common import short_batches, table
 from graticule.session import ship_package
 
@@ -72,3 +72,15 @@ def op1(spark, folder):
         F.char_length("learned").cast("bigint").alias("loss_chars"),
         F.sha2("learned", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+@query("op4_trie_bpe")
+def op4(spark, folder):
+    path = tokenizer("word_bpe_49k.json")
+    coded = table(spark, folder, "documents").select(
+        "doc_id", trie_bpe.encode(F.col("text"), path).alias("ids"))
+    coded = coded.withColumn("decoded", trie_bpe.decode(F.col("ids"), path))
+    return coded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -85,22 +85,26 @@ def _meeting_keys(value: Column, budget: int) -> Column:
     return F.array(*keys)
 
 
-def _chain_holds(a: Column, b: Column, start: Column, budget: int) -> Column:
-    """Whether the chain from segment ``start`` keeps within its budget all along."""
+def _first_meeting(a: Column, b: Column, budget: int) -> Column:
+    """Number of the first key at which the chain holds and the keys are equal.
+
+    Null if there is none.  A pair is taken at that key alone, so it comes once.
+    """
     ring = segments(budget)
     n = len(ring)
     differ = a.bitwiseXOR(b)
     gaps = [F.bit_count(_bits(differ, *s)) for s in ring]
-    out = F.lit(False)
+    tried = []
     for k in range(n):
-        total, ok = None, None
-        for length in range(1, n + 1):
-            gap = gaps[(k + length - 1) % n]
-            total = gap if total is None else total + gap
-            within = total * n <= length * budget
-            ok = within if ok is None else ok & within
-        out = F.when(start == k, ok).otherwise(out)
-    return out
+        total, ok = gaps[k], gaps[k] == 0
+        for length in range(2, n + 1):
+            total = total + gaps[(k + length - 1) % n]
+            ok = ok & (total * n <= length * budget)
+        after, size = ring[(k + 1) % n]
+        low = size // 2
+        for half, (start, bits) in enumerate(((after, low), (after + low, size - low))):
+            tried.append(F.when(ok & (_bits(differ, start, bits) == 0), F.lit(2 * k + half)))
+    return F.coalesce(*tried)
 
 
 def near_pairs(prints: DataFrame, budget=4, column="fp") -> DataFrame:
@@ -115,10 +119,10 @@ def near_pairs(prints: DataFrame, budget=4, column="fp") -> DataFrame:
     src, dst = F.col("src"), F.col("dst")
     near = a.join(b, [
         a["t"] == b["t"], a["k"] == b["k"], src < dst,
-        _chain_holds(src, dst, F.floor(a["t"] / 2), budget),
         F.bit_count(src.bitwiseXOR(dst)) <= budget,
+        _first_meeting(src, dst, budget) == a["t"],
     ])
-    return near.select("src", "dst").distinct()
+    return near.select("src", "dst")
 
 
 def _classes(docs, key, text, budget, shingle, seed):
