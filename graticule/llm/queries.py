@@ -4,7 +4,7 @@ import functools
 
 from pyspark.sql import functions as F
 
-from graticule.llm import chat, packing, quality_rules, simhash, trie_bpe
+from graticule.llm import chat, multi_index, packing, quality_rules, simhash, trie_bpe
 from graticule.llm.common import short_batches, table
 from graticule.session import ship_package
 
@@ -84,3 +84,8 @@ def op4(spark, folder):
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op9_multi_index")
+def op9(spark, folder):
+    return multi_index.nearest(table(spark, folder, "embeddings").select("vec_id", "embedding"))
