@@ -9,8 +9,10 @@ the remaining counts allow.  The plan is a small table of patterns; the pieces o
 length are numbered and looked up in it, which is all that touches the data.
 """
 
+import json
 import os
 import re
+from array import array
 from typing import Iterator
 
 import numpy as np
@@ -18,57 +20,65 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from graticule.llm.common import free_name, named
+from graticule.llm.trie_bpe import byte_alphabet
 from graticule.session import durable
 
-CACHE_CHUNKS = 400_000
-TWO_SPACES = re.compile(r"\s\s|^\s|\s$")
+# Fixed value: the pre-token pattern of the byte-level files.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _encoders = {}
 
 
-class ChunkEncoder:
-    """Token ids of whole texts, each distinct chunk encoded once.
+class TextEncoder:
+    """Token ids of whole texts by a byte-level BPE file.
 
-    A chunk is a word with the blank before it.  A single blank between two other
-    characters always begins a new pre-token, so chunks are independent; texts with
-    other white space next to a blank go to the tokenizer as they are.
+    The file's vocabulary is handed to the faster of two libraries that merge alike;
+    special tokens are cut out first, and what that library refuses (very long runs of
+    one kind of character) goes to the other.
     """
 
     def __init__(self, path):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.cache = {}
-
-    def whole(self, texts):
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        back = {c: b for b, c in byte_alphabet().items()}
+        ranks = {bytes(map(back.__getitem__, t)): i for t, i in spec["model"]["vocab"].items()}
+        self.fast = tiktoken.Encoding(
+            path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")")
+        self.path, self.slow = path, None
+
+    def _plain(self, text):
+        try:
+            return self.fast(text)
+        except BaseException as error:  # a panic of the library is no Exception
+            if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
+                raise
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+            self.slow.no_truncation()
+            self.slow.no_padding()
+        return self.slow.encode(text, add_special_tokens=False).ids
 
     def ids(self, text):
         """Ids of one text as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
-        if TWO_SPACES.search(text):
-            return self.whole([text])[0]
-        first, *rest = text.split(" ")
-        chunks = [first, *[" " + x for x in rest]]
-        cache = self.cache
-        try:
-            return b"".join([cache[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(cache) > CACHE_CHUNKS:
-            cache.clear()
-        new = list({c for c in chunks if c not in cache})
-        cache.update(zip(new, self.whole(new)))
-        return b"".join([cache[c] for c in chunks])
+        if not any(s in text for s in self.specials):
+            return array("I", self._plain(text)).tobytes()
+        ids = []
+        for part in self.cut.split(text):
+            ids += [self.specials[part]] if part in self.specials else self._plain(part)
+        return array("I", ids).tobytes()
 
 
 def encoder(path):
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = TextEncoder(path)
     return _encoders[path]
 
 
