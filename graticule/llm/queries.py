@@ -4,8 +4,8 @@ import functools
 
 from pyspark.sql import functions as F
 
-from graticule.llm import chat, multi_index, packing, quality_rules, simhash, trie_bpe
-from graticule.llm.common import short_batches, table
+from graticule.llm import chat, language_mix, multi_index, packing, quality_rules, simhash, trie_bpe
+from graticule.llm.common import remainder, short_batches, table
 from graticule.session import ship_package
 
 QUERIES = {}
@@ -89,3 +89,17 @@ def op4(spark, folder):
 @query("op9_multi_index")
 def op9(spark, folder):
     return multi_index.nearest(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+def language_model(docs):
+    """Learned from the rows that are not held out."""
+    return language_mix.learn(docs.where(remainder(F.col("doc_id"), 4) != 2))
+
+
+@query("op8_language_mix")
+def op8(spark, folder):
+    docs = table(spark, folder, "documents")
+    found = docs.select(
+        "doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"),
+        language_mix.identify(F.col("text"), language_model(docs)).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
