@@ -4,9 +4,9 @@ import functools
 
 from pyspark.sql import functions as F
 
-from graticule.llm import chat, language_mix, multi_index, packing, quality_rules, simhash, trie_bpe
+from graticule.llm import chat, language_mix, multi_index, packing, quality_rules, quality_trees, simhash, trie_bpe
 from graticule.llm.common import remainder, short_batches, table
-from graticule.session import ship_package
+from graticule.session import durable, ship_package
 
 QUERIES = {}
 SQL = {}
@@ -103,3 +103,16 @@ def op8(spark, folder):
         "doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"),
         language_mix.identify(F.col("text"), language_model(docs)).alias("found"))
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
+@query("op6_quality_trees")
+def op6(spark, folder):
+    measured = durable(table(spark, folder, "documents").select(
+        "doc_id", quality_trees.measure(F.col("text")).alias("features")))
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    model = quality_trees.learn(
+        measured.where(~held_out), table(spark, folder, "labels").select("doc_id", "quality"))
+    scored = measured.select(
+        "doc_id", held_out.alias("held_out"),
+        quality_trees.score(F.col("features"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
