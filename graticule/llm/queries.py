@@ -4,7 +4,7 @@ import functools
 
 from pyspark.sql import functions as F
 
-from graticule.llm import chat, language_mix, multi_index, packing, quality_rules, quality_trees, simhash, trie_bpe
+from graticule.llm import chat, language_mix, multi_index, packing, quality_rules, quality_trees, simhash, toxicity, trie_bpe
 from graticule.llm.common import remainder, short_batches, table
 from graticule.session import durable, ship_package
 
@@ -116,3 +116,25 @@ def op6(spark, folder):
         "doc_id", held_out.alias("held_out"),
         quality_trees.score(F.col("features"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+# Words that make a toxic text an example of a category.
+TOXIC_WORDS = {
+    "insult": ["clown", "idiot", "loser", "moron", "scum"],
+    "contempt": ["disgusting", "pathetic", "stupid", "trash", "worthless"],
+}
+
+
+@query("op5_toxicity_chain")
+def op5(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    labels = table(spark, folder, "labels").select("doc_id", "toxic")
+    chain = toxicity.learn(docs, labels.where(~held_out), TOXIC_WORDS)
+    found = docs.select(
+        "doc_id", held_out.alias("held_out"), toxicity.predict(F.col("text"), chain).alias("p"))
+    return found.select(
+        "doc_id", "held_out", F.col("p.insult").alias("p_insult"),
+        F.col("p.contempt").alias("p_contempt"), F.col("p.toxic").alias("score"),
+        (F.col("p.toxic") >= 0.5).cast("int").alias("predicted"),
+        (F.col("p.toxic") >= 0.5).alias("toxic"))
