@@ -21,7 +21,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from graticule.llm.common import free_name, named
-from graticule.operators.graph import connected_components
 from graticule.session import durable
 
 BITS = 64
@@ -125,6 +124,43 @@ def near_pairs(prints: DataFrame, budget=4, column="fp") -> DataFrame:
     return near.select("src", "dst")
 
 
+def components(pairs: DataFrame) -> DataFrame:
+    """(id, component): smallest id of each component of the graph of (src, dst).
+
+    In each round every node points to its smallest neighbour, if that is smaller;
+    pointers are doubled until they end in roots, and the links between different
+    roots go to the next round.  Links within a dense group are gone after one round.
+    """
+    levels = []
+    links = pairs
+    while not links.isEmpty():
+        ends = links.select("src", "dst").union(
+            links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        tree = durable(ends.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("low")).select(
+            "id", F.least("id", "low").alias("root")))
+        while True:
+            above = tree.select(F.col("id").alias("root"), F.col("root").alias("higher"))
+            jumped = durable(tree.join(above, "root").select(
+                "id", F.col("root").alias("was"), F.col("higher").alias("root")))
+            tree = jumped.select("id", "root")
+            if jumped.where(F.col("was") != F.col("root")).isEmpty():
+                break
+        levels.append(tree)
+        links = durable(links.join(
+            tree.select(F.col("id").alias("src"), F.col("root").alias("a")), "src").join(
+            tree.select(F.col("id").alias("dst"), F.col("root").alias("b")), "dst").where(
+            F.col("a") != F.col("b")).select(
+            F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+    if not levels:
+        return pairs.select(F.col("src").alias("id"), F.col("dst").alias("component")).limit(0)
+    found = levels[0].select("id", F.col("root").alias("component"))
+    for tree in levels[1:]:
+        step = tree.select(F.col("id").alias("component"), F.col("root").alias("_next"))
+        found = found.join(step, "component", "left").select(
+            "id", F.coalesce("_next", "component").alias("component"))
+    return found
+
+
 def _classes(docs, key, text, budget, shingle, seed):
     """(rows with fingerprints, fingerprint -> component), both materialised or small."""
     prints = durable(docs.select(
@@ -135,10 +171,8 @@ def _classes(docs, key, text, budget, shingle, seed):
                    F.col("_text").alias("text"))
     nodes = durable(prints.groupBy(F.col("_fp").alias("id")).agg(F.min(row).alias("first")))
     pairs = durable(near_pairs(nodes, budget, "id"))
-    linked = pairs.select(F.col("src").alias("id")).union(pairs.select(F.col("dst").alias("id")))
     # only fingerprints with a link can be in a larger component
-    parts = connected_components(linked.distinct(), pairs, "id")
-    known = nodes.join(parts, "id", "left")
+    known = nodes.join(components(pairs), "id", "left")
     least = known.where(F.col("component").isNotNull()).groupBy("component").agg(
         F.min("first").alias("least"))
     return prints, known.join(least, "component", "left").select(
