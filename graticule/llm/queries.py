@@ -4,7 +4,9 @@ import functools
 
 from pyspark.sql import functions as F
 
-from graticule.llm import chat, language_mix, multi_index, packing, quality_rules, quality_trees, simhash, toxicity, trie_bpe
+from graticule.llm import (
+    chat, disclosure, language_mix, multi_index, packing, quality_rules, quality_trees, simhash,
+    toxicity, trie_bpe)
 from graticule.llm.common import remainder, short_batches, table
 from graticule.session import durable, ship_package
 
@@ -138,3 +140,13 @@ def op5(spark, folder):
         F.col("p.contempt").alias("p_contempt"), F.col("p.toxic").alias("score"),
         (F.col("p.toxic") >= 0.5).cast("int").alias("predicted"),
         (F.col("p.toxic") >= 0.5).alias("toxic"))
+
+
+@query("op3_disclosure")
+def op3(spark, folder):
+    found = disclosure.find_spans(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", *[disclosure.count_of(F.col("base"), kind).alias(f"n_{kind}")
+                    for kind in disclosure.KINDS],
+        F.sha2(disclosure.written(F.col("base")), 256).alias("base_sha256"),
+        disclosure.written(F.col("spans")).alias("spans"))
