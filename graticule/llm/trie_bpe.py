@@ -22,10 +22,11 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, functions as F
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 350_000
 # Fixed value: characters with the White_Space property.
 WHITE = r"\t-\r\x20\x85\xa0  -     　"
 _codecs = {}
@@ -63,19 +64,51 @@ class TrieCodec:
             "(" + "|".join(regex.escape(t) for t in sorted(self.specials, key=len, reverse=True)) + ")")
         self.tokens = {i: t for t, i in self.vocab.items()} | {
             i: t for t, i in self.specials.items()}
+        names = [""] * (max(self.tokens) + 1)
+        for i, t in self.tokens.items():
+            names[i] = t
+        self.names = pa.array(names, pa.string())
         self.pattern = regex.compile(
             r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + WHITE + r"\p{L}\p{N}]+")
         self.alphabet = byte_alphabet()
-        self.longest = max(len(t.removesuffix(self.end)) for t in self.vocab)
-        # token lengths, longest first, by the last three characters
-        self.short, self.lengths = (2, 1), {}
-        for t in self.vocab:
-            mark = len(self.end) if self.end and t.endswith(self.end) and t != self.end else 0
-            n = len(t) - mark
-            if n > 2:
-                self.lengths.setdefault(t[-3 - mark:], set()).add(n)
-        self.lengths = {k: (*sorted(v, reverse=True), *self.short) for k, v in self.lengths.items()}
         self.fits, self.sound, self.words, self.chunks = {}, {}, {}, {}
+        self._build_suffixes()
+
+    def _build_suffixes(self):
+        """Automaton of the vocabulary: after any path, the tokens that end it.
+
+        A state is the longest end of the path that begins a token (Aho and Corasick);
+        its tokens are listed longest first, as (token, symbols).
+        """
+        steps, back, found = [{}], [0], [()]
+        for token in self.vocab.values():
+            state, marks = 0, self._split(self.tokens[token])
+            for symbol in marks:
+                below = steps[state].get(symbol)
+                if below is None:
+                    below = steps[state][symbol] = len(steps)
+                    steps.append({})
+                    back.append(0)
+                    found.append(())
+                state = below
+            found[state] = ((token, len(marks)),)
+        queue = list(steps[0].values())
+        for state in queue:
+            for symbol, below in steps[state].items():
+                queue.append(below)
+                end = back[state]
+                while end and symbol not in steps[end]:
+                    end = back[end]
+                back[below] = steps[end].get(symbol, 0)
+            found[state] += found[back[state]]
+        self.steps, self.back, self.found = steps, back, found
+
+    def _split(self, text):
+        """Symbols of a token's string: characters, the last one with its mark."""
+        if self.end and text.endswith(self.end) and text != self.end:
+            body = text.removesuffix(self.end)
+            return [*body[:-1], body[-1] + self.end]
+        return list(text)
 
     # -- merges ------------------------------------------------------------------
     def merge(self, symbols):
@@ -90,28 +123,20 @@ class TrieCodec:
             symbols[i:i + 2] = [whole]
         return symbols
 
-    def symbols(self, token):
-        """Symbol ids that a token of the vocabulary consists of."""
-        text = self.tokens[token]
-        if self.end and text.endswith(self.end) and text != self.end:
-            body = text.removesuffix(self.end)
-            return [*(self.vocab[c] for c in body[:-1]), self.vocab[body[-1] + self.end]]
-        return [self.vocab[c] for c in text]
-
     def is_sound(self, token):
         """Whether a token's own letters encode to it."""
         known = self.sound.get(token)
         if known is None:
-            known = self.sound[token] = self.merge(self.symbols(token)) == [token]
+            known = self.sound[token] = self.merge(
+                [self.vocab[x] for x in self._split(self.tokens[token])]) == [token]
         return known
 
     def compatible(self, left, right):
         """Whether the encoding of both tokens' letters in a row is the two tokens."""
-        known = self.fits.get((left, right))
-        if known is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            known = self.fits[left, right] = self._compatible(left, right)
+        if len(self.fits) > 600_000:
+            self.fits.clear()
+        known = self.is_sound(right) and self._compatible(left, right)
+        self.fits[left << 32 | right] = known
         return known
 
     def _compatible(self, left, right):
@@ -145,24 +170,37 @@ class TrieCodec:
                 node = below
             # under the mark lies the word itself, not a further node
             node[word[-1] + end if end else ""] = word
-        tokens, sizes, texts = [0], [0], [""]  # by depth on the current branch
+        # by depth on the current branch; deeper places hold remains of other branches
+        tokens, sizes, states = ([0] * (max(map(len, words), default=0) + 2) for _ in range(3))
         stack = [iter(root.items())]
+        steps, back, found, fits, sound = self.steps, self.back, self.found, self.fits, self.sound
         while stack:
             for symbol, below in stack[-1]:
                 depth = len(stack)
-                del tokens[depth:], sizes[depth:], texts[depth:]
                 if symbol:
-                    text = texts[-1] + symbol
-                    if below.__class__ is dict and len(text) > self.longest:
-                        text = text[1:]
-                    token, size = self._last_token(text, tokens, depth)
-                    tokens.append(token)
-                    sizes.append(size)
-                    texts.append(text)
+                    state = states[depth - 1]
+                    while state and symbol not in steps[state]:
+                        state = back[state]
+                    state = steps[state].get(symbol, 0)
+                    for token, size in found[state]:
+                        if size < depth:
+                            left = tokens[depth - size]
+                            known = fits.get(left << 32 | token)
+                            if known is None:
+                                known = self.compatible(left, token)
+                        else:
+                            known = sound[token] if token in sound else self.is_sound(token)
+                        if known:
+                            break
+                    else:
+                        raise ValueError(f"no token of the vocabulary ends with {symbol!r}")
+                    tokens[depth], sizes[depth], states[depth] = token, size, state
+                else:
+                    depth -= 1
                 if below.__class__ is dict:
                     stack.append(iter(below.items()))
                     break
-                ids, at = [], len(tokens) - 1
+                ids, at = [], depth
                 while at:
                     ids.append(tokens[at])
                     at -= sizes[at]
@@ -171,23 +209,6 @@ class TrieCodec:
                 stack.pop()
         return out
 
-    def _last_token(self, text, tokens, depth):
-        """(token, symbols in it) that ends the encoding of a branch ending in ``text``."""
-        marked = self.end and len(text) > len(self.end) and text.endswith(self.end)
-        mark = len(self.end) if marked else 0
-        for n in self.lengths.get(text[-3 - mark:], self.short):
-            if n > depth:
-                continue
-            token = self.vocab.get(text[-n - mark:])
-            if token is None or not (self.sound.get(token) or self.is_sound(token)):
-                continue
-            if n == depth:
-                return token, n
-            fits = self.fits.get((tokens[depth - n], token))
-            if fits or (fits is None and self.compatible(tokens[depth - n], token)):
-                return token, n
-        raise ValueError(f"no encoding for {text!r}")
-
     # -- texts -------------------------------------------------------------------
     def pre_tokens(self, chunk):
         """Words over the byte alphabet; special tokens as their ids."""
@@ -197,17 +218,17 @@ class TrieCodec:
             if part in self.specials:
                 out.append(self.specials[part])
                 continue
-            part = lowered(unicodedata.normalize("NFC", part))
-            out += [w if w.isascii() and w.isprintable() else
-                    "".join(map(self.alphabet.__getitem__, w.encode("utf-8", "replace")))
-                    for w in self.pattern.findall(part)]
+            if not part.isascii():
+                part = unicodedata.normalize("NFC", part)
+            part = lowered(part)
+            # letters alone are one word
+            for w in [part] if part.isalpha() else self.pattern.findall(part):
+                out.append(w if w.isascii() and w.isprintable() else "".join(
+                    map(self.alphabet.__getitem__, w.encode("utf-8", "replace"))))
         return out
 
     def learn(self, chunks):
         """Encode chunks that are not known yet, through one trie of their new words."""
-        if len(self.chunks) + len(chunks) > CACHE_WORDS:
-            self.chunks.clear()
-            self.words.clear()
         split = {c: self.pre_tokens(c) for c in chunks}
         new = {w for ws in split.values() for w in ws if isinstance(w, str)} - self.words.keys()
         self.words.update(self.encode_words(new))
@@ -218,12 +239,14 @@ class TrieCodec:
     def encode(self, texts):
         """Ids of each text as 32-bit little-endian numbers."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = {c for chunks in split for c in chunks} - self.chunks.keys()
+        used = {c for chunks in split for c in chunks}
+        new = used - self.chunks.keys()
+        if new and len(self.chunks) + len(new) > CACHE_WORDS:
+            self.chunks.clear()
+            self.words.clear()
+            new = used
         if new:
             self.learn(new)
-            missing = [c for chunks in split for c in chunks if c not in self.chunks]
-            if missing:  # the store was emptied meanwhile
-                self.learn(set(missing))
         known = self.chunks
         return [b"".join([known[c] for c in chunks]) for chunks in split]
 
@@ -261,6 +284,9 @@ def decode(ids: Column, path: str) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tool = codec(path)
         for rows in batches:
-            yield pa.array([tool.decode(r or ()) for r in rows.to_pylist()], pa.string())
+            rows = pc.fill_null(rows, pa.scalar([], rows.type))
+            tokens = tool.names.take(rows.flatten())
+            starts = pa.array(np.cumsum([0, *pc.list_value_length(rows).to_pylist()], dtype=np.int32))
+            yield pc.binary_join(pa.ListArray.from_arrays(starts, tokens), " ")
 
     return run(ids)
