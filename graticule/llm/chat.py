@@ -98,14 +98,15 @@ def best_paths(messages: DataFrame, tree="tree", node="node", parent="parent", s
     paths = ranked.select(
         "tree", F.col("node").alias("leaf"), "branch", "node", (F.col("hops") - 1).alias("step"))
     # the last table has no pointer left, or only those of cycles
-    for k in range(len(levels) - 1, -1, -1):
+    for k in range(len(levels) - 2, -1, -1):
         up = levels[k].where(F.col("up").isNotNull()).select(
             F.col("tree").alias("_tree"), F.col("node").alias("_node"), F.col("up").alias("_up"))
         higher = paths.join(
             up, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("node") == F.col("_node"))
         ).select("tree", "leaf", "branch", F.col("_up").alias("node"),
                  (F.col("step") - (1 << k)).alias("step"))
-        paths = paths.union(higher)
+        # written each time: the plan would double otherwise
+        paths = durable(paths.union(higher))
     return paths
 
 
