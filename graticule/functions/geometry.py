@@ -34,7 +34,10 @@ def edges(ring: Column) -> Column:
 
 
 def centroid(ring: Column) -> Column:
-    """Centroid STRUCT<x, y> of a closed ring by the shoelace sums."""
+    """Centroid STRUCT<x, y> of a closed ring by the shoelace sums.
+
+    Without an area it is the mean of the corners.
+    """
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
 
     def add(s, e):
@@ -46,9 +49,36 @@ def centroid(ring: Column) -> Column:
         )
 
     def finish(s):
-        return F.struct((s["x"] / (3 * s["a"])).alias("x"), (s["y"] / (3 * s["a"])).alias("y"))
+        return F.struct(F.try_divide(s["x"], 3 * s["a"]).alias("x"),
+                        F.try_divide(s["y"], 3 * s["a"]).alias("y"))
+
+    by_area = F.aggregate(edges(ring), zero, add, finish)
+    mean = lambda axis: F.try_divide(
+        F.aggregate(ring, F.lit(0.0), lambda s, p: s + p[axis]), F.size(ring))
+    return F.when(by_area["x"].isNotNull(), by_area).otherwise(
+        F.struct(mean("x").alias("x"), mean("y").alias("y")))
+
+
+def centroid_of_rings(rings: Column) -> Column:
+    """Centroid of a shape of several closed rings, holes wound against the parts.
+
+    The signed areas of the rings are summed; without an area in all it is the
+    centroid of the first ring.
+    """
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def add(s, e):
+        cross = e["x1"] * e["y2"] - e["x2"] * e["y1"]
+        return F.struct(
+            (s["a"] + cross).alias("a"),
+            (s["x"] + (e["x1"] + e["x2"]) * cross).alias("x"),
+            (s["y"] + (e["y1"] + e["y2"]) * cross).alias("y"),
+        )
 
-    return F.aggregate(edges(ring), zero, add, finish)
+    all_edges = F.flatten(F.transform(rings, edges))
+    whole = F.aggregate(all_edges, zero, add, lambda s: F.struct(
+        F.try_divide(s["x"], 3 * s["a"]).alias("x"), F.try_divide(s["y"], 3 * s["a"]).alias("y")))
+    return F.when(whole["x"].isNotNull(), whole).otherwise(centroid(F.get(rings, 0)))
 
 
 def bounds(ring: Column) -> Column:

@@ -1,13 +1,12 @@
 """Layer scaling and category codes."""
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graticule.operators.ranks import join_back, ordered_rank
 
-# Categories up to this number are coded from one small sorted table.
-SMALL_CODES = 100_000
-
 
 def minmax_scale(df: DataFrame, columns) -> DataFrame:
     """(x - min) / (max - min); missing stays missing, a constant layer is 0."""
@@ -50,19 +49,10 @@ def target_scale(df: DataFrame, value, into="scaled") -> DataFrame:
     return df.withColumn(into, F.col(value) / (top + F.lit(1e-5)))
 
 
-def _codes(values, order, start):
-    """Number distinct values along ``order``; one sorted pass, split when large."""
-    n = values.limit(SMALL_CODES + 1).count()
-    if n <= SMALL_CODES:
-        rank = F.row_number().over(Window.orderBy(*order)) + F.lit(start - 1)
-        return values.withColumn("_code", rank)
-    return ordered_rank(values, order, "_code", start)
-
-
 def code_sorted(df: DataFrame, column, into="code", start=1) -> DataFrame:
     """Distinct values in sorted order to start..k; missing values stay missing."""
     values = df.where(F.col(column).isNotNull()).select(column).distinct()
-    codes = _codes(values, [F.col(column)], start)
+    codes = ordered_rank(values, [F.col(column)], "_code", start)
     return df.join(codes, column, "left").withColumn(into, F.col("_code").cast("int")).drop("_code")
 
 
@@ -74,7 +64,7 @@ def label_encode(df: DataFrame, column, into="code") -> DataFrame:
 def code_first_seen(df: DataFrame, column, order, into="code") -> DataFrame:
     """Distinct values to 1..k in order of their first appearance."""
     values = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("_first"))
-    codes = _codes(values, [F.col("_first"), F.col(column)], 1).drop("_first")
+    codes = ordered_rank(values, [F.col("_first"), F.col(column)], "_code").drop("_first")
     return df.join(codes, column, "left").withColumn(into, F.col("_code").cast("int")).drop("_code")
 
 
@@ -85,22 +75,42 @@ def _yeo_johnson(x, lam):
     return F.when(x >= 0, up).otherwise(down)
 
 
-def yeo_johnson(df: DataFrame, column, into="transformed", lambdas=None) -> DataFrame:
-    """Yeo-Johnson power transform, exponent of the highest likelihood on a grid.
+def yeo_johnson(df: DataFrame, column, into="transformed", tolerance=1e-4, points=17) -> DataFrame:
+    """Yeo-Johnson power transform with the exponent of the highest likelihood.
 
-    Each value is transformed for every exponent of the grid and reduced at once
-    to one row per exponent; the best one enters the plan as a constant.
+    One aggregation gives the likelihoods of ``points`` exponents.  The bracket moves
+    on, and doubles, while the best exponent lies on its edge, then shrinks to the
+    neighbours of the best until it is narrower than ``tolerance``.  Without two
+    different values the likelihood has no maximum and both columns are NULL.
     """
-    lambdas = lambdas or [round(-2.0 + 0.05 * i, 2) for i in range(81)]
-    x, lam = F.col(column), F.col("_lambda")
+    x = F.col(column).cast("double")
     term = F.when(x >= 0, F.log1p(x)).otherwise(-F.log1p(-x))
-    grid = F.explode(F.array(*[F.lit(float(v)) for v in lambdas]))
-    each = df.where(x.isNotNull()).select(column, grid.alias("_lambda"))
-    likelihood = -F.count(F.lit(1)) / 2 * F.log(F.var_pop(_yeo_johnson(x, lam))) + (
-        F.first(lam) - 1) * F.sum(term)
-    best = each.groupBy("_lambda").agg(likelihood.alias("_l")).where(
-        F.col("_l").isNotNull() & ~F.isnan("_l")).orderBy(F.desc("_l"), "_lambda").first()
-    if best is None:
-        return df.withColumns({into: F.lit(None).cast("double"), "lambda": F.lit(None).cast("double")})
-    chosen = F.lit(best["_lambda"])
+    known = df.where(x.isNotNull())
+    if known.select(F.min(x) == F.max(x)).first()[0] in (None, True):
+        none = F.lit(None).cast("double")
+        return df.withColumns({into: none, "lambda": none})
+
+    def scores(exponents):
+        row = known.agg(
+            F.count(F.lit(1)).alias("n"), F.sum(term).alias("t"),
+            *[F.var_pop(_yeo_johnson(x, F.lit(v))).alias(f"v{i}") for i, v in enumerate(exponents)],
+        ).first()
+        return [(-row["n"] / 2 * math.log(row[f"v{i}"]) + (v - 1) * row["t"]
+                 if row[f"v{i}"] and math.isfinite(row[f"v{i}"]) else -math.inf)
+                for i, v in enumerate(exponents)]
+
+    low, high = -2.0, 2.0
+    while True:
+        step = (high - low) / (points - 1)
+        exponents = [low + step * i for i in range(points)]
+        found = scores(exponents)
+        best = max(range(points), key=lambda i: (found[i], -i))
+        if best in (0, points - 1) and step > tolerance and math.isfinite(found[best]):
+            width = high - low
+            low, high = (low - 2 * width, low + step) if best == 0 else (high - step, high + 2 * width)
+            continue
+        if step <= tolerance:
+            break
+        low, high = exponents[max(0, best - 1)], exponents[min(points - 1, best + 1)]
+    chosen = F.lit(float(exponents[best]))
     return df.withColumns({into: _yeo_johnson(x, chosen), "lambda": chosen})

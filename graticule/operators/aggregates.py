@@ -4,6 +4,8 @@ All are partial-then-final aggregations: what is shuffled is one partial row per
 task and group, so a crowded group costs no more than a small one.
 """
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,13 +17,16 @@ def _n():
 
 
 def hazard_stats(df: DataFrame, hazard="hazard", region="region_id", n="n") -> DataFrame:
-    """Per hazard: hazard cells, cells in a region, coverage in % (two decimals)."""
+    """Per hazard: hazard cells, cells in a region, coverage in % (two decimals).
+
+    The coverage of a hazard without a region cell is NULL.
+    """
     hit = F.count_if((F.col(n) > 0) & (F.col(region) > 0))
     return df.groupBy(hazard).agg(
         hit.alias("n_hazard_pixels"), F.count_if(F.col(region) > 0).alias("n_pixels")
     ).withColumn(
         "hazard_coverage",
-        F.round(F.col("n_hazard_pixels") / F.col("n_pixels") * 100, 2),
+        F.round(F.try_divide("n_hazard_pixels", "n_pixels") * 100, 2),
     )
 
 
@@ -167,22 +172,26 @@ def quantiles(df: DataFrame, value, at, keys=()) -> DataFrame:
 
 
 def kde_1d(df: DataFrame, value, low, high, points=50, bins=512, keys=()) -> DataFrame:
-    """Gaussian density at ``points`` places, Scott bandwidth, from binned values.
+    """Gaussian density at ``points`` places of [low, high], Scott bandwidth.
 
-    The values are reduced to at most ``bins`` weighted bin centres per key, and
-    the density is a sum over these.
+    Every value counts, inside the range or not: values are reduced to the mean and
+    number of each of the bins of the range's width / ``bins`` that they fall into,
+    on either side of the range too.  A key with one value, or equal ones, has no
+    bandwidth and a NULL density.
     """
     keys = list(keys)
     width = (high - low) / bins
-    counts = histogram(df, value, low, high, bins, keys).withColumn(
-        "_x", F.lit(low) + (F.col("bin") + 0.5) * width
-    )
+    counts = df.where(F.col(value).isNotNull()).groupBy(
+        *keys, F.floor((F.col(value) - F.lit(float(low))) / width).alias("bin")
+    ).agg(_n().alias("n"), F.avg(value).alias("_x"))
     w, x = F.col("n"), F.col("_x")
     # moments of the binned sample; sample variance as in Scott's rule
     total, mean = F.sum(w), F.sum(w * x) / F.sum(w)
     stats = counts.groupBy(*keys).agg(
         total.alias("_n"), mean.alias("_mean"), F.sum(w * x * x).alias("_xx"))
-    var = (F.col("_xx") - F.col("_n") * F.col("_mean") * F.col("_mean")) / (F.col("_n") - 1)
+    var = F.try_divide(F.col("_xx") - F.col("_n") * F.col("_mean") * F.col("_mean"), F.col("_n") - 1)
+    # what is left of equal values after rounding is no spread
+    var = F.when(var > 1e-12 * F.col("_mean") * F.col("_mean"), var)
     bandwidth = F.sqrt(var) * F.pow(F.col("_n"), F.lit(-0.2))
     stats = stats.select(*keys, "_n", bandwidth.alias("_h"))
     step = (high - low) / (points - 1)
@@ -201,7 +210,9 @@ def kde_2d(df: DataFrame, x, y, points=100, bins=100) -> DataFrame:
     """Bivariate Gaussian density on a points x points grid, Scott bandwidth.
 
     The sample is reduced to ``bins`` squared weighted centres over its range;
-    the covariance of the unbinned sample gives the kernel.
+    the covariance of the unbinned sample gives the kernel.  A task adds up the grid
+    of the centres that it holds, so what is shuffled is one grid per task.  Without
+    spread in both directions there is no density and no row.
     """
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     s = both.agg(
@@ -209,9 +220,13 @@ def kde_2d(df: DataFrame, x, y, points=100, bins=100) -> DataFrame:
         F.covar_samp(x, y).alias("xy"), F.min(x).alias("x0"), F.max(x).alias("x1"),
         F.min(y).alias("y0"), F.max(y).alias("y1"),
     ).first()
+    if s["n"] < 2 or not s["xx"] or not s["yy"]:  # no spread, no density
+        return df.sparkSession.createDataFrame([], "x double, y double, density double")
     scott = s["n"] ** (-1.0 / 6)
     a, b, c = (v * scott ** 2 for v in (s["xx"], s["xy"], s["yy"]))
     det = a * c - b * b
+    if det <= 1e-12 * a * c:  # all points on one line
+        return df.sparkSession.createDataFrame([], "x double, y double, density double")
     binned = both.select(
         bin_index(F.col(x), s["x0"], s["x1"], bins).alias("i"),
         bin_index(F.col(y), s["y0"], s["y1"], bins).alias("j"),
@@ -221,15 +236,25 @@ def kde_2d(df: DataFrame, x, y, points=100, bins=100) -> DataFrame:
         (F.lit(s["x0"]) + (F.col("i") + 0.5) * dx).alias("px"),
         (F.lit(s["y0"]) + (F.col("j") + 0.5) * dy).alias("py"), "w",
     )
-    axis = lambda lo, hi: F.transform(
-        F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.lit(lo) + k * ((hi - lo) / (points - 1)))
-    spread = centre.withColumn("x", F.explode(axis(s["x0"], s["x1"]))).withColumn(
-        "y", F.explode(axis(s["y0"], s["y1"])))
-    u, v = F.col("x") - F.col("px"), F.col("y") - F.col("py")
-    quad = (c * u * u - 2 * b * u * v + a * v * v) / det
-    scale = 1.0 / (2 * 3.141592653589793 * det ** 0.5 * s["n"])
-    return spread.groupBy("x", "y").agg(
-        F.sum(F.col("w") * F.exp(-0.5 * quad) * scale).alias("density"))
+    xs = s["x0"] + np.arange(points) * ((s["x1"] - s["x0"]) / (points - 1))
+    ys = s["y0"] + np.arange(points) * ((s["y1"] - s["y0"]) / (points - 1))
+    scale = 1.0 / (2 * np.pi * det ** 0.5 * s["n"])
+
+    def add_up(batches):
+        grid = np.zeros((points, points))
+        for batch in batches:
+            px, py, w = (np.asarray(batch.column(n), dtype=float) for n in ("px", "py", "w"))
+            for k in range(len(px)):
+                u, v = xs[:, None] - px[k], ys[None, :] - py[k]
+                grid += w[k] * np.exp(-0.5 * (c * u * u - 2 * b * u * v + a * v * v) / det)
+        if grid.any():
+            i, j = np.indices(grid.shape)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(xs[i.ravel()]), pa.array(ys[j.ravel()]), pa.array(grid.ravel() * scale)],
+                names=["x", "y", "density"])
+
+    return centre.mapInArrow(add_up, "x double, y double, density double").groupBy("x", "y").agg(
+        F.sum("density").alias("density"))
 
 
 def land_share(df: DataFrame, limits) -> DataFrame:

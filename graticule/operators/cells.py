@@ -65,11 +65,13 @@ def clip_to_region(df: DataFrame, bounds, origin, resolution) -> DataFrame:
     return part.withColumns({"r": F.col("r") - r0, "c": F.col("c") - c0})
 
 
-def points_in_extent(df: DataFrame, left, bottom, right, top, x="x", y="y") -> DataFrame:
-    """Points strictly inside the extent."""
-    return df.where(
+def points_in_extent(df: DataFrame, left, bottom, right, top, x="x", y="y",
+                     category=None, keep=None) -> DataFrame:
+    """Points strictly inside the extent, of the category ``keep`` if one is named."""
+    inside = df.where(
         (F.col(x) > left) & (F.col(x) < right) & (F.col(y) > bottom) & (F.col(y) < top)
     )
+    return inside if category is None else inside.where(F.col(category) == keep)
 
 
 def time_slice(df: DataFrame, first, last, date="date") -> DataFrame:

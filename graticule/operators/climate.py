@@ -105,8 +105,12 @@ def spei(balance: DataFrame, value="wb", offset=1.0) -> DataFrame:
 
 
 def drought_index(index: DataFrame, limit=-2.0, months=3) -> DataFrame:
-    """Months whose ``months``-month mean of the index lies below ``limit``."""
-    w = Window.partitionBy("cell").orderBy("month").rowsBetween(1 - months, 0)
+    """Months whose ``months``-month mean of the index lies below ``limit``.
+
+    The mean is over the calendar months of the window that are present.
+    """
+    number = F.year("month") * 12 + F.month("month")
+    w = Window.partitionBy("cell").orderBy(number).rangeBetween(1 - months, 0)
     return index.withColumn("_mean", F.avg("spei").over(w)).groupBy("cell").agg(
         F.count_if(F.col("_mean") < limit).alias("drought_months"))
 

@@ -17,42 +17,78 @@ ROW_BLOCK = 32
 def nearest_distance(grid: DataFrame, feature, into="distance") -> DataFrame:
     """Exact Euclidean distance in cells to the nearest feature cell.
 
-    ``grid`` holds every cell of the raster, ``feature`` is a boolean column.
-    First the vertical gap to a feature in the same column (a window per
-    column), then along each row the smallest ``dx^2 + gap^2``, for blocks of
-    rows at once.  Both groups are bounded by the raster's height and width.
-    NULL when there is no feature at all.
+    ``grid`` holds the cells asked for, with gaps or without; ``feature`` is a boolean
+    column.  For blocks of rows, each column with a feature brings its features in the
+    block and the nearest ones above and below.  That gives the vertical gap at every
+    row of the block, stored or not, and along a row the smallest ``dx^2 + gap^2`` is
+    read from the lower envelope of the columns' parabolas, in time linear in their
+    number.  A group is bounded by the block's rows times the raster's width.  NULL
+    when there is no feature at all.
     """
-    along = Window.partitionBy("c").orderBy("r")
-    at = F.when(F.col(feature), F.col("r"))
-    above = F.last(at, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    below = F.first(at, ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing))
-    gap = F.least(F.col("r") - above, below - F.col("r"))
-    work = grid.select("cell", "r", "c", gap.cast("double").alias("_gap")).withColumn(
-        "_block", F.floor(F.col("r") / ROW_BLOCK))
-
-    def run(table):
-        r = table.column("r").to_numpy()
-        c = table.column("c").to_numpy()
-        gaps = table.column("_gap").to_numpy(zero_copy_only=False)
-        base, left = r.min(), c.min()
-        square = np.full((r.max() - base + 1, c.max() - left + 1), np.inf)
-        square[r - base, c - left] = np.where(np.isnan(gaps), np.inf, gaps) ** 2
-        best = square.copy()
-        k = 1
-        # columns at offset k add at least k^2: stop when that cannot improve
-        while k < square.shape[1] and k * k < best.max():
-            np.minimum(best[:, k:], square[:, :-k] + k * k, out=best[:, k:])
-            np.minimum(best[:, :-k], square[:, k:] + k * k, out=best[:, :-k])
-            k += 1
-        d = np.sqrt(best[r - base, c - left])
-        return pa.table({
-            "cell": table.column("cell"), "r": r, "c": c,
-            into: pa.array(d, mask=np.isinf(d)),
-        })
+    block = F.floor(F.col("r") / ROW_BLOCK).cast("long")
+    cells = grid.select(F.col("cell").cast("long"), F.col("r").cast("long"), F.col("c").cast("long"),
+                        block.alias("_block"))
+    hits = grid.where(F.col(feature)).groupBy(
+        F.col("c").cast("long").alias("c"), block.alias("_block")
+    ).agg(F.collect_set(F.col("r").cast("long")).alias("_rows"))  # at most the block's rows
+    ends = cells.agg(F.min("_block").alias("a"), F.max("_block").alias("b"))
+    every = hits.select("c").distinct().withColumn(
+        "_ends", ends.select(F.struct("a", "b")).scalar()
+    ).select("c", F.explode(F.sequence("_ends.a", "_ends.b")).alias("_block"))
+    along = Window.partitionBy("c").orderBy("_block")
+    columns = every.join(hits, ["c", "_block"], "left").select(
+        F.col("c").alias("_c"), F.col("_block").alias("_at"), "_rows",
+        F.last(F.array_max("_rows"), ignorenulls=True).over(
+            along.rowsBetween(Window.unboundedPreceding, -1)).alias("_above"),
+        F.first(F.array_min("_rows"), ignorenulls=True).over(
+            along.rowsBetween(1, Window.unboundedFollowing)).alias("_below"))
+    # a column's block without any feature before, inside or behind does not exist
+    columns = columns.select("_c", "_at", "_above", "_below", F.coalesce(
+        "_rows", F.array().cast("array<bigint>")).alias("_rows"))
+
+    def run(table, near):
+        r, c = table.column("r").to_numpy(), table.column("c").to_numpy()
+        d = np.full(len(r), np.nan)
+        if table.num_rows and near.num_rows:
+            order = np.argsort(near.column("_c").to_numpy())
+            xs = near.column("_c").to_numpy()[order]
+            above, below = (near.column(n).to_numpy(zero_copy_only=False).astype(float)[order]
+                            for n in ("_above", "_below"))
+            inside = near.column("_rows").to_pylist()
+            inside = [inside[i] for i in order]
+            owner = np.repeat(np.arange(len(xs)), [len(i) for i in inside])
+            rows = np.array([v for i in inside for v in i], dtype=float)
+            for row in np.unique(r):
+                gap = np.fmin(np.where(np.isnan(above), np.inf, row - above),
+                              np.where(np.isnan(below), np.inf, below - row))
+                np.minimum.at(gap, owner, np.abs(rows - row))
+                at = np.nonzero(r == row)[0]
+                d[at] = np.sqrt(_envelope(xs, gap ** 2, c[at]))
+        return pa.table({"cell": table.column("cell"), "r": r, "c": c,
+                         into: pa.array(d, mask=np.isnan(d))})
 
     schema = f"cell bigint, r bigint, c bigint, {into} double"
-    return work.groupBy("_block").applyInArrow(run, schema)
+    return cells.groupBy("_block").cogroup(columns.groupBy("_at")).applyInArrow(run, schema)
+
+
+def _envelope(xs, heights, ask):
+    """min over j of (x - xs[j])^2 + heights[j] for each x of ``ask`` (Felzenszwalb 2012)."""
+    kept, begins = [], []
+    tops = (heights + xs.astype(float) ** 2).tolist()
+    places = xs.tolist()
+    for j, (x, top) in enumerate(zip(places, tops)):
+        begin = -np.inf
+        while kept:
+            k = kept[-1]
+            begin = (top - tops[k]) / (2 * (x - places[k]))
+            if begin > begins[-1]:
+                break
+            kept.pop()
+            begins.pop()
+        kept.append(j)
+        begins.append(begin if len(kept) > 1 else -np.inf)
+    of = np.array(kept)[np.searchsorted(begins, ask, side="right") - 1]
+    return (ask - xs[of]) ** 2 + heights[of]
 
 
 def _offsets(radius):

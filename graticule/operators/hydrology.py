@@ -5,6 +5,8 @@ what is left (pointer doubling: rounds grow with the logarithm of the longest
 path) or solves whole tiles at once, and each round ends in a checkpoint.
 """
 
+import itertools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,7 +125,7 @@ def stream_cells(flow: DataFrame, upstream: DataFrame, limit, area="upstream") -
     return flow.join(upstream.where(F.col(area) > limit), "cell").select("cell", "parent", area)
 
 
-def strahler(streams: DataFrame, max_order=32) -> DataFrame:
+def strahler(streams: DataFrame) -> DataFrame:
     """Stream order of each cell of a network (cell, parent).
 
     Cells of order > s are those at or below a meeting of two branches of order
@@ -133,7 +135,7 @@ def strahler(streams: DataFrame, max_order=32) -> DataFrame:
     """
     network = durable(streams.select("cell", "parent"))
     levels = network.select("cell", F.lit(1).alias("level"))
-    for level in range(2, max_order + 1):
+    for level in itertools.count(2):  # each pass has fewer meetings than the one before
         meets = network.where(F.col("parent").isNotNull()).groupBy("parent").agg(
             F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
         if meets.isEmpty():

@@ -64,8 +64,11 @@ def complement(everything: DataFrame, taken: DataFrame, key="cell") -> DataFrame
     return everything.join(taken.select(key).distinct(), key, "left_anti")
 
 
-def dedupe_geometry(df: DataFrame, geometry) -> DataFrame:
-    return df.dropDuplicates([geometry])
+def dedupe_geometry(df: DataFrame, geometry, order=None) -> DataFrame:
+    """One row per geometry: the first by ``order`` (columns), else by all columns."""
+    order = list(order or df.columns)
+    first = F.min_by(F.struct(*df.columns), F.struct(*order))
+    return df.groupBy(F.col(geometry).alias("_g")).agg(first.alias("_row")).select("_row.*")
 
 
 def full_grid(spark, height, width) -> DataFrame:

@@ -206,21 +206,31 @@ def inverse_error_ensemble(maps: DataFrame, errors: DataFrame, member="model", k
     """Means of the members' maps weighted by 1 / MAE and 1 / MSE.
 
     ``errors`` has one row per member.  A member missing at a cell counts neither
-    there nor in the weights.
+    there nor in the weights.  Members without an error share all the weight where
+    there are any, which is the limit of the weights.
     """
-    weights = errors.select(member, (1 / F.col("mae")).alias("_a"), (1 / F.col("mse")).alias("_s"))
+    weights = errors.select(
+        member, F.try_divide(F.lit(1.0), "mae").alias("_a"), F.try_divide(F.lit(1.0), "mse").alias("_s"),
+        (F.col("mae") == 0).alias("_a0"), (F.col("mse") == 0).alias("_s0"))
     joined = maps.where(F.col("p").isNotNull()).join(weights, member)
-    mean = lambda w: F.sum(F.col(w) * F.col("p")) / F.sum(w)
+
+    def mean(w):
+        exact = F.avg(F.when(F.col(f"{w}0"), F.col("p")))
+        weighted = F.try_divide(F.sum(F.col(w) * F.col("p")), F.sum(w))
+        return F.coalesce(exact, weighted)
+
     return joined.groupBy(key).agg(mean("_a").alias("p_mae"), mean("_s").alias("p_mse"))
 
 
 def stack_meta(maps, labels: DataFrame, key="cell", label="y"):
     """Logistic model on the single-hazard maps: (fitted model, training frame).
 
-    ``maps`` is {hazard: DataFrame (cell, p)}.
+    ``maps`` is {hazard: DataFrame (cell, p)}.  Every labelled cell counts; a map
+    without it is 0 there.
     """
-    aligned = align_layers(
-        [m.select(key, F.col("p").alias(name)) for name, m in maps.items()] + [labels], key)
+    aligned = labels
+    for name, m in maps.items():
+        aligned = aligned.join(m.select(key, F.col("p").alias(name)), key, "left")
     frame = fill_missing(aligned, list(maps))
     return fit_lr(frame, list(maps), label), frame
 

@@ -1,5 +1,7 @@
 """Changing a grid's resolution."""
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -80,8 +82,10 @@ def resample_grid(source: DataFrame, target: DataFrame, method, source_grid, tar
     """Values of ``source`` at the cells of ``target`` (cell, r, c).
 
     Grids are (left, top, resolution).  A target cell is the weighted mean of the
-    1, 4 or 16 source cells around its centre; missing ones are left out.  A
-    target cell whose nearest source cell is missing stays missing.
+    1, 4 or 16 source cells around its centre; missing ones are left out.  For a
+    coarser target the kernel is widened by the ratio of the resolutions, so every
+    source cell has its weight.  A target cell whose nearest source cell is missing
+    stays missing.
 
     Target cells are grouped by tile and every source cell goes to the tiles
     whose cells it weighs on (nearly always one), so neither side is multiplied
@@ -94,7 +98,9 @@ def resample_grid(source: DataFrame, target: DataFrame, method, source_grid, tar
     side = max(4, int(tile / max(1.0, step)))
     # source position of target row or column i is start + step * i
     y_start, x_start = (sy - ty + 0.5 * tres) / sres - 0.5, (tx - sx + 0.5 * tres) / sres - 0.5
-    reach = taps / 2 + 0.51
+    wide = max(1.0, step) if kernel is not None else 1.0
+    half = math.ceil(taps / 2 * wide)
+    reach = half + 0.51
 
     def tiles(name, start):
         at = lambda v: F.floor((v - start) / step / side).cast("long")
@@ -129,11 +135,11 @@ def resample_grid(source: DataFrame, target: DataFrame, method, source_grid, tar
         out = near
         if kernel is not None:
             total, weight = np.zeros(len(x)), np.zeros(len(x))
-            for i in range(1 - taps // 2, taps // 2 + 1):
-                for j in range(1 - taps // 2, taps // 2 + 1):
+            for i in range(1 - half, half + 1):
+                for j in range(1 - half, half + 1):
                     rows, cols = np.floor(y).astype(int) + i, np.floor(x).astype(int) + j
                     v = tap(rows, cols)
-                    w = np.where(np.isnan(v), 0.0, kernel(np.abs(y - rows)) * kernel(np.abs(x - cols)))
+                    w = np.where(np.isnan(v), 0.0, kernel(np.abs(y - rows) / wide) * kernel(np.abs(x - cols) / wide))
                     total += w * np.where(np.isnan(v), 0.0, v)
                     weight += w
             with np.errstate(invalid="ignore", divide="ignore"):

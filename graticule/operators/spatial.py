@@ -45,12 +45,14 @@ def morans_i(values: DataFrame, weights: DataFrame, x="x") -> DataFrame:
         "*", pair.select("s0").scalar().alias("s0"), pair.select("s1").scalar().alias("s1"),
         s2.scalar().alias("s2"))
     n, s0 = F.col("n"), F.col("s0")
-    expected = -1.0 / (n - 1)
-    variance = (n * n * F.col("s1") - n * F.col("s2") + 3 * s0 * s0) / (
-        s0 * s0 * (n * n - 1)) - expected * expected
-    index = n / s0 * F.col("zl") / F.col("zz")
+    # without variation, neighbours or a second cell the statistics are NULL
+    expected = F.try_divide(F.lit(-1.0), n - 1)
+    variance = F.try_divide(
+        n * n * F.col("s1") - n * F.col("s2") + 3 * s0 * s0, s0 * s0 * (n * n - 1)
+    ) - expected * expected
+    index = F.try_divide(F.try_divide(n, s0) * F.col("zl"), F.col("zz"))
     out = one.select(index.alias("morans_i"), expected.alias("expected"),
-                     ((index - expected) / F.sqrt(variance)).alias("z_norm"))
+                     F.try_divide(index - expected, F.sqrt(variance)).alias("z_norm"))
     return out.withColumn("p_norm", two_sided_p("z_norm"))
 
 
@@ -78,6 +80,12 @@ def local_morans_i(values: DataFrame, weights: DataFrame, x="x", k=8, permutatio
     """
     stats = values.agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("m"), F.var_pop(x).alias("v")).first()
     n, mean = stats["n"], stats["m"]
+    if not stats["v"]:  # nothing varies: no statistic is defined
+        none = lambda kind: F.lit(None).cast(kind)
+        return values.select(
+            "cell", none("double").alias("local_i"), none("double").alias("p_sim"),
+            none("string").alias("quadrant"), none("int").alias("hotspot"),
+            none("int").alias("coldspot"))
     zz = stats["v"] * n
     take = hash_take(values.select("cell", x), seed, "cell", min(n, permutations * (k + 1)))
     pool = hash_rank(take, seed, "cell", into="_k").toPandas().sort_values("_k")
@@ -92,7 +100,7 @@ def local_morans_i(values: DataFrame, weights: DataFrame, x="x", k=8, permutatio
     changes = values.sparkSession.createDataFrame(
         swap.astype({"cell": "int64"}), "cell bigint, old double, new double"
     ).groupBy("cell").agg(F.collect_list(F.struct("old", "new")).alias("_swap"))
-    work = _lagged(values, weights, x).join(F.broadcast(changes), "cell", "left")
+    work = _lagged(values, weights, x).join(changes, "cell", "left")
     bounds = sorted(float(v) for v in means)
     # simulated value at least the observed: for z < 0 the mean is at most the lag
     sign = F.when(F.col("z") > 0, 1).when(F.col("z") < 0, -1).otherwise(0)

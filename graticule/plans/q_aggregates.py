@@ -163,9 +163,8 @@ def box_summary(spark, d):
 
 
 @query("kde_1d", """
-with b as (select y, cast(least(floor(p * 512), 511) as integer) as bin, count(*) as n
+with c as (select y, floor(p * 512) as bin, count(*) as n, avg(p) as px
            from scores group by 1, 2),
-c as (select y, n, (bin + 0.5) / 512 as px from b),
 s as (select y, sum(n) as t, sqrt((sum(n * px * px) - sum(n) * (sum(n * px) / sum(n))
         * (sum(n * px) / sum(n))) / (sum(n) - 1)) * pow(sum(n), -0.2) as h from c group by 1),
 e as (select i / 49.0 as x, i from range(50) t(i))
@@ -184,21 +183,21 @@ with s as (select count(*) as n, var_samp(price) as sxx, var_samp(age) as syy,
   max(age) as y1, pow(count(*), -1.0 / 6) as k from features),
 h as (select *, sxx * k * k as a, sxy * k * k as b, syy * k * k as c,
   sxx * k * k * syy * k * k - sxy * k * k * sxy * k * k as det from s),
-p as (select cast(least(floor((price - x0) / (x1 - x0) * 60), 59) as integer) as i,
-  cast(least(floor((age - y0) / (y1 - y0) * 60), 59) as integer) as j, count(*) as w
+p as (select cast(least(floor((price - x0) / (x1 - x0) * 100), 99) as integer) as i,
+  cast(least(floor((age - y0) / (y1 - y0) * 100), 99) as integer) as j, count(*) as w
   from features, s group by 1, 2),
-t as (select gi, gj, w, x0 + gi * (x1 - x0) / 39 - (x0 + (i + 0.5) * (x1 - x0) / 60) as u,
-  y0 + gj * (y1 - y0) / 39 - (y0 + (j + 0.5) * (y1 - y0) / 60) as v, a, b, c, det, n
-  from p, h, range(40) g1(gi), range(40) g2(gj))
+t as (select gi, gj, w, x0 + gi * (x1 - x0) / 99 - (x0 + (i + 0.5) * (x1 - x0) / 100) as u,
+  y0 + gj * (y1 - y0) / 99 - (y0 + (j + 0.5) * (y1 - y0) / 100) as v, a, b, c, det, n
+  from p, h, range(100) g1(gi), range(100) g2(gj))
 select gi as i, gj as j, round(sum(w * exp(-0.5 * (c * u * u - 2 * b * u * v + a * v * v) / det))
   / (2 * pi() * sqrt(max(det)) * max(n)) * 1e9, 4) as density from t group by 1, 2""",
        ["features"])
 def kde_2d(spark, d):
     f = X.features(spark, d)
-    out = A.kde_2d(f, "price", "age", points=40, bins=60)
+    out = A.kde_2d(f, "price", "age", points=100, bins=100)
     step = lambda v, name: F.round(
         (F.col(v) - f.agg(F.min(name)).scalar())
-        / (f.agg(F.max(name)).scalar() - f.agg(F.min(name)).scalar()) * 39).cast("long")
+        / (f.agg(F.max(name)).scalar() - f.agg(F.min(name)).scalar()) * 99).cast("long")
     return out.select(step("x", "price").alias("i"), step("y", "age").alias("j"),
                       F.round(F.col("density") * 1e9, 4).alias("density"))
 

@@ -514,17 +514,27 @@ YJ = """case when x >= 0 then case when l = 0 then ln(1 + x) else (pow(x + 1, l)
   else case when l = 2 then -ln(1 - x) else -(pow(1 - x, 2 - l) - 1) / (2 - l) end end"""
 
 
-@query("yeo_johnson", f"""
-with x as (select cell, v / 1000 as x from g_missing),
-l as (select round(-2.0 + 0.05 * i, 2)::double as l from range(81) r(i)),
-b as (select l from (select l, -count(*) / 2 * ln(var_pop({YJ})) + (l - 1)
+def yeo_johnson_sql(passes=5):
+    """The bracket of 17 exponents, narrowed to the neighbours of the best in each pass."""
+    sql = "with x as (select cell, v / 1000 as x from g_missing),\ns0 as (select -2.0::double as lo, 2.0::double as hi),"
+    for k in range(passes):
+        sql += f"""
+e{k} as (select i, lo + (hi - lo) / 16 * i as l from s{k}, range(17) r(i)),
+b{k} as (select i from (select i, l, -count(*) / 2 * ln(var_pop({YJ})) + (l - 1)
   * sum(case when x >= 0 then ln(1 + x) else -ln(1 - x) end) as score
-  from x, l where x is not null group by 1) order by score desc limit 1)
-select cell, round({YJ}, 6) as transformed, l as lambda from x, b""", ["g_missing"])
+  from x, e{k} where x is not null group by 1, 2) order by score desc, i limit 1),
+s{k + 1} as (select (select l from e{k} where i = greatest(0, b.i - 1)) as lo,
+  (select l from e{k} where i = least(16, b.i + 1)) as hi,
+  (select l from e{k} where i = b.i) as l from b{k} b),"""
+    return sql.rstrip(",") + f"""
+select cell, round({YJ}, 6) as transformed, round(l, 6) as lambda from x, s{passes}"""
+
+
+@query("yeo_johnson", yeo_johnson_sql(), ["g_missing"])
 def yeo_johnson(spark, d):
     df = X.g_missing(spark, d).withColumn("v", F.col("v") / 1000)
     return scaling.yeo_johnson(df, "v").select(
-        "cell", rnd("transformed").alias("transformed"), "lambda")
+        "cell", rnd("transformed").alias("transformed"), rnd("lambda").alias("lambda"))
 
 
 @query("target_scale", """

@@ -77,6 +77,22 @@ def resample_grid(spark, d):
     return out
 
 
+@query("resample_coarse", """
+with t as (select r as tr, c as tc, 4 * c + 1.8137 as x, 4 * r + 1.7291 as y from g
+  where r <= (select max(r) from g) // 4 and c < 37),
+n as (select tr, tc, b.v, greatest(0.0, 1 - abs(t.x - b.c) / 4) * greatest(0.0, 1 - abs(t.y - b.r) / 4) as w,
+  b.c = floor(t.x + 0.5) and b.r = floor(t.y + 0.5) as own
+  from t join g b on b.c > t.x - 4 and b.c < t.x + 4 and b.r > t.y - 4 and b.r < t.y + 4)
+select tr as r, tc as c, round(sum(w * v) / sum(w), 3) as v from n group by 1, 2
+having max(cast(own as int)) = 1""", ["g"])
+def resample_coarse(spark, d):
+    # a target four times as coarse: the kernel is widened, so all source cells count
+    g = X.g(spark, d)
+    target = g.where((F.col("r") <= F.floor(F.lit(height(spark, d) - 1) / 4)) & (F.col("c") < 37))
+    out = resample.resample_grid(g, target, "bilinear", (0.0, 0.0, 1.0), (0.3137, -0.2291, 4.0), "v")
+    return out.select("r", "c", F.round("v", 3).alias("v"))
+
+
 # --- distance --------------------------------------------------------------------
 
 @query("nearest_distance", """
@@ -88,6 +104,16 @@ def nearest_distance(spark, d):
     return rounded(distance.nearest_distance(grid, "hit"), "distance").select("cell", "distance")
 
 
+@query("nearest_distance_gaps", """
+with k as (select * from g where cell % 7 <> 3 and c % 11 <> 5)
+select a.cell, round(min(sqrt((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c))), 6)
+  as distance
+from k a, (select r, c from k where y = 1) b group by 1""", ["g"])
+def nearest_distance_gaps(spark, d):
+    grid = X.g(spark, d).where("cell % 7 <> 3 and c % 11 <> 5").withColumn("hit", F.col("y") == 1)
+    return rounded(distance.nearest_distance(grid, "hit"), "distance").select("cell", "distance")
+
+
 view("weights", """
 select cell, nbr from (select a.cell, b.cell as nbr, row_number() over (partition by a.cell
   order by x.dr * x.dr + w.dc * w.dc, x.dr, w.dc) as rk

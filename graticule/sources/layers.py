@@ -75,7 +75,7 @@ class Registry:
     def describe(self, long: DataFrame) -> DataFrame:
         """Attach kind and role to a long layer table; an unlisted name is an error."""
         known = self.frame(long.sparkSession)
-        checked = long.join(F.broadcast(known), "name", "left")  # one row per layer name
+        checked = long.join(known, "name", "left")
         unknown = F.raise_error(F.concat(F.lit("unknown layer: "), F.col("name")))
         return checked.withColumn("kind", F.when(F.col("kind").isNull(), unknown.cast("string"))
                                   .otherwise(F.col("kind")))
