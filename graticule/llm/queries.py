@@ -5,7 +5,7 @@ import functools
 from pyspark.sql import functions as F
 
 from graticule.llm import (
-    chat, disclosure, language_mix, multi_index, packing, quality_rules, quality_trees, simhash,
+    chat, checks, disclosure, language_mix, multi_index, packing, quality_rules, quality_trees, simhash,
     toxicity, trie_bpe)
 from graticule.llm.common import remainder, short_batches, table
 from graticule.session import durable, ship_package
@@ -36,7 +36,7 @@ def tokenizer(name):
     return public_tokenizers.path(name)
 
 
-@query("op2_quality_rules")
+@query("op2_quality_rules", checks.QUALITY_RULES)
 def op2(spark, folder):
     judged = quality_rules.clean_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *[F.col("judged")[k].alias(k) for k in (
@@ -56,7 +56,7 @@ def op10(spark, folder):
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@query("op1_chat")
+@query("op1_chat", checks.CHAT)
 def op1(spark, folder):
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame(

@@ -1,0 +1,92 @@
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from graticule.llm import disclosure
+from helpers import awkward, empty
+
+PATTERNS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(d[::-1])) % 10 == 0
+
+
+def brute(text):
+    out = []
+    for k, (kind, pattern) in enumerate(PATTERNS):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if {"email": lambda: True, "ip": lambda: all(int(p) < 256 for p in m.group().split(".")),
+                    "card": lambda: 14 <= len(digits) <= 19 and luhn(digits),
+                    "phone": lambda: 10 <= len(digits) <= 15}[kind]():
+                out.append((m.start(), k, kind, m.end()))
+    return sorted(out)
+
+
+def test_patterns():
+    rng = random.Random(3)
+    parts = ["1", "12", "255", "256", "0" * 5 + "1", ".", "-", " ", "@", "a", "x.y", "+", "(", ")",
+             "4111111111111111", "%", "\n", "é", "٣", "_"]
+    for _ in range(20_000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 40)))
+        assert disclosure.protected(text) == brute(text), text
+    for long in ("1" * 60_000, "a" * 60_000 + "@", "+1" + "(" * 60_000, "1." * 30_000):
+        disclosure.protected(long)
+
+
+def corpus(spark):
+    """``nickname`` stands near one address in many surroundings, and alone once."""
+    name = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    rows = [(i, f"word{name(i)} other nickname some joe@mail.example.com then more{name(i)} text")
+            for i in range(30)]
+    rows += [(400 + i, "other some then text") for i in range(30)]
+    rows += [(100, "a lonely nickname far from it"), (101, "clean text without anything")]
+    rows += [(200 + i, "copied rareword next to ann@mail.example.com in copies") for i in range(40)]
+    rows += [(300 + i, f"common words here and there {i}") for i in range(200)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string")
+
+
+def test_terms_that_give_away(spark):
+    docs = corpus(spark)
+    got = {r["doc_id"]: r for r in disclosure.find_spans(docs).collect()}
+    assert len(got) == docs.count()
+    lonely = got[100]["spans"]
+    assert [(s["kind"], s["start"], s["end"]) for s in lonely] == [("term", 9, 17)]
+    assert got[100]["base"] == [] and got[101]["spans"] == []
+    # one text copied proves nothing
+    assert [s["kind"] for s in got[200]["spans"]] == ["email"]
+    clean = {r["doc_id"]: r["text"] for r in disclosure.sanitise(docs).collect()}
+    assert "nickname" not in clean[100] and "joe@" not in clean[3] and "[email]" in clean[3]
+    assert clean[101] == "clean text without anything"
+    assert clean[200] == "copied rareword next to [email] in copies"
+
+
+def test_awkward_rows(spark):
+    docs = awkward(spark, [(50, "call +1 (555) 123-4567 or 4111 1111 1111 1111."), (50, "another a@b.c"),
+                           (50, "another a@b.c"), (None, "x@y.zz")])
+    rows = disclosure.find_spans(docs).collect()
+    assert len(rows) == docs.count()
+    clean = disclosure.sanitise(docs)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    texts = sorted(r["text"] for r in clean.where("doc_id = 50 or doc_id is null").collect() if r["text"])
+    assert texts == ["[email]", "another [email]", "another [email]", "call [phone] or [card].", "null id text"]
+    assert disclosure.find_spans(empty(spark)).count() == 0
+    assert disclosure.sanitise(empty(spark)).count() == 0
+
+
+def test_query(spark, small):
+    from graticule.llm.queries import QUERIES
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    for r in QUERIES["op3_disclosure"](spark, small).collect():
+        want = brute(texts[r["doc_id"]])
+        said = ",".join(f"{k}:{a}:{b}" for a, _, k, b in want)
+        assert r["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k, _ in PATTERNS] == [sum(s[2] == k for s in want) for k, _ in PATTERNS]
+        assert set(filter(None, said.split(","))) <= set(r["spans"].split(","))
