@@ -45,7 +45,7 @@ def corpus(spark):
     name = lambda i: "".join(chr(97 + int(d)) for d in str(i))
     rows = [(i, f"word{name(i)} other nickname some joe@mail.example.com then more{name(i)} text")
             for i in range(30)]
-    rows += [(400 + i, "other some then text") for i in range(30)]
+    rows += [(600 + i, "other some then text") for i in range(30)]
     rows += [(100, "a lonely nickname far from it"), (101, "clean text without anything")]
     rows += [(200 + i, "copied rareword next to ann@mail.example.com in copies") for i in range(40)]
     rows += [(300 + i, f"common words here and there {i}") for i in range(200)]
