@@ -1,6 +1,7 @@
 """Session defaults and lineage cuts."""
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -17,6 +18,7 @@ def local_session(app="graticule", cores="*", partitions=8):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -27,15 +29,15 @@ def local_session(app="graticule", cores="*", partitions=8):
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables, as named by the session.
 
-    That is ``spark.checkpoint.dir``.  Only a local session without one gets a
-    temporary folder; on a cluster that would not survive the loss of a machine,
-    so it is refused.
+    That is ``spark.checkpoint.dir``.  Only a session in one process without one gets
+    a temporary folder; on a cluster, a local one too, that would not survive the
+    loss of an executor, so it is refused.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="graticule-checkpoint-")
         context.setCheckpointDir(folder)
@@ -43,7 +45,11 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared scratch folder and drop its lineage."""
+    """Materialise ``df`` in the shared scratch folder and drop its lineage.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` the files go once the
+    result is no longer referenced, so a loop keeps its last round only.
+    """
     scratch_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
