@@ -1,5 +1,7 @@
 """Spatial autocorrelation and natural breaks."""
 
+import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -56,15 +58,22 @@ def morans_i(values: DataFrame, weights: DataFrame, x="x") -> DataFrame:
     return out.withColumn("p_norm", two_sided_p("z_norm"))
 
 
-def _draws(pool, n, permutations, k):
-    """Row numbers into the pool: k neighbours and one spare per permutation."""
-    size = len(pool)
-    p = np.arange(permutations)[:, None]
-    s = np.arange(k + 1)[None, :]
-    base = p * (k + 1) + s
-    # a small grid is gone through again with another stride
-    lap = base // size
-    return (base + lap * s) % size
+def _draws(size, permutations, k, seed):
+    """Places in the pool: k neighbours and one spare per permutation.
+
+    The places of a permutation are the first different ones among the hashes of
+    ``seed:permutation:attempt`` modulo the pool's size, whatever that size; only a
+    pool with fewer places than that repeats them.
+    """
+    out = np.empty((permutations, k + 1), dtype=int)
+    for p in range(permutations):
+        places, attempt = {}, 0
+        while len(places) < min(k + 1, size):
+            digest = hashlib.md5(f"{seed}:{p}:{attempt}".encode()).hexdigest()
+            places.setdefault(int(digest[:8], 16) % size)
+            attempt += 1
+        out[p] = list(itertools.islice(itertools.cycle(places), k + 1))
+    return out
 
 
 def local_morans_i(values: DataFrame, weights: DataFrame, x="x", k=8, permutations=999,
@@ -90,7 +99,7 @@ def local_morans_i(values: DataFrame, weights: DataFrame, x="x", k=8, permutatio
     take = hash_take(values.select("cell", x), seed, "cell", min(n, permutations * (k + 1)))
     pool = hash_rank(take, seed, "cell", into="_k").toPandas().sort_values("_k")
     z, ids = pool[x].to_numpy(float) - mean, pool["cell"].to_numpy()
-    picks = _draws(pool, n, permutations, k)
+    picks = _draws(len(pool), permutations, k, seed)
     # equal means must compare equal however they were added up
     means = z[picks[:, :k]].mean(axis=1).round(12)
     members = picks[:, :k].ravel()
@@ -136,24 +145,41 @@ def at_most_below(value, bounds):
 def jenks_breaks(df: DataFrame, value, classes=5, bins=2048) -> DataFrame:
     """Natural breaks of all values: one row with ``classes + 1`` break values.
 
-    The values are reduced to at most ``bins`` bins with count, sum and range;
-    the best partition of the bins is then found exactly.  With fewer distinct
-    values than bins can tell apart the result is exact for the values.
+    Up to ``bins`` distinct values are partitioned exactly.  More are put into about
+    as many groups of neighbouring values with count, sum and range; the best
+    partition of the groups is found exactly, the groups on both sides of each break
+    are split further, and this is repeated until the breaks lie between single
+    values.  A pass brings at most a few thousand group sums to the driver.
     """
-    known = df.where(F.col(value).isNotNull())
-    low, high = known.agg(F.min(value), F.max(value)).first()
+    known = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
     spark = df.sparkSession
     schema = "n_classes int, breaks array<double>"
-    if low is None:
+    few = known.distinct().limit(bins + 1).toPandas()["v"].tolist()
+    if not few:
         return spark.createDataFrame([], schema)
-    width = (high - low) / bins or 1.0
-    at = F.least(F.floor((F.col(value) - low) / width), F.lit(bins - 1))
-    table = known.groupBy(at.alias("b")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"),
-        F.sum(F.col(value) * F.col(value)).alias("q"), F.max(value).alias("top"),
-    ).toPandas().sort_values("b")  # at most ``bins`` rows
-    breaks = [float(low)] + _best_partition(table, classes)
-    return spark.createDataFrame([(classes, breaks)], schema)
+    starts = set(few)
+    if len(few) > bins:
+        at = [i / bins for i in range(1, bins)]
+        starts = set(known.agg(F.percentile_approx("v", at, 20 * bins)).first()[0])
+    while True:
+        group = _between(F.col("v"), sorted(starts))
+        table = known.groupBy(group.alias("b")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"),
+            F.min("v").alias("low"), F.max("v").alias("top"),
+        ).toPandas().sort_values("b", ignore_index=True)
+        breaks = _best_partition(table, classes)
+        place = {top: i for i, top in enumerate(table["top"])}
+        beside = {j for t in breaks[:-1] for j in (place[t], place[t] + 1)}
+        wide = [int(table["b"][j]) for j in beside if table["low"][j] < table["top"][j]]
+        if not wide:
+            return spark.createDataFrame(
+                [(classes, [float(table["low"][0])] + breaks)], schema)
+        finer = known.select("v", group.alias("b")).where(F.col("b").isin(wide)).groupBy("b").agg(
+            F.percentile_approx("v", [i / 64 for i in range(1, 64)], 6400).alias("p"),
+            F.max("v").alias("top"))
+        # the largest value of a group becomes one of its own, so every pass goes on
+        for r in finer.collect():
+            starts |= {*r["p"], r["top"]}
 
 
 def _best_partition(table, classes):

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from graticule.functions import geometry, scaling
-from graticule.operators import aggregates, climate, distance, joins, models, resample, spatial
+from graticule.operators import (
+    aggregates, climate, distance, graph, joins, models, resample, spatial)
 
 
 def test_hazard_without_region(spark):
@@ -130,3 +131,47 @@ def test_stack_keeps_every_label(spark):
     a = spark.createDataFrame([(i, 0.1 * (i % 7)) for i in range(15)], "cell bigint, p double")
     _, frame = models.stack_meta({"a": a}, label)
     assert frame.count() == 20 and frame.where("cell = 19").first()["a"] == 0.0
+
+
+def test_communities_end_stable(spark):
+    n = 60
+    nodes = spark.range(n)
+    links = spark.range(n - 1).selectExpr("id as src", "id + 1 as dst")
+    want = {}
+    for together in (0, 3, 8):
+        got = {r["id"]: r["community"] for r in graph.communities(nodes, links, together=together).collect()}
+        groups = {}
+        for i, c in got.items():
+            groups.setdefault(c, []).append(i)
+        for c, members in groups.items():
+            # connected, and named after the smallest member
+            assert sorted(members) == list(range(c, c + len(members)))
+        # nobody has more neighbours in another community than in the own one, itself counted
+        for i, c in got.items():
+            near = [got[j] for j in (i - 1, i + 1) if 0 <= j < n]
+            assert all(near.count(o) <= near.count(c) + 1 for o in near)
+        want[together] = len(groups)
+    assert max(want.values()) < n / 2
+
+
+def test_breaks_beyond_the_bins(spark):
+    rng = np.random.default_rng(8)
+    values = np.round(np.concatenate([rng.exponential(0.01, 380), rng.random(40)]), 9)
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    exact = spatial.jenks_breaks(df, "v", 4, bins=2048).first()["breaks"]
+    coarse = spatial.jenks_breaks(df, "v", 4, bins=24).first()["breaks"]
+
+    def cost(breaks):
+        at = np.searchsorted(breaks[1:-1], values, side="left")
+        return sum(((values[at == k] - values[at == k].mean()) ** 2).sum() for k in set(at))
+
+    assert cost(exact) <= cost(coarse) <= 1.02 * cost(exact)
+    assert set(coarse) <= set(values)
+
+
+def test_draws_are_one_rule():
+    for size in (3, 9, 30, 8991):
+        picks = spatial._draws(size, 50, 8, 42)
+        assert picks.shape == (50, 9) and picks.max() < size
+        if size >= 9:
+            assert all(len(set(row)) == 9 for row in picks.tolist())

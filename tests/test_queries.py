@@ -6,11 +6,9 @@ import __spark_entry__ as entry
 from compare import compare
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-# its SQL assumes more cells than random draws; see test_spatial
-NEEDS_MORE_CELLS = {"local_morans_i"}
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n in SQL and n not in NEEDS_MORE_CELLS])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n in SQL])
 def test_same_as_sql(spark, duck, small, name):
     ok, message = compare(spark, duck, QUERIES[name], SQL[name], small)
     assert ok, message
