@@ -1,8 +1,8 @@
 """Polygons, lines and points to grid cells.
 
-Grid units: cell (r, c) covers [c, c+1] x [r, r+1].  A shape is first cut into
-rows, the rows are spread over the cluster, and only then do they become cells,
-so a continental polygon is not one task's work.
+Grid units: cell (r, c) covers [c, c+1] x [r, r+1].  A shape is first cut into its
+edges, each edge goes to the rows that it crosses, the rows are spread over the
+cluster, and only then do they become cells: a continental polygon is not one task's work.
 """
 
 from pyspark.sql import DataFrame
@@ -31,26 +31,29 @@ def _limits(height, width):
 def centre_cells(shapes: DataFrame, key, rings="rings", height=None, width=None) -> DataFrame:
     """(key, r, c): cells whose centre lies in the shape, even-odd over its rings.
 
-    Per row, the edges that cross the row's centre line are sorted by where they
-    cross; the cells between each odd crossing and the next are inside.
+    Each edge goes to the rows whose centre line it crosses; the crossings of a shape's
+    row are sorted, and the cells between each odd one and the next are inside.  A
+    group is one row of one shape, so a long outline is spread over the cluster.
+    Shapes that repeat key and rings count once.
     """
     low, row_cap, col_cap = _limits(height, width)
-    all_edges = F.flatten(F.transform(rings, edges))
-    with_edges = shapes.select(*key, all_edges.alias("_e"))
-    ys = lambda f: f(F.transform("_e", lambda e: F.least(e["y1"], e["y2"])
-                                 if f is F.array_min else F.greatest(e["y1"], e["y2"])))
-    rows = _span(low(_long(ys(F.array_min))), row_cap(_long(ys(F.array_max))))
-    by_row = with_edges.where(F.size("_e") > 0).withColumn("r", F.explode(rows))
+    e = lambda f: F.col(f"e.{f}")
+    # the hash is taken below the explosion, once for each shape
+    lines = shapes.select(*key, F.col(rings).alias("_rings")).distinct().select(
+        *key, F.xxhash64("_rings").alias("_shape"),
+        F.flatten(F.transform("_rings", edges)).alias("_edges"),
+    ).select(*key, "_shape", F.explode("_edges").alias("e"))
+    y0, y1 = F.least(e("y1"), e("y2")), F.greatest(e("y1"), e("y2"))
+    first_row = low(F.ceil(y0 - 0.5).cast("long"))
+    last_row = row_cap((F.ceil(y1 - 0.5) - 1).cast("long"))
     y = F.col("r") + F.lit(0.5)
-    crossing = lambda e: (e["y1"] <= y) != (e["y2"] <= y)
-    x_at = lambda e: e["x1"] + (y - e["y1"]) / (e["y2"] - e["y1"]) * (e["x2"] - e["x1"])
-    crossed = by_row.select(
-        *key, "r", F.array_sort(F.transform(F.filter("_e", crossing), x_at)).alias("_x"))
+    x_at = e("x1") + (y - e("y1")) / (e("y2") - e("y1")) * (e("x2") - e("x1"))
+    crossed = lines.where(y0 < y1).withColumn("r", F.explode(_span(first_row, last_row))).groupBy(
+        *key, "_shape", "r").agg(F.sort_array(F.collect_list(x_at)).alias("_x"))
     pairs = F.transform(
         F.sequence(F.lit(0), (F.size("_x") / 2).cast("int") - 1),
         lambda i: F.struct(F.get("_x", 2 * i).alias("a"), F.get("_x", 2 * i + 1).alias("b")))
-    spans = crossed.where(F.size("_x") >= 2).repartition(*key, "r").select(
-        *key, "r", F.explode(pairs).alias("s"))
+    spans = crossed.where(F.size("_x") >= 2).select(*key, "r", F.explode(pairs).alias("s"))
     first = low(F.ceil(F.col("s.a") - 0.5).cast("long"))
     last = col_cap((F.ceil(F.col("s.b") - 0.5) - 1).cast("long"))
     return spans.select(*key, "r", F.explode(_span(first, last)).alias("c"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graticule.functions import geometry, scaling
 from graticule.operators import (
-    aggregates, climate, distance, graph, joins, models, resample, spatial)
+    aggregates, climate, distance, graph, joins, models, rasterize, resample, spatial)
 
 
 def test_hazard_without_region(spark):
@@ -175,3 +175,20 @@ def test_draws_are_one_rule():
         assert picks.shape == (50, 9) and picks.max() < size
         if size >= 9:
             assert all(len(set(row)) == 9 for row in picks.tolist())
+
+
+def test_long_outline(spark):
+    n = 100_000
+    turn = [2 * math.pi * i / n for i in range(n)]
+    ring = [(100 + math.cos(t) * (60 + 30 * math.sin(i * 0.02)), 100 + math.sin(t) * (60 + 30 * math.sin(i * 0.02)))
+            for i, t in enumerate(turn)]
+    star = spark.createDataFrame(
+        [(1, [[*ring, ring[0]]])], "id int, rings array<array<struct<x:double,y:double>>>")
+    twice = star.union(star)
+    cells = rasterize.centre_cells(twice, ["id"], height=200, width=200)
+    got = {(r["r"], r["c"]) for r in cells.collect()}
+    assert cells.count() == len(got)
+    # every centre within the inner circle is inside, none beyond the outer one
+    far = lambda r, c: math.hypot(r - 99.5, c - 99.5)
+    inner = {(r, c) for r in range(200) for c in range(200) if far(r, c) < 30}
+    assert inner <= got and max(far(r, c) for r, c in got) < 91
