@@ -24,10 +24,10 @@ def rnd(x, n=6):
 
 @query("scan_layer", """
 select o_orderkey // 150 as r, o_orderkey % 150 as c, o_totalprice as value
-from orders where o_totalprice > 250000""")
+from orders""")
 def scan_layer(spark, d):
     raw = L.scan_layer(spark, f"{d}/orders.parquet", value="o_totalprice", index="o_orderkey",
-                       width=X.WIDTH, where=F.col("o_totalprice") > 250000)
+                       width=X.WIDTH)
     return raw.select("r", "c", "value")
 
 
@@ -352,10 +352,10 @@ def complement(spark, d):
 
 @query("assemble_split_map", """
 select g.cell, case when s.split is null then 0 else s.split end as split
-from g left join (select cell, split from split where split > 0 and y = 1) s
+from g left join (select cell, split from split where split > 0) s
 on g.cell = s.cell""", ["g", "split"])
 def assemble_split_map(spark, d):
-    s = X.split(spark, d).where(F.col("y") == 1)
+    s = X.split(spark, d)
     part = lambda k: s.where(F.col("split") == k).select("cell")
     return sampling.assemble_split_map(
         X.g(spark, d), part(1), part(2), part(3)).select("cell", "split")

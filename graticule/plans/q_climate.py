@@ -31,18 +31,27 @@ def windy_days(spark, d):
     return C.windy_days(C.daily_wind(X.obs_hourly(spark, d)), "max_speed")
 
 
-@query("heatwave_index", """
+def heatwave_sql(quantile, window):
+    return f"""(
 with h as (select o.cell, o.date, row_number() over (partition by o.cell order by o.date) as k
-  from obs o join (select cell, quantile_cont(t, 0.5) as q from obs group by 1) p
+  from obs o join (select cell, quantile_cont(t, {quantile}) as q from obs group by 1) p
   on o.cell = p.cell where o.t >= p.q and o.t > 25),
 r as (select cell, year(date) as y, date - cast(k as integer) as run, count(*) as days
   from h group by 1, 2, 3),
-w as (select cell, cast(sum(days) as bigint) as days from r where days >= 3 group by 1)
+w as (select cell, cast(sum(days) as bigint) as days from r where days >= {window} group by 1)
 select c.cell, coalesce(w.days, 0) as heatwave_days from (select distinct cell from obs) c
-left join w on c.cell = w.cell""", ["obs"])
+left join w on c.cell = w.cell)"""
+
+
+@query("heatwave_index", f"""
+select a.cell, a.heatwave_days, b.heatwave_days as warm_days
+from {heatwave_sql(0.95, 5)} a join {heatwave_sql(0.5, 3)} b on a.cell = b.cell""", ["obs"])
 def heatwave_index(spark, d):
-    # thresholds lowered so that 30 days of data hold some waves
-    return C.heatwave_index(X.obs(spark, d), "t", quantile=0.5, window=3)
+    # the published setting, and a lower one that 30 days of data can reach
+    obs = X.obs(spark, d)
+    low = C.heatwave_index(obs, "t", quantile=0.5, window=3)
+    return C.heatwave_index(obs, "t").join(
+        low.withColumnRenamed("heatwave_days", "warm_days"), "cell")
 
 
 @query("water_balance", """
@@ -64,7 +73,8 @@ z as (select cell, month, (wb - avg(wb) over m) / stddev_pop(wb) over m as spei
   window m as (partition by cell, month(month))),
 r as (select cell, avg(spei) over (partition by cell order by month
   rows between 2 preceding and current row) as s from z)
-select cell, count(*) filter (s < -0.8) as drought_months from r group by 1""", ["obs_long"])
+select cell, count(*) filter (s < -2) as drought_months, count(*) filter (s < -0.8) as dry_months
+from r group by 1""", ["obs_long"])
 def drought_index(spark, d):
     # a plain standard score stands in for the fitted index, so that SQL can follow
     balance = C.water_balance(X.obs_long(spark, d)).withColumn("m", F.month("month"))
@@ -72,12 +82,13 @@ def drought_index(spark, d):
         F.avg("wb").alias("mean"), F.stddev_pop("wb").alias("sd"))
     index = balance.join(moments, ["cell", "m"]).withColumn(
         "spei", F.try_divide(F.col("wb") - F.col("mean"), F.col("sd")))
-    return C.drought_index(index, limit=-0.8)
+    dry = C.drought_index(index, limit=-0.8)
+    return C.drought_index(index).join(dry.withColumnRenamed("drought_months", "dry_months"), "cell")
 
 
 @query("drought_index_spei")
 def drought_index_spei(spark, d):
-    return C.drought_index(C.spei(C.water_balance(X.obs_long(spark, d)), offset=500.0), limit=-1.0)
+    return C.drought_index(C.spei(C.water_balance(X.obs_long(spark, d)), offset=500.0))
 
 
 def yearly_mean_sql(value, name, divide):

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from graticule.functions.scaling import minmax_scale, target_scale
 from graticule.operators import evaluation as E
 from graticule.operators import models as M
-from graticule.operators.aggregates import best_run, region_stats
+from graticule.operators.aggregates import region_stats
 from graticule.plans import fixtures as X
 from graticule.plans.catalog import query
+from graticule.plans.q_evaluation import COMPARISON
 from graticule.session import scratch_folder
 from graticule.sources import layers as L
 from graticule.sources import npy, text
@@ -56,20 +57,20 @@ def fitted_scores(fit):
 
 
 query("fit_lr")(fitted_scores(lambda t: M.fit_lr(t, VARS)))
-query("fit_rf")(fitted_scores(lambda t: M.fit_rf(t, VARS, trees=30, depth=6)))
-query("fit_mlp")(fitted_scores(lambda t: M.fit_mlp(t, VARS, hidden=(16, 16), iterations=40)))
+query("fit_rf")(fitted_scores(lambda t: M.fit_rf(t, VARS)))
+query("fit_mlp")(fitted_scores(lambda t: M.fit_mlp(t, VARS)))
 
 
 @query("fit_rf_reg")
 def fit_rf_reg(spark, d):
     train, test = sets(spark, d)
     target = target_scale(train, "v", "target")
-    return M.score_cells(M.fit_rf_reg(target, ["cust", "age", "prio"], "target", 20, 6), test)
+    return M.score_cells(M.fit_rf_reg(target, ["cust", "age", "prio"], "target"), test)
 
 
 @query("fit_patch_model")
 def fit_patch_model(spark, d):
-    frame = M.patch_frame(ml_grid(spark, d), ["price", "prio"], 3)
+    frame = M.patch_frame(ml_grid(spark, d), VARS)
     model = M.fit_patch_model(frame.where(F.col("split").isin(1, 2)))
     return M.score_cells(model, frame.where(F.col("split") == 3), keep=("y",))
 
@@ -104,22 +105,21 @@ def save_load_model(spark, d):
 
 @query("feature_importance")
 def feature_importance(spark, d):
-    return M.feature_importance(spark, M.fit_rf(sets(spark, d)[0], VARS, trees=30, depth=6), VARS)
+    return M.feature_importance(spark, M.fit_rf(sets(spark, d)[0], VARS), VARS)
 
 
 @query("permutation_importance")
 def permutation_importance(spark, d):
     train, test = sets(spark, d)
-    return M.permutation_importance(M.fit_rf(train, VARS, trees=30, depth=6), test, VARS)
+    return M.permutation_importance(M.fit_rf(train, VARS), test, VARS)
 
 
 @query("param_search")
 def param_search(spark, d):
     grid = ml_grid(spark, d)
     part = lambda k: grid.where(F.col("split") == k)
-    settings = [{"regParam": r, "maxIter": 30} for r in (0.0001, 0.01, 1.0)]
-    table = M.param_search(LogisticRegression(labelCol="y"), settings, part(1), part(2), VARS)
-    return best_run(table)
+    settings = M.random_settings({"regParam": (1e-4, 1.0), "elasticNetParam": [0.0, 0.5, 1.0]}, 8)
+    return M.param_search(LogisticRegression(labelCol="y"), settings, part(1), part(2), VARS)
 
 
 @query("inverse_error_ensemble", """
@@ -165,26 +165,18 @@ def write_layer(spark, d):
     return spark.read.parquet(path).select("cell", "r", "c", "value")
 
 
-METRIC_ROWS = """
-select model, 'run' as experiment, 0.0::double as accuracy, 0.0::double as precision,
-  0.0::double as recall, count(*)::double as f1, 0.5::double as auroc,
-  round(max(p), 9) as ap, round(avg(abs(y - p)), 9) as mae, min(p) as best_threshold
-from scores_multi group by 1"""
+METRIC_ROWS = f"""
+select model, 'run' as experiment, accuracy, precision, recall, f1, auroc, ap, mae, best_threshold
+from ({COMPARISON})"""
 
 
 @query("append_metrics", f"select * from ({METRIC_ROWS}) union all select * from ({METRIC_ROWS})",
-       ["scores_multi"])
+       ["curve", "best"])
 def append_metrics(spark, d):
     path = new_path(spark, "metrics")
-    zero = F.lit(0.0)
-    rows = X.scores_multi(spark, d).groupBy("model").agg(
-        F.lit("run").alias("experiment"), F.first(zero).alias("accuracy"),
-        F.first(zero).alias("precision"), F.first(zero).alias("recall"),
-        F.count(F.lit(1)).alias("f1"), F.first(F.lit(0.5)).alias("auroc"),
-        F.round(F.max("p"), 9).alias("ap"), F.round(F.avg(F.abs(F.col("y") - F.col("p"))), 9).alias("mae"),
-        F.min("p").alias("best_threshold"))
+    rows = rounded(E.model_comparison(X.scores_multi(spark, d)), "auroc", "ap", "mae", digits=9)
     for _ in range(2):
-        L.append_metrics(rows, path)
+        L.append_metrics(rows.withColumn("experiment", F.lit("run")), path)
     return L.read_metrics(spark, path)
 
 

@@ -192,3 +192,14 @@ def test_long_outline(spark):
     far = lambda r, c: math.hypot(r - 99.5, c - 99.5)
     inner = {(r, c) for r in range(200) for c in range(200) if far(r, c) < 30}
     assert inner <= got and max(far(r, c) for r, c in got) < 91
+
+
+def test_filters_and_columns_reach_the_scan(spark, small, capsys):
+    from graticule.sources.layers import scan_layer
+
+    layer = scan_layer(spark, f"{small}/orders.parquet", "o_totalprice", "o_orderkey", 150,
+                       where=F.col("o_totalprice") > 250000)
+    layer.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "GreaterThan(o_totalprice,250000" in plan
+    assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan
