@@ -145,7 +145,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories, key="doc_id", text="te
     share = min(1.0, sample / n) if n else 1.0
     pick = F.pmod(F.xxhash64("_key", F.lit(17)), F.lit(1 << 20)) < share * (1 << 20)
     drawn = docs.select(named(key).alias("_key"), named(text).alias("text")).where(pick).join(
-        known.where(pick), "_key").select("_key", "text", "toxic").limit(2 * sample)
+        known.where(pick), "_key").select("_key", "text", "toxic")
     chain = Chain(choose_terms(drawn, most_terms), [*categories, label])
     places = chain.place
     sought = [frozenset(words) for words in categories.values()]
@@ -161,7 +161,9 @@ def learn(docs: DataFrame, labels: DataFrame, categories, key="doc_id", text="te
                 [b["_key"], b["toxic"], pa.array(rows, pa.list_(pa.int32())),
                  pa.array(at, pa.list_(pa.int32()))], names=["_key", "toxic", "at", "hits"])
 
-    got = drawn.mapInArrow(encode, "_key bigint, toxic int, at array<int>, hits array<int>").toArrow()
+    # the limit stands behind the texts, so none of them meet in one task
+    got = drawn.mapInArrow(
+        encode, "_key bigint, toxic int, at array<int>, hits array<int>").limit(2 * sample).toArrow()
     order = np.lexsort((np.asarray(got["toxic"]), np.asarray(got["_key"])))
     lists = [got["at"][int(i)].as_py() for i in order]
     toxic = np.asarray(got["toxic"], dtype=float)[order]
