@@ -5,6 +5,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 CHUNK_ROWS = 64
@@ -92,8 +93,9 @@ def scan_npy_grid(spark, path, **options):
 def write_npy_grid(df, path, height, width, value="value"):
     """Write a grid as one array file in a shared folder, each task its own rows.
 
-    The file is created at full size with missing values, then every task writes
-    its runs of cells in place; doing so twice changes nothing.
+    The driver writes the header and the size alone; every block of rows is written
+    whole by one task, with missing values where the table has no cell, so doing it
+    twice changes nothing.
     """
     path = posix(path)
     header = f"{{'descr': '<f8', 'fortran_order': False, 'shape': ({height}, {width}), }}"
@@ -102,22 +104,21 @@ def write_npy_grid(df, path, height, width, value="value"):
     with open(path, "wb") as f:
         f.write(b"\x93NUMPY\x01\x00" + len(head).to_bytes(2, "little") + head)
         offset = f.tell()
-        row = np.full(width, np.nan).tobytes()
-        for _ in range(height):
-            f.write(row)
-
-    def store(batches):
+        f.truncate(offset + height * width * 8)
+
+    def store(block, cells):
+        first = int(block.column("_b")[0].as_py()) * CHUNK_ROWS * width
+        data = np.full(min(CHUNK_ROWS * width, height * width - first), np.nan, dtype="<f8")
+        if cells.num_rows:
+            values = cells.column("value").to_numpy(zero_copy_only=False).astype(float)
+            data[cells.column("cell").to_numpy() - first] = values
         with open(path, "r+b") as f:
-            for pdf in batches:
-                cells = pdf["cell"].to_numpy()
-                values = pdf["value"].to_numpy(float)
-                cuts = np.flatnonzero(np.diff(cells) != 1) + 1
-                for at, run in zip(np.split(cells, cuts), np.split(values, cuts)):
-                    if len(at):
-                        f.seek(offset + int(at[0]) * 8)
-                        f.write(run.astype("<f8").tobytes())
-        yield pa.Table.from_pylist([], pa.schema([("cell", pa.int64())])).to_pandas()
-
-    rows = df.selectExpr("cast(cell as bigint) as cell", f"cast({value} as double) as value")
-    placed = rows.repartitionByRange("cell").sortWithinPartitions("cell")
-    placed.mapInPandas(store, "cell bigint").write.format("noop").mode("overwrite").save()
+            f.seek(offset + first * 8)
+            f.write(data.tobytes())
+        return pa.table({"cell": pa.array([], pa.int64())})
+
+    blocks = df.sparkSession.range(-(-height // CHUNK_ROWS)).select(F.col("id").alias("_b"))
+    cells = df.selectExpr("cast(cell as bigint) as cell", f"cast({value} as double) as value").withColumn(
+        "_at", F.floor(F.col("cell") / (CHUNK_ROWS * width)).cast("bigint"))
+    blocks.groupBy("_b").cogroup(cells.groupBy("_at")).applyInArrow(
+        store, "cell bigint").write.format("noop").mode("overwrite").save()
