@@ -164,7 +164,7 @@ def nearest(rows: DataFrame, key="vec_id", vector="embedding", every=20, k=20, s
     share = min(1.0, sample / n_classes)
     drawn = classes.where(
         F.pmod(F.xxhash64("_class", F.lit(11)), F.lit(1 << 20)) < share * (1 << 20)
-    ).select("_vec").limit(2 * sample).toArrow()
+    ).select("_class", "_vec").limit(2 * sample).toArrow().sort_by("_class")
     learning = _matrix(drawn["_vec"]) if drawn.num_rows else None
     if learning is None:
         learning = _matrix(classes.select("_vec").limit(1).toArrow()["_vec"])

@@ -8,8 +8,9 @@ prefix of ``l`` segments differs in at most ``l * budget / segments`` bits (Qin
 most one bit, that is, one half of the successor is equal too: fingerprints meet on
 (segment, successor's half) and the whole chain is checked before the full distance.
 
-Equal fingerprints are one node, so copies are never expanded into pairs.  A null or
-empty text has the fingerprint zero, which links like any other.
+Equal fingerprints are one node, so copies are never expanded into pairs.  Fingerprints
+at one or two bits are put together before, by the patterns that they nearly share, and
+the pairs are only those between such groups.  A null or empty text has the fingerprint zero, which links like any other.
 """
 
 from itertools import accumulate
@@ -106,22 +107,46 @@ def _first_meeting(a: Column, b: Column, budget: int) -> Column:
     return F.coalesce(*tried)
 
 
-def near_pairs(prints: DataFrame, budget=4, column="fp") -> DataFrame:
-    """Pairs (src < dst) of different fingerprints at ``budget`` or fewer bits."""
+def close_links(prints: DataFrame, column="fp") -> DataFrame:
+    """Links (src, dst) that hold all fingerprints at 2 or fewer bits together.
+
+    Fingerprints that agree but for one bit each with a common pattern are at most two
+    bits apart.  Such a group has at most 65 members, and each is linked to its
+    smallest one: a dense group costs 65 rows per fingerprint, not all its pairs.
+    """
+    value = named(column)
+    near = F.concat(F.array(value), *[
+        F.array(value.bitwiseXOR(F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b))) for b in range(BITS)])
+    groups = prints.where(value.isNotNull()).select(value.alias("fp"), F.explode(near).alias("at")).groupBy(
+        "at").agg(F.collect_set("fp").alias("all")).where(F.size("all") > 1)
+    return groups.select(F.array_min("all").alias("src"), F.explode("all").alias("dst")).where(
+        F.col("src") < F.col("dst")).distinct()
+
+
+def near_pairs(prints: DataFrame, budget=4, column="fp", group=None) -> DataFrame:
+    """Pairs (src < dst) of different fingerprints at ``budget`` or fewer bits, each once.
+
+    With a column ``group``, pairs of groups (src < dst) that such a pair connects; what
+    lies within one group is not listed.
+    """
     if not 2 <= budget <= 15:
         raise ValueError("the budget must lie between 2 and 15 bits")
-    keyed = prints.where(named(column).isNotNull()).select(named(column).alias("fp")).distinct()
-    keyed = keyed.select("fp", F.explode(_meeting_keys(F.col("fp"), budget)).alias("m")).select(
-        "m.t", "m.k", "fp")
-    a = keyed.select("t", "k", F.col("fp").alias("src"))
-    b = keyed.select("t", "k", F.col("fp").alias("dst"))
+    value = named(column)
+    keyed = prints.where(value.isNotNull()).select(
+        value.alias("fp"), (named(group) if group else value).alias("g")).distinct()
+    keyed = keyed.select("fp", "g", F.explode(_meeting_keys(F.col("fp"), budget)).alias("m")).select(
+        "m.t", "m.k", "fp", "g")
+    a = keyed.select("t", "k", F.col("fp").alias("src"), F.col("g").alias("a"))
+    b = keyed.select("t", "k", F.col("fp").alias("dst"), F.col("g").alias("b"))
     src, dst = F.col("src"), F.col("dst")
     near = a.join(b, [
-        a["t"] == b["t"], a["k"] == b["k"], src < dst,
+        a["t"] == b["t"], a["k"] == b["k"], src < dst, F.col("a") != F.col("b"),
         F.bit_count(src.bitwiseXOR(dst)) <= budget,
         _first_meeting(src, dst, budget) == a["t"],
     ])
-    return near.select("src", "dst")
+    if group is None:
+        return near.select("src", "dst")
+    return near.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -170,9 +195,13 @@ def _classes(docs, key, text, budget, shingle, seed):
     row = F.struct(F.col("_key").isNull().alias("last"), F.col("_key").alias("key"),
                    F.col("_text").alias("text"))
     nodes = durable(prints.groupBy(F.col("_fp").alias("id")).agg(F.min(row).alias("first")))
-    pairs = durable(near_pairs(nodes, budget, "id"))
-    # only fingerprints with a link can be in a larger component
-    known = nodes.join(components(pairs), "id", "left")
+    # dense groups first, then the links between them; others are alone
+    dense = durable(components(durable(close_links(nodes, "id"))))
+    grouped = durable(nodes.join(dense.withColumnRenamed("component", "g"), "id", "left").select(
+        "id", F.coalesce("g", "id").alias("g"), F.col("g").isNotNull().alias("linked"), "first"))
+    between = components(durable(near_pairs(grouped, budget, "id", "g"))).withColumnRenamed("id", "g")
+    known = grouped.join(between, "g", "left").select("id", "first", F.coalesce(
+        "component", F.when(F.col("linked"), F.col("g"))).alias("component"))
     least = known.where(F.col("component").isNotNull()).groupBy("component").agg(
         F.min("first").alias("least"))
     return prints, known.join(least, "component", "left").select(
