@@ -75,6 +75,54 @@ def fit_patch_model(spark, d):
     return M.score_cells(model, frame.where(F.col("split") == 3), keep=("y",))
 
 
+MODEL_CHECKS = ["fit_lr", "fit_mlp", "fit_patch_model", "fit_rf", "fit_rf_reg", "feature_importance",
+                "hazard_map", "save_load_model"]
+
+
+@query("model_checks", "select model, true as ok from (values "
+       + ", ".join(f"('{m}')" for m in MODEL_CHECKS) + ") t(model)")
+def model_checks(spark, d):
+    """What must hold for any fitted model: optimum, floors of accuracy, ranges, round trip."""
+    grid = ml_grid(spark, d).persist()
+    train, test = grid.where(F.col("split").isin(1, 2)), grid.where(F.col("split") == 3)
+    ok = {}
+    lr = M.fit_lr(train, VARS)
+    scored = M.score_cells(lr, train, keep=("y", *VARS))
+    off = F.col("p") - F.col("y")
+    coefficients = lr.stages[-1].coefficients.toArray()
+    slopes = scored.agg(F.sum(off).alias("b"), F.count(F.lit(1)).alias("n"),
+                        *[F.sum(off * F.col(v)).alias(v) for v in VARS]).first()
+    # at the optimum the loss has no slope left, the penalty's included
+    gradient = [slopes["b"]] + [slopes[v] + c for v, c in zip(VARS, coefficients)]
+    ok["fit_lr"] = max(abs(g) for g in gradient) < 0.01 * slopes["n"]
+
+    def area(model, cells):
+        rows = M.score_cells(model, cells, keep=("y",)).withColumn("model", F.lit("m"))
+        return E.auroc(E.cumulative_curve(rows)).first()["auroc"]
+
+    ok["fit_mlp"] = area(M.fit_mlp(train, VARS), test) > 0.8
+    forest = M.fit_rf(train, VARS)
+    ok["fit_rf"] = area(forest, test) > 0.9
+    shares = [r["importance"] for r in M.feature_importance(spark, forest, VARS).collect()]
+    ok["feature_importance"] = abs(sum(shares) - 1) < 1e-9 and min(shares) >= 0
+    frame = M.patch_frame(grid, VARS)
+    patch = M.fit_patch_model(frame.where(F.col("split").isin(1, 2)))
+    ok["fit_patch_model"] = area(patch, frame.where(F.col("split") == 3)) > 0.7
+    target = target_scale(train, "v", "target")
+    ends = target.agg(F.min("target"), F.max("target")).first()
+    found = M.score_cells(M.fit_rf_reg(target, ["cust", "age", "prio"], "target"), test).agg(
+        F.min("p"), F.max("p")).first()
+    ok["fit_rf_reg"] = ends[0] <= found[0] <= found[1] <= ends[1]
+    world = M.hazard_map(lr, grid, VARS, "v").join(grid.select("cell", "v"), "cell")
+    ok["hazard_map"] = world.where(F.col("p").isNull() != (F.coalesce("v", F.lit(0.0)) <= 0)).isEmpty()
+    path = os.path.join(scratch_folder(spark), f"model-{uuid.uuid4().hex}")
+    M.save_model(lr, path)
+    again = M.score_cells(M.load_model(path), test).withColumnRenamed("p", "q")
+    ok["save_load_model"] = M.score_cells(lr, test).join(again, "cell").where("p <> q").isEmpty()
+    grid.unpersist()
+    return spark.createDataFrame([(m, bool(ok[m])) for m in MODEL_CHECKS], "model string, ok boolean")
+
+
 @query("score_cells", """
 with lim as (select min(price) as p0, max(price) - min(price) as p1, min(prio) as q0,
   max(prio) - min(prio) as q1 from features)
