@@ -8,13 +8,16 @@ path) or solves whole tiles at once, and each round ends in a checkpoint.
 import itertools
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graticule.operators.focal import TILE, focal_apply, windows
+from graticule.operators.terrain import flow_direction
 from graticule.session import durable
 
+EARTH_KM = 6371.0088  # mean radius
+
 
 def _lower(z, w, gradient):
     """Lower the water level w of the inner cells as far as its rim allows."""
@@ -117,6 +120,32 @@ def basins(flow: DataFrame) -> DataFrame:
     return _doubling(durable(start), step, F.col("jump").isNotNull()).select("cell", "outlet")
 
 
+def cell_area(row: Column, top, resolution) -> Column:
+    """Area in km2 of a cell of a geographic grid: narrower towards the poles.
+
+    ``top`` is the latitude of the grid's upper edge in degrees.
+    """
+    edge = lambda r: F.sin(F.radians(F.lit(float(top)) - r * F.lit(float(resolution))))
+    return F.radians(F.lit(float(resolution))) * F.lit(EARTH_KM ** 2) * (edge(row) - edge(row + 1))
+
+
+def drainage(df: DataFrame, z="z", width=None, top=0.0, resolution=1.0, limit=100.0,
+             gradient=1e-6, tile=TILE):
+    """Drainage on filled ground: (flow, upstream area, basins, streams with order).
+
+    Pits are filled with a small ``gradient``, so every cell inside the raster has a
+    way down and only cells on its edge, or next to a gap, are outlets.  Streams are
+    the cells with more than ``limit`` km2 upstream.
+    """
+    filled = durable(fill_depressions(df, z, gradient, tile))
+    flow = durable(flow_direction(filled, "filled", width, tile).join(
+        filled.select("cell", F.col("filled")), "cell").withColumn(
+        "area", cell_area(F.col("r"), top, resolution)))
+    upstream = durable(flow_accumulation(flow, "area", "upstream_km2"))
+    streams = durable(stream_cells(flow, upstream, limit, "upstream_km2"))
+    return flow, upstream, basins(flow), streams.join(strahler(streams), "cell")
+
+
 def stream_cells(flow: DataFrame, upstream: DataFrame, limit, area="upstream") -> DataFrame:
     """Stream links (cell, parent): cells with more than ``limit`` upstream.
 

@@ -17,7 +17,7 @@ from graticule.functions.scalar import clipped_probability
 from graticule.functions.scaling import minmax_scale
 from graticule.operators.cells import binarize, fill_missing, map_domain, valid_mask
 from graticule.operators.focal import patch_extract
-from graticule.operators.joins import align_layers, scatter_to_grid
+from graticule.operators.joins import scatter_to_grid
 from graticule.operators.ranks import hash_rank
 from graticule.operators.sampling import sample_fraction
 from graticule.session import durable

@@ -347,3 +347,25 @@ select cell, k as strahler from ord""", ["flow"])
 def strahler(spark, d):
     f = flow(spark, d)
     return hydrology.strahler(hydrology.stream_cells(f, hydrology.flow_accumulation(f), 2))
+
+
+@query("drainage_chain", """
+select count(*) as n_cells, cast(0 as bigint) as inner_outlets,
+  round(sum(radians(0.1::double) * 6371.0088::double * 6371.0088
+    * (sin(radians(60.0::double - r * 0.1::double)) - sin(radians(60.0::double - (r + 1) * 0.1::double)))), 3)
+    as outlet_km2, count(*) as drained_cells, true as orders_grow
+from dem""", ["dem"])
+def drainage_chain(spark, d):
+    """Everything drains over the edge, and the areas at the outlets add up to the whole."""
+    rows = height(spark, d)
+    flow, upstream, outlets, streams = hydrology.drainage(
+        X.dem(spark, d), "z", X.WIDTH, top=60.0, resolution=0.1, limit=300.0)
+    inner = F.col("r").between(1, rows - 2) & F.col("c").between(1, X.WIDTH - 2)
+    ends = flow.where(F.col("parent").isNull())
+    below = streams.select(F.col("cell").alias("parent"), F.col("strahler").alias("next"))
+    falling = streams.join(below, "parent").where(F.col("next") < F.col("strahler"))
+    return flow.agg(F.count(F.lit(1)).alias("n_cells")).select(
+        "n_cells", ends.agg(F.count_if(inner)).scalar().alias("inner_outlets"),
+        ends.join(upstream, "cell").agg(F.round(F.sum("upstream_km2"), 3)).scalar().alias("outlet_km2"),
+        outlets.where(F.col("outlet").isNotNull()).agg(F.count(F.lit(1))).scalar().alias("drained_cells"),
+        F.lit(falling.isEmpty()).alias("orders_grow"))
