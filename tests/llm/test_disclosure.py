@@ -2,7 +2,6 @@ import hashlib
 import random
 import re
 
-from pyspark.sql import functions as F
 
 from graticule.llm import disclosure
 from helpers import awkward, empty

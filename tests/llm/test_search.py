@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from graticule.llm import multi_index
 from graticule.llm.queries import QUERIES
