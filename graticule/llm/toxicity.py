@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graticule.llm.common import letters, named
+from graticule.session import durable
 
 BEGINNINGS = (4, 5, 6)
 FOLDS = 5
@@ -144,8 +145,9 @@ def learn(docs: DataFrame, labels: DataFrame, categories, key="doc_id", text="te
     n = known.count()
     share = min(1.0, sample / n) if n else 1.0
     pick = F.pmod(F.xxhash64("_key", F.lit(17)), F.lit(1 << 20)) < share * (1 << 20)
-    drawn = docs.select(named(key).alias("_key"), named(text).alias("text")).where(pick).join(
-        known.where(pick), "_key").select("_key", "text", "toxic")
+    # written once: three passes read it
+    drawn = durable(docs.select(named(key).alias("_key"), named(text).alias("text")).where(pick).join(
+        known.where(pick), "_key").select("_key", "text", "toxic"))
     chain = Chain(choose_terms(drawn, most_terms), [*categories, label])
     places = chain.place
     sought = [frozenset(words) for words in categories.values()]
