@@ -33,14 +33,15 @@ def _lower(z, w, gradient):
         w[core] = new
 
 
-def fill_depressions(df: DataFrame, z="z", gradient=0.0, tile=TILE, max_rounds=1000) -> DataFrame:
+def fill_depressions(df: DataFrame, z="z", gradient=0.0, tile=TILE) -> DataFrame:
     """Raise pits until every cell drains over falling (or level) ground.
 
     The result is the lowest surface w >= z in which each cell has a neighbour
     with ``w + gradient`` not above it; cells on the raster's edge or next to a
     gap keep their height (Planchon and Darboux 2001).  Tiles are solved whole
     and exchange their rims until none changes, so the number of rounds follows
-    the number of tiles a path crosses, not its cells.
+    the number of tiles a path crosses, not its cells.  Levels only fall, so the
+    rounds end.
     """
 
     def step(first):
@@ -65,15 +66,14 @@ def fill_depressions(df: DataFrame, z="z", gradient=0.0, tile=TILE, max_rounds=1
 
     kinds = {z: T.DoubleType(), "w": T.DoubleType(), "changed": T.LongType()}
     state = durable(focal_apply(df, [z], step(True), kinds, 1, tile))
-    for _ in range(max_rounds):
+    while True:
         state = durable(focal_apply(state, [z, "w"], step(False), kinds, 1, tile))
         if state.where("changed = 1").isEmpty():
             return state.select("cell", "r", "c", F.col(z), F.col("w").alias("filled"))
-    raise RuntimeError(f"water levels still moving after {max_rounds} rounds")
 
 
 def _doubling(state, step, active, max_rounds=64):
-    """Repeat ``step`` until no row is active."""
+    """Repeat ``step`` until no row is active: no path has 2 ** 64 cells, but a cycle does."""
     for _ in range(max_rounds):
         if state.where(active).isEmpty():
             return state

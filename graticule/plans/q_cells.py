@@ -139,11 +139,14 @@ def clip_to_region(spark, d):
 @query("points_in_extent", """
 select s_suppkey from supplier
 where s_nationkey > 3 and s_nationkey < 20 and s_acctbal > 0 and s_acctbal < 9000
+  and s_suppkey % 3 = 0
 """)
 def points_in_extent(spark, d):
-    points = X.table(spark, d, "supplier")
+    kind = F.when(F.col("s_suppkey") % 3 == 0, "confirmed").otherwise("uncertain")
+    points = X.table(spark, d, "supplier").withColumn("kind", kind)
     return cells.points_in_extent(
-        points, 3, 0, 20, 9000, x="s_nationkey", y="s_acctbal").select("s_suppkey")
+        points, 3, 0, 20, 9000, x="s_nationkey", y="s_acctbal", category="kind",
+        keep="confirmed").select("s_suppkey")
 
 
 @query("time_slice", """
