@@ -45,28 +45,6 @@ def test_links_are_complete(spark):
     assert simhash.near_pairs(df).count() == len(want)  # each once
 
 
-def test_dense_groups(spark):
-    rng = random.Random(9)
-    centre = rng.getrandbits(64)
-    values = {centre}
-    for _ in range(250):  # a ball around one fingerprint, all within four bits of many others
-        value = centre
-        for b in rng.sample(range(64), rng.randint(1, 2)):
-            value ^= 1 << b
-        values.add(value)
-    values |= {rng.getrandbits(64) for _ in range(50)}
-    signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
-    df = spark.createDataFrame([(v,) for v in signed], "fp bigint")
-    close = {tuple(r) for r in simhash.close_links(df).collect()}
-    gap = lambda a, b: bin((a ^ b) & ((1 << 64) - 1)).count("1")
-    assert all(a < b and gap(a, b) <= 2 for a, b in close)
-    assert len(close) <= 65 * len(signed)
-    got = {r["id"]: r["component"] for r in simhash.components(
-        spark.createDataFrame(sorted(close), "src bigint, dst bigint")).collect()}
-    want = brute_classes([(v, v & ((1 << 64) - 1)) for v in signed], 2)
-    assert [got.get(v, v) for v in signed] == want
-
-
 def test_classes(spark):
     docs = awkward(spark, [(30, LONG.replace("word5 ", "other ", 3)), (31, "x y"), (31, "q r s t u")])
     rows = simhash.near_classes(docs).collect()
