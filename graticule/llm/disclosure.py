@@ -1,26 +1,31 @@
 """Information-theoretic sanitisation of personal data.
 
 Protected entities are e-mail addresses, IP addresses, card and phone numbers, found by
-fixed patterns in the whole text.  Other terms can give an entity away too.  Over the
-corpus, a term's documents near an entity (within ``reach`` words of a mention) and all
-its documents give P(e|t); with the entity's own share P(e) this gives
+fixed patterns in the whole text.  Other terms can give an entity away too.  Each
+mention counts for the entity itself, for its group (mail domain, half of an address,
+first digits of a number) and for its kind, so entities named once or twice take part.
+Over the corpus, a term's documents near an entity, group or kind e (within ``reach``
+words of a mention) and all its documents give a rate; ``c`` different surroundings
+smooth it to P(e|t) = rate * c / (c + ``unseen``).  With the share P(e) this gives
 
 * the uncertainty left once the term is known, ``-log2 P(e|t)``, and
 * the pointwise mutual information ``log2 P(e|t) / P(e)``.
 
-A term discloses an entity if it leaves at most ``hint_bits`` and has at least half of
-the entity's information; it is generalised (kind ``hint``: replaced by the kind of
-entity that it points to), or removed (kind ``term``) if it leaves at most
-``term_bits``.  Only terms seen near the entity in ``contexts`` different surroundings
-count, so copies of one text prove nothing.  Every occurrence of a disclosing term in
-the corpus gets a span, unless it overlaps a protected entity.
+A term discloses e if it leaves at most ``hint_bits`` and has at least half of the
+information of e; it is generalised (kind ``hint``: replaced by the kind of entity that
+it points to), or removed (kind ``term``) if it leaves at most ``term_bits``.  Copies of
+one text have one surroundings and prove nothing: 0.58 bits are left, with two
+surroundings 0.32.  Every occurrence of a disclosing term in the corpus gets a span,
+unless it overlaps a protected entity.
 
-Terms are lower-cased runs of letters.  What the driver gathers is a bit filter of fixed
+Terms are lower-cased runs of letters outside protected entities.  What the driver
+gathers is a bit filter of fixed
 size; the terms themselves stay in joins.  A null text counts as empty; null and
 repeated ids are allowed, as spans depend on the text alone.
 """
 
 import re
+from bisect import bisect_left
 from typing import Iterator
 
 import numpy as np
@@ -84,19 +89,42 @@ def protected(text):
     return sorted(out)
 
 
+def levels(kind, match):
+    """An entity, its group and its kind; no match holds a ``*``."""
+    digits = "".join(DIGIT.findall(match))
+    group = {
+        "email": lambda: "@" + match.partition("@")[2].lower(),
+        "ip": lambda: ".".join(match.split(".")[:2]) + ".",
+        "card": lambda: digits[:4],
+        "phone": lambda: "+" + digits[:4],
+    }[kind]()
+    return f"{kind}:{match}", f"{kind}:{group}*", f"{kind}:*"
+
+
+def free_words(text, spans):
+    """(start, lower-cased word) of the words that overlap none of the sorted spans."""
+    out, at, covered = [], 0, 0
+    for m in letters.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            covered = max(covered, spans[at][3])
+            at += 1
+        if covered <= m.start():
+            out.append((m.start(), m.group().lower()))
+    return out
+
+
 def surroundings(text, spans, reach):
-    """{(entity, term): hash of the first surroundings} of a text's spans."""
-    words = [(m.start(), m.end(), m.group().lower()) for m in letters.finditer(text)]
+    """{(entity, group or kind; term): hash of the first surroundings} of a text's spans."""
+    words = free_words(text, spans)
     starts = [w[0] for w in words]
     out = {}
     for start, _, kind, end in spans:
-        left = int(np.searchsorted(starts, start))
-        right = int(np.searchsorted(starts, end))
-        near = [w[2] for w in words[max(0, left - reach):left] if w[1] <= start]
-        near += [w[2] for w in words[right:right + reach]]
+        at = bisect_left(starts, start)
+        near = [w[1] for w in words[max(0, at - reach):at + reach]]
         context = xxhash.xxh64_intdigest(" ".join(near), 1) >> 1
-        for term in near:
-            out.setdefault((kind + ":" + text[start:end], term), context)
+        for entity in levels(kind, text[start:end]):
+            for term in near:
+                out.setdefault((entity, term), context)
     return out
 
 
@@ -187,25 +215,27 @@ def occurrences(text: Column, bits) -> Column:
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, text, hint_bits=0.5, term_bits=0.1,
-                     contexts=3) -> DataFrame:
+                     unseen=0.5) -> DataFrame:
     """(term, kind, entity_kind): terms that give an entity away, one row each."""
     near = found.select(F.explode("near").alias("x")).select("x.*")
-    # counts per surroundings first, so a frequent entity is combined before the shuffle
+    seen = F.col("contexts") / (F.col("contexts") + unseen)
+    # counts per surroundings first, so a frequent entity is combined before the shuffle;
+    # a rate is 1 at most, so pairs that leave too much even then need no further counts
     pairs = durable(near.groupBy("entity", "term", "context").agg(
         F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(
         F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("contexts")).where(
-        F.col("contexts") >= contexts))
-    if pairs.isEmpty():
-        return pairs.select("term", F.lit("").alias("kind"), F.lit("").alias("entity_kind")).limit(0)
+        -F.log2(seen) <= hint_bits))
     total = found.count()
     entities = found.select(F.explode(F.array_distinct(F.transform(
         "near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(
         F.count(F.lit(1)).alias("n_entity"))
     counts = document_counts(docs, text, term_filter(pairs.select("term").distinct()))
-    known = pairs.join(counts, "term").join(entities, "entity")
-    left = -F.log2(F.least(F.col("n_both") / F.col("n"), F.lit(1.0)))
-    own = -F.log2(F.col("n_entity") / total)
-    told = known.where((left <= hint_bits) & (own > 0) & (own - left >= own / 2))
+    rate = F.least(F.col("n_both") / F.col("n"), F.lit(1.0))
+    # few pairs are left when kinds, which hold many of them, meet their shares
+    known = pairs.join(counts, "term").withColumn("left", -F.log2(rate * seen)).where(
+        F.col("left") <= hint_bits).join(entities, "entity")
+    left, own = F.col("left"), -F.log2(F.col("n_entity") / total)
+    told = known.where((own > 0) & (own - left >= own / 2))
     # the strongest disclosure decides; equal ones by the entity
     best = told.groupBy("term").agg(F.min(F.struct(left.alias("left"), "entity")).alias("b"))
     return durable(best.select(

@@ -89,3 +89,29 @@ def test_query(spark, small):
         assert r["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
         assert [r[f"n_{k}"] for k, _ in PATTERNS] == [sum(s[2] == k for s in want) for k, _ in PATTERNS]
         assert set(filter(None, said.split(","))) <= set(r["spans"].split(","))
+
+
+def test_rare_entities_by_group_and_kind(spark):
+    """Every number occurs once; what stands near them is seen by their group or kind."""
+    name = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    rows = [(i, f"before{name(i)} hotline +1 (555) 01{i}-44{i} after{name(i)}") for i in range(10, 20)]
+    rows += [(30, "the hotline again"), (31, "before nothing")]
+    rows += [(100 + i, f"plain words {name(i)}") for i in range(200)]
+    # words of an address are no terms, and two mentions near one word are one proof
+    rows += [(40 + i, f"onlyonce{name(1)} a@b.example c@d.example end{name(1)}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["spans"] for r in disclosure.find_spans(docs).collect()}
+    assert [(s["kind"], s["start"]) for s in got[30]] == [("hint/phone", 4)]
+    assert got[31] == [] and [s["kind"] for s in got[40]] == ["email", "email"]
+
+
+def test_given_table(spark):
+    """Terms are marked on a given table, where most entities are named once or twice."""
+    docs = spark.read.parquet("/root/testdata/check_s/documents.parquet").select("doc_id", "text")
+    found = disclosure.find_spans(docs).selectExpr(
+        "size(base) as base", f"size(filter(spans, s -> s.order >= {len(disclosure.KINDS)})) as added",
+        "size(spans) as spans").selectExpr(
+        "count(*) as n", "sum(base) as base", "sum(added) as added", "sum(spans) as spans").first()
+    assert found["n"] == docs.count() and found["base"] + found["added"] == found["spans"]
+    # 23 come from repeated strings alone, without groups and kinds
+    assert found["added"] > 23
