@@ -1,6 +1,6 @@
 """A training corpus from ``documents``: five stages, each on all that the one before kept.
 
-1. quality rules: documents that the line rules reject go;
+1. quality rules: failing lines go, then documents that lost too much with them;
 2. language identification: documents without a language, or without a main one, go;
 3. near duplicates: one document of each group stays;
 4. personal data: protected spans and disclosing terms are replaced in the texts;
@@ -30,8 +30,8 @@ def _prepared(stage):
 
 @_prepared
 def clean(spark, docs, sf_dir):
-    """Documents that pass the quality rules, with their texts as they were."""
-    return quality_rules.keep_good(docs)
+    """Documents that pass the quality rules, without their failing lines."""
+    return quality_rules.keep_good(docs, replace=True)
 
 
 @_prepared

@@ -129,9 +129,13 @@ def clean_lines(docs: DataFrame, text="text", **settings) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, text="text", replace=False, **settings) -> DataFrame:
-    """The rows kept, with the columns of ``docs``; ``replace`` puts the cleaned text in."""
+    """The rows kept, with the columns of ``docs``; ``replace`` puts the cleaned text in.
+
+    A text without failing lines stays as it is, with its empty lines.
+    """
     flag = free_name(docs, "judged")
     columns = docs.columns
     judged = clean_lines(docs, text, **settings).where(F.col(flag)["kept"])
     return judged.select(*[
-        F.col(flag)["clean_text"].alias(c) if replace and c == text else named(c) for c in columns])
+        F.when(F.col(flag)["n_failed_lines"] > 0, F.col(flag)["clean_text"]).otherwise(named(c)).alias(c)
+        if replace and c == text else named(c) for c in columns])

@@ -29,6 +29,20 @@ def test_stages(spark):
     assert {r["doc_id"] for r in found.collect()} == {40, 42}
 
 
+def test_failing_lines_go(spark):
+    """A document that passes goes on without its one failing line."""
+    good = [" ".join(WORDS[:20]), " ".join(WORDS[20:])]
+    text = good[0] + "\nBuy now!! Click here!!\n" + good[1]
+    docs = awkward(spark, [(50, text), (51, "\n".join(good)), (52, "\n\n".join(good))])
+    name, stage = corpus_pipeline.STAGES[0]
+    found = stage(spark, docs, None)
+    assert name == "quality_rules" and found.columns == docs.columns
+    got = {r["doc_id"]: r["text"] for r in found.collect()}
+    # the quick brute force: a line fails with "!!" or a phrase
+    want = "\n".join(x for x in text.split("\n") if "!!" not in x)
+    assert got == {50: want, 51: want, 52: "\n\n".join(good)}
+
+
 def test_empty_stages(spark):
     docs = empty(spark)
     for _, stage in corpus_pipeline.STAGES:
