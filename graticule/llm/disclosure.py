@@ -114,24 +114,29 @@ def free_words(text, spans):
 
 
 def surroundings(text, spans, reach):
-    """{(entity, group or kind; term): hash of the first surroundings} of a text's spans."""
+    """{(entity, group or kind; term): hashes of the surroundings} of a text's spans.
+
+    A word near two mentions counts with the first, so one place is one proof.
+    """
     words = free_words(text, spans)
     starts = [w[0] for w in words]
-    out = {}
+    out, met = {}, set()
     for start, _, kind, end in spans:
         at = bisect_left(starts, start)
-        near = [w[1] for w in words[max(0, at - reach):at + reach]]
-        context = xxhash.xxh64_intdigest(" ".join(near), 1) >> 1
+        near = words[max(0, at - reach):at + reach]
+        context = xxhash.xxh64_intdigest(" ".join(w[1] for w in near), 1) >> 1
         for entity in levels(kind, text[start:end]):
-            for term in near:
-                out.setdefault((entity, term), context)
+            for place, term in near:
+                if (entity, place) not in met:
+                    met.add((entity, place))
+                    out.setdefault((entity, term), set()).add(context)
     return out
 
 
 def find(text: Column, reach=8) -> Column:
     """Struct of the protected spans and of what stands near them."""
     kind = (f"struct<spans:{SPANS},"
-            "near:array<struct<entity:string,term:string,context:bigint>>>")
+            "near:array<struct<entity:string,term:string,contexts:array<bigint>>>>")
 
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -142,13 +147,15 @@ def find(text: Column, reach=8) -> Column:
                 near = surroundings(text, spans, reach) if spans else {}
                 rows.append({
                     "spans": [dict(zip(("start", "order", "kind", "end"), s)) for s in spans],
-                    "near": [{"entity": e, "term": t, "context": c} for (e, t), c in near.items()]})
+                    "near": [{"entity": e, "term": t, "contexts": list(c)}
+                             for (e, t), c in near.items()]})
             yield pa.array(rows, pa.struct([
                 ("spans", pa.list_(pa.struct([
                     ("start", pa.int64()), ("order", pa.int32()), ("kind", pa.string()),
                     ("end", pa.int64())]))),
                 ("near", pa.list_(pa.struct([
-                    ("entity", pa.string()), ("term", pa.string()), ("context", pa.int64())])))]))
+                    ("entity", pa.string()), ("term", pa.string()),
+                    ("contexts", pa.list_(pa.int64()))])))]))
 
     return run(text)
 
@@ -217,12 +224,14 @@ def occurrences(text: Column, bits) -> Column:
 def disclosing_terms(found: DataFrame, docs: DataFrame, text, hint_bits=0.5, term_bits=0.1,
                      unseen=0.5) -> DataFrame:
     """(term, kind, entity_kind): terms that give an entity away, one row each."""
-    near = found.select(F.explode("near").alias("x")).select("x.*")
+    # the first surroundings of a document carry its count
+    near = found.select(F.explode("near").alias("x")).select(
+        "x.entity", "x.term", F.posexplode("x.contexts").alias("place", "context"))
     seen = F.col("contexts") / (F.col("contexts") + unseen)
     # counts per surroundings first, so a frequent entity is combined before the shuffle;
     # a rate is 1 at most, so pairs that leave too much even then need no further counts
     pairs = durable(near.groupBy("entity", "term", "context").agg(
-        F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(
+        F.count_if(F.col("place") == 0).alias("n")).groupBy("entity", "term").agg(
         F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("contexts")).where(
         -F.log2(seen) <= hint_bits))
     total = found.count()

@@ -115,3 +115,17 @@ def test_given_table(spark):
     assert found["n"] == docs.count() and found["base"] + found["added"] == found["spans"]
     # 23 come from repeated strings alone, without groups and kinds
     assert found["added"] > 23
+
+
+def test_surroundings_in_one_document(spark):
+    """One long document with many surroundings of an entity is one document, not one proof."""
+    name = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    long = " ".join(
+        f"nickname joe@mail.example.com {' '.join(f'w{name(i)}{name(k)}' for k in range(20))}" for i in range(6))
+    docs = spark.createDataFrame(
+        [(1, long), *[(100 + i, f"plain words {name(i)}") for i in range(200)]], "doc_id bigint, text string")
+    got = disclosure.find_spans(docs).where("doc_id = 1").first()["spans"]
+    marked = {long[s["start"]:s["end"]] for s in got if s["kind"].startswith("hint")}
+    assert marked == {"nickname"} and len(got) == 12
+    spans = disclosure.protected("rare a@b.c d@e.f")
+    assert len(disclosure.surroundings("rare a@b.c d@e.f", spans, 8)["email:*", "rare"]) == 1
