@@ -171,6 +171,11 @@ def term_filter(terms: DataFrame) -> np.ndarray:
     return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
 
 
+def terms_of(text):
+    """Distinct terms; letters are found in the text as it is, as lower case can split a word."""
+    return {w.lower() for w in set(letters.findall(text))}
+
+
 def passing(words, bits):
     """Those of distinct words that the filter lets through."""
     digest, mask = xxhash.xxh64_intdigest, (1 << FILTER_BITS) - 1
@@ -185,7 +190,7 @@ def document_counts(docs: DataFrame, text, bits) -> DataFrame:
         seen = {}
         for b in batches:
             for t in b.column(0).to_pylist():
-                for w in passing(set(letters.findall((t or "").lower())), bits):
+                for w in passing(terms_of(t or ""), bits):
                     seen[w] = seen.get(w, 0) + 1
             if len(seen) > 200_000:
                 yield _pairs(seen)
@@ -211,7 +216,7 @@ def occurrences(text: Column, bits) -> Column:
             rows = []
             for t in texts.to_pylist():
                 t = t or ""
-                hits = set(passing(set(letters.findall(t.lower())), bits))
+                hits = set(passing(terms_of(t), bits))
                 rows.append([{"term": w, "start": m.start(), "end": m.end()}
                              for m in letters.finditer(t) if (w := m.group().lower()) in hits]
                             if hits else [])

@@ -129,3 +129,13 @@ def test_surroundings_in_one_document(spark):
     assert marked == {"nickname"} and len(got) == 12
     spans = disclosure.protected("rare a@b.c d@e.f")
     assert len(disclosure.surroundings("rare a@b.c d@e.f", spans, 8)["email:*", "rare"]) == 1
+
+
+def test_terms_that_lower_case_splits(spark):
+    """Capital I with dot lower-cases to two characters, the second no letter."""
+    name = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    rows = [(i, f"b{name(i)} \u0130zmir joe@mail.example.com a{name(i)}") for i in range(10, 20)]
+    rows += [(30, "see \u0130zmir"), *[(100 + i, f"plain words {name(i)}") for i in range(200)]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = disclosure.find_spans(docs).where("doc_id = 30").first()["spans"]
+    assert [(s["kind"], s["start"], s["end"]) for s in got] == [("hint/email", 4, 9)]
