@@ -65,3 +65,39 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     and removed_chars <= seen * 0.5::double as kept,
   n_failed_lines, removed_chars
 from b"""
+
+
+def centroids(k=8, rounds=10, width=64):
+    """Lloyd's rounds on integer vectors, one pair of common table expressions a round."""
+    steps = [f"""
+with x as (
+  select vec_id, embedding::double[] as e from embeddings where len(embedding) = {width}),
+v as materialized (
+  select row_number() over () as row, vec_id,
+    list_transform(e, lambda a: floor(1024 * a)::bigint) as v
+  from x where len(list_filter(e, lambda a: a is not null and isfinite(a))) = {width}),
+c0 as materialized (
+  select row_number() over (order by sha256('3:' || vec_id) nulls last, v) - 1 as c, v as m
+  from v order by c limit {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} as materialized (
+  select row, vec_id, v, min((d, c)) as best from (
+    select row, vec_id, v, c,
+      list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+    from v, c{i}) group by row, vec_id, v)""")
+        if i < rounds:
+            steps.append(f"""
+c{i + 1} as materialized (
+  select c, coalesce(n.m, o.m) as m from c{i} o left join (
+    select c, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as m from (
+      select best[2] as c, i, sum(v[i]) as s, count(*) as n
+      from a{i}, range(1, {width + 1}) t(i) group by 1, 2) group by c) n using (c))""")
+    return ",".join(steps) + f"""
+select vec_id, best[2]::int as cluster, best[1]::bigint as distance,
+  (sum(best[1]) over (partition by best[2]))::bigint as cluster_inertia,
+  (sum(best[1]) over ())::bigint as inertia, sha256(array_to_string(m, ',')) as centroid_sha256
+from a{rounds} join c{rounds} on c = best[2]"""
+
+
+CENTROIDS = centroids()

@@ -5,8 +5,8 @@ import functools
 from pyspark.sql import functions as F
 
 from graticule.llm import (
-    chat, checks, disclosure, language_mix, multi_index, packing, quality_rules, quality_trees, simhash,
-    toxicity, trie_bpe)
+    best_fit, chat, checks, disclosure, language_mix, multi_index, packing, quality_rules, quality_trees,
+    simhash, simplex_clusters, toxicity, trie_bpe, turn_repair)
 from graticule.llm.common import remainder, short_batches, table
 from graticule.session import durable, ship_package
 
@@ -150,3 +150,21 @@ def op3(spark, folder):
                     for kind in disclosure.KINDS],
         F.sha2(disclosure.written(F.col("base")), 256).alias("base_sha256"),
         disclosure.written(F.col("spans")).alias("spans"))
+
+
+@query("op11_turn_repair")
+def op11(spark, folder):
+    rows = table(spark, folder, "conversations")
+    return turn_repair.audit(turn_repair.damage(rows), rows)
+
+
+@query("op12_best_fit")
+def op12(spark, folder):
+    return best_fit.pack_whole(
+        table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), ids=False).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op13_simplex_clusters", checks.CENTROIDS)
+def op13(spark, folder):
+    return simplex_clusters.cluster(table(spark, folder, "embeddings"))
