@@ -3,6 +3,7 @@
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,30 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared scratch folder, read again.
+
+    For loops with many joins: a checkpoint keeps the partitionings and constraints that
+    its plan had, so they pile up from round to round and planning slows down; a table
+    that is read again starts afresh.  ``discard`` deletes it.
+    """
+    path = f"{scratch_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._graticule_path = path
+    return table
+
+
+def discard(*tables: DataFrame):
+    """Delete tables of ``stored`` that nothing will read any more; others are left alone."""
+    for table in tables:
+        path = getattr(table, "_graticule_path", None)
+        if path is not None:
+            context = table.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def ship_package(spark: SparkSession):
     """Make this package importable in Python workers on every executor.
 

@@ -133,25 +133,61 @@ def test_stack_keeps_every_label(spark):
     assert frame.count() == 20 and frame.where("cell = 19").first()["a"] == 0.0
 
 
-def test_communities_end_stable(spark):
-    n = 60
-    nodes = spark.range(n)
-    links = spark.range(n - 1).selectExpr("id as src", "id + 1 as dst")
-    want = {}
-    for together in (0, 3, 8):
-        got = {r["id"]: r["community"] for r in graph.communities(nodes, links, together=together).collect()}
-        groups = {}
-        for i, c in got.items():
-            groups.setdefault(c, []).append(i)
-        for c, members in groups.items():
-            # connected, and named after the smallest member
-            assert sorted(members) == list(range(c, c + len(members)))
-        # nobody has more neighbours in another community than in the own one, itself counted
-        for i, c in got.items():
-            near = [got[j] for j in (i - 1, i + 1) if 0 <= j < n]
-            assert all(near.count(o) <= near.count(c) + 1 for o in near)
-        want[together] = len(groups)
-    assert max(want.values()) < n / 2
+def modularity_scan(edges, groups):
+    """Modularity times W * W, and whether one node's move or one merge raises it."""
+    weight, degree, total = {}, {}, {}
+    for a, b in edges:
+        if a != b:
+            for x, y in ((a, b), (b, a)):
+                weight.setdefault(x, {}).setdefault(y, 0)
+                weight[x][y] += 1
+                degree[x] = degree.get(x, 0) + 1
+    W = sum(degree.values())
+    for i, k in degree.items():
+        total[groups[i]] = total.get(groups[i], 0) + k
+    into = {i: {} for i in weight}
+    between = {}
+    for i, near in weight.items():
+        for j, w in near.items():
+            into[i][groups[j]] = into[i].get(groups[j], 0) + w
+            pair = groups[i], groups[j]
+            between[pair] = between.get(pair, 0) + w
+    raising = 0
+    for i, near in into.items():
+        k, own = degree[i], groups[i]
+        stay = W * near.get(own, 0) - k * (total[own] - k)
+        raising += sum(W * w - k * total[c] > stay for c, w in near.items() if c != own) + (stay < 0)
+    merges = sum(W * w > total[a] * total[b] for (a, b), w in between.items() if a != b)
+    inside = sum(w for (a, b), w in between.items() if a == b)
+    return W * inside - sum(k * k for k in total.values()), raising, merges
+
+
+def test_no_move_raises_modularity(spark):
+    rng = np.random.default_rng(11)
+    chain = [(i, i + 1) for i in range(59)]
+    planted = [(int(a), int(b)) for a, b in rng.integers(0, 90, (2500, 2))
+               if rng.random() < (0.5 if a // 15 == b // 15 else 0.02)]
+    star = [(0, i) for i in range(1, 40)] + [(1, 2), (3, 4)]
+    for edges, n in ((chain, 60), (planted + [(5, 5)], 90), (star, 41)):
+        trace = []
+        got = {r["id"]: r["community"] for r in graph.communities(
+            spark.range(n), spark.createDataFrame(edges, "src long, dst long"), trace=trace).collect()}
+        value, raising, merges = modularity_scan(edges, got)
+        assert raising == 0 and merges == 0 and value > 0 and len(got) == n
+        for c in set(got.values()):  # connected, and named after the smallest member
+            members = {i for i in got if got[i] == c}
+            seen, queue = {c}, [c]
+            while queue:
+                i = queue.pop()
+                for a, b in edges:
+                    for x, y in ((a, b), (b, a)):
+                        if x == i and y in members and y not in seen:
+                            seen.add(y)
+                            queue.append(y)
+            assert seen == members and min(members) == c
+    assert len({got[i] for i in range(1, 40)}) < 39
+    plain = graph.communities(spark.range(3), spark.createDataFrame([], "src long, dst long"))
+    assert {tuple(r) for r in plain.collect()} == {(0, 0), (1, 1), (2, 2)}
 
 
 def test_breaks_beyond_the_bins(spark):
