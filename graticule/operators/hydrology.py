@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graticule.operators import rims
 from graticule.operators.focal import TILE, focal_apply, windows
 from graticule.operators.terrain import flow_direction
 from graticule.session import durable
@@ -38,11 +39,16 @@ def fill_depressions(df: DataFrame, z="z", gradient=0.0, tile=TILE) -> DataFrame
 
     The result is the lowest surface w >= z in which each cell has a neighbour
     with ``w + gradient`` not above it; cells on the raster's edge or next to a
-    gap keep their height (Planchon and Darboux 2001).  Tiles are solved whole
-    and exchange their rims until none changes, so the number of rounds follows
-    the number of tiles a path crosses, not its cells.  Levels only fall, so the
-    rounds end.
+    gap keep their height.  Level ground is found in two passes over the grid (see
+    ``rims``); a ``gradient`` makes heights follow the path's length and takes rounds.
     """
+    return _fill_sloping(df, z, gradient, tile) if gradient else rims.fill(df, z, tile)
+
+
+def _fill_sloping(df, z, gradient, tile):
+    """Planchon and Darboux 2001: tiles are solved whole and exchange their rims until
+    none changes, so the rounds follow the tiles that a path crosses.  Levels only fall,
+    so the rounds end."""
 
     def step(first):
         def run(present, grids):
@@ -81,15 +87,23 @@ def _doubling(state, step, active, max_rounds=64):
     raise RuntimeError("the drainage table has a cycle")
 
 
-def flow_accumulation(flow: DataFrame, value=None, into="upstream") -> DataFrame:
+def flow_accumulation(flow: DataFrame, value=None, into="upstream", tile=TILE) -> DataFrame:
     """Sum of ``value`` (1 per cell when None) over each cell and all above it.
 
-    ``flow`` has (cell, parent), parent NULL at outlets.  Round k adds what lies
-    2^k to 2^(k+1) steps upstream.  Contributions combine on the map side, and
-    finished cells leave the joins, so neither a large outlet nor the NULL
+    ``flow`` has (cell, parent), parent NULL at outlets.  With the cells' ``r`` and
+    ``c`` tiles are summed whole and joined on their rims (see ``rims``).  Without, round
+    k adds what lies 2^k to 2^(k+1) steps upstream.  Contributions combine on the map
+    side, and finished cells leave the joins, so neither a large outlet nor the NULL
     pointers gather in one task.
     """
     amount = F.lit(1.0) if value is None else F.col(value).cast("double")
+    if {"r", "c"} <= set(flow.columns):
+        paths = rims.tile_paths(flow, amount, tile)
+        forest = rims.exit_forest(paths, tile)
+        entries = forest.where("below is not null").select("cell", "below", "row", "col")
+        inflow = flow_accumulation(forest, "total", "gain").join(entries, "cell").groupBy(
+            F.col("below").alias("cell"), "row", "col").agg(F.sum("gain").alias("gain"))
+        return rims.enter_tiles(paths, inflow, into, tile)
     start = flow.select("cell", F.col("parent").alias("jump"), amount.alias("acc"))
 
     def step(state):
@@ -105,8 +119,16 @@ def flow_accumulation(flow: DataFrame, value=None, into="upstream") -> DataFrame
     return done.select("cell", F.col("acc").alias(into))
 
 
-def basins(flow: DataFrame) -> DataFrame:
-    """Outlet of each cell: pointers are doubled until they reach an end."""
+def basins(flow: DataFrame, tile=TILE) -> DataFrame:
+    """Outlet of each cell, by tiles if the cells have ``r`` and ``c``.
+
+    Without, or on the graph of the tiles' exits, pointers are doubled until they reach
+    an end.
+    """
+    if {"r", "c"} <= set(flow.columns):
+        paths = rims.tile_paths(flow, F.lit(0.0), tile)
+        ends = basins(rims.exit_forest(paths, tile)).withColumnRenamed("cell", "exit")
+        return paths.select("cell", "exit").join(ends, "exit").select("cell", "outlet")
     start = flow.select(
         "cell", F.col("parent").alias("jump"),
         F.when(F.col("parent").isNull(), F.col("cell")).alias("outlet"))
@@ -130,15 +152,15 @@ def cell_area(row: Column, top, resolution) -> Column:
 
 
 def drainage(df: DataFrame, z="z", width=None, top=0.0, resolution=1.0, limit=100.0,
-             gradient=1e-6, tile=TILE):
+             gradient=0.0, tile=TILE):
     """Drainage on filled ground: (flow, upstream area, basins, streams with order).
 
-    Pits are filled with a small ``gradient``, so every cell inside the raster has a
-    way down and only cells on its edge, or next to a gap, are outlets.  Streams are
+    Pits are filled and flats drain by whole-numbered distances, so every cell inside the
+    raster has a way down and only cells on its edge, or next to a gap, are outlets.  Streams are
     the cells with more than ``limit`` km2 upstream.
     """
     filled = durable(fill_depressions(df, z, gradient, tile))
-    flow = durable(flow_direction(filled, "filled", width, tile).join(
+    flow = durable(flow_direction(filled, "filled", width, tile, flats=True).join(
         filled.select("cell", F.col("filled")), "cell").withColumn(
         "area", cell_area(F.col("r"), top, resolution)))
     upstream = durable(flow_accumulation(flow, "area", "upstream_km2"))

@@ -2,9 +2,11 @@
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graticule.operators.focal import TILE, focal_apply, windows
+from graticule.session import discard, stored
 
 # The eight neighbours (row step, column step), clockwise from
 # east, with their D8 codes 1, 2, 4 ... 128.
@@ -80,27 +82,116 @@ def terrain_curvature(df: DataFrame, z="z", cell_size=1.0, tile=TILE) -> DataFra
     return focal_apply(df, [z], run, outputs, 1, tile)
 
 
-def flow_direction(df: DataFrame, z="z", width=None, tile=TILE) -> DataFrame:
+def flow_direction(df: DataFrame, z="z", width=None, tile=TILE, flats=False) -> DataFrame:
     """D8: code of the steepest downslope neighbour and the cell it drains to.
 
-    Pits, flats and cells that fall off the raster have neither.  The first of
-    equally steep neighbours, clockwise from east, is taken.
+    The first of equally steep neighbours, clockwise from east, is taken.  Pits, flats
+    and cells that fall off the raster have neither; with ``flats`` the cells of a flat
+    that has a way out drain as well.
     """
+    if flats:
+        return _with_flats(df, z, width, tile)
 
     def run(present, grids):
         near = windows(grids[z], 1, tile)
-        centre = near[:, :, 1, 1]
-        drops = np.stack(
-            [(centre - near[:, :, 1 + dr, 1 + dc]) / np.hypot(dr, dc) for dr, dc in NEIGHBOURS])
-        drops = np.where(np.isnan(drops), -np.inf, drops)
-        best = drops.argmax(axis=0)
-        none = drops.max(axis=0) <= 0
-        step = np.array([dr * width + dc for dr, dc in NEIGHBOURS])[best]
+        best, none = _steepest(near)
         return {
             "direction": np.where(none, np.nan, 2.0 ** best),
-            "parent": np.where(none, np.nan, grids["_cell"][1:-1, 1:-1] + step),
+            "parent": np.where(none, np.nan, grids["_cell"][1:-1, 1:-1] + _steps(width)[best]),
         }
 
     outputs = {"direction": T.LongType(), "parent": T.LongType()}
     work = df.selectExpr("cell", "r", "c", z, "cell as _cell")
     return focal_apply(work, [z, "_cell"], run, outputs, 1, tile)
+
+
+def _steps(width):
+    return np.array([dr * width + dc for dr, dc in NEIGHBOURS])
+
+
+def _steepest(near):
+    """Number of the steepest neighbour, and where nothing falls."""
+    centre = near[:, :, 1, 1]
+    drops = np.stack(
+        [(centre - near[:, :, 1 + dr, 1 + dc]) / np.hypot(dr, dc) for dr, dc in NEIGHBOURS])
+    drops = np.where(np.isnan(drops), -np.inf, drops)
+    return drops.argmax(axis=0), drops.max(axis=0) <= 0
+
+
+def _shifted(grid, fill=np.nan):
+    """The eight neighbours' values of each cell of a grid."""
+    wide = np.pad(grid, 1, constant_values=fill)
+    n, m = grid.shape
+    return np.stack([wide[1 + dr:1 + dr + n, 1 + dc:1 + dc + m] for dr, dc in NEIGHBOURS])
+
+
+def _distances(start, level):
+    """Steps from the ``start`` cells (with their steps so far) over cells of equal height."""
+    same = _shifted(level) == level
+    found = np.where(np.isnan(start), np.inf, start)
+    while True:
+        near = np.where(same, _shifted(found, np.inf), np.inf).min(axis=0) + 1
+        new = np.minimum(found, near)
+        if np.array_equal(new, found):
+            return np.where(np.isinf(found), np.nan, found)
+        found = new
+
+
+def _with_flats(df, z, width, tile):
+    """D8 where flats drain by two whole-numbered distances (Barnes, Lehman and Mulla 2014).
+
+    A flat cell next to a draining cell of its height drains there.  The others take the
+    flat neighbour with the smallest ``2 * toward - away``: steps to such a cell, and
+    steps from higher ground.  Heights stay as they are, and since the next cell on a
+    shortest way out always has a smaller number, paths end.  Distances are found in
+    whole tiles; only flat cells take part, and tiles exchange their rims until none
+    changes, which takes as many rounds as the tiles that a flat reaches across.
+    """
+    number, whole = T.DoubleType(), T.LongType()
+
+    def first(present, grids):
+        near = windows(grids[z], 1, tile + 2)
+        centre = near[:, :, 1, 1]
+        best, none = _steepest(near)
+        known, full = ~np.isnan(centre), ~np.isnan(near).any(axis=(2, 3))
+        flat, core = known & none & full, (slice(1, -1), slice(1, -1))
+        ways = _shifted((known & ~flat).astype(float), 0.0)[(slice(None), *core)] == 1
+        ways &= (_shifted(centre) == centre)[(slice(None), *core)]
+        out, flat = np.where(none, np.nan, best)[core], flat[core]
+        out = np.where(flat & ways.any(axis=0), ways.argmax(axis=0), out)
+        higher = (_shifted(centre, -np.inf) > centre)[(slice(None), *core)].any(axis=0)
+        return {z: centre[core], "_way": out, "_flat": flat.astype("int64"),
+                "_toward": np.where(flat & ways.any(axis=0), 1.0, np.nan),
+                "_away": np.where(flat & higher, 1.0, np.nan)}
+
+    def further(present, grids):
+        core = (slice(1, -1), slice(1, -1))
+        new = {n: _distances(grids[n], grids[z])[core] for n in ("_toward", "_away")}
+        changed = sum((np.nan_to_num(new[n]) != np.nan_to_num(grids[n][core])) for n in new) > 0
+        return {z: grids[z][core], "_way": grids["_way"][core], **new,
+                "_changed": changed.astype("int64")}
+
+    def choose(present, grids):
+        value = 2 * grids["_toward"] - np.nan_to_num(grids["_away"])
+        same = _shifted(grids[z]) == grids[z]
+        near = np.where(same & ~np.isnan(_shifted(value)), _shifted(value), np.inf)
+        way = np.where(np.isfinite(near.min(axis=0)), near.argmin(axis=0), np.nan)
+        return {"_way": np.where(np.isnan(grids["_way"]), way, grids["_way"])[1:-1, 1:-1]}
+
+    kinds = {z: number, "_way": number, "_flat": whole, "_toward": number, "_away": number}
+    ground = stored(focal_apply(df.select("cell", "r", "c", z), [z], first, kinds, 2, tile))
+    flat = ground.where("_flat = 1").drop("_flat")
+    kinds = {z: number, "_way": number, "_toward": number, "_away": number, "_changed": whole}
+    columns = [z, "_way", "_toward", "_away"]
+    while True:
+        after = stored(focal_apply(flat, columns, further, kinds, 1, tile))
+        discard(flat)
+        flat = after
+        if flat.where("_changed = 1").isEmpty():
+            break
+    routed = focal_apply(flat, columns, choose, {"_way": number}, 1, tile)
+    every = ground.where("_flat = 0").select("cell", "r", "c", "_way").unionByName(routed)
+    step = F.get(F.array(*[F.lit(int(s)) for s in _steps(width)]), F.col("_way").cast("int"))
+    return every.select(
+        "cell", "r", "c", F.pow(F.lit(2.0), F.col("_way")).cast("bigint").alias("direction"),
+        (F.col("cell") + step).alias("parent"))

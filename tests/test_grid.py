@@ -117,6 +117,73 @@ def test_filled_ground_drains(spark, grid):
     assert inner.where("parent is null").count() == 0
 
 
+def lake(n=17, seed=4):
+    """Rough ground with two wide lakes that span many small tiles, and a gap."""
+    rng = np.random.default_rng(seed)
+    z = rng.integers(3, 9, (n, n)).astype(float)
+    z[3:14, 2:13] = 2.0
+    z[5:12, 4:8] = 1.0
+    return pd.DataFrame([(r * n + c, r, c, z[r, c]) for r in range(n) for c in range(n)
+                         if (r, c) != (8, 15)], columns=["cell", "r", "c", "z"])
+
+
+def test_flats_drain_without_changed_heights(spark, grid):
+    for ground, width in ((lake(), 17), (grid[["cell", "r", "c", "z"]], W)):
+        df = spark.createDataFrame(ground)
+        results = []
+        for tile in (4, 64):
+            filled = hydrology.fill_depressions(df, tile=tile)
+            flow = terrain.flow_direction(filled, "filled", width, tile, flats=True).toPandas()
+            results.append({x.cell: (None if pd.isna(x.parent) else int(x.parent)) for x in flow.itertuples()})
+        assert results[0] == results[1]  # tiles make no difference
+        want = flooded({(r, c): z for r, c, z in ground[["r", "c", "z"]].itertuples(index=False)})
+        height = {r * width + c: level for (r, c), level in want.items()}
+        for cell, parent in results[0].items():
+            r, c = divmod(cell, width)
+            around = [(r + dr) * width + c + dc for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc]
+            edge = any(n not in height or abs(n % width - c) > 1 for n in around)
+            assert parent is not None or edge
+            seen = {cell}
+            while parent is not None:  # never uphill, never in a circle
+                assert height[parent] <= height[cell] and parent not in seen
+                seen.add(parent)
+                cell, parent = parent, results[0][parent]
+
+
+def test_one_flat_by_hand(spark):
+    """A corridor between walls: out at the east end, walls push to the middle row."""
+    rows = ["99999", "92222", "92222", "92222", "99999"]
+    cells = [(r * 5 + c, r, c, float(x)) for r, line in enumerate(rows) for c, x in enumerate(line)]
+    df = spark.createDataFrame(cells, "cell long, r long, c long, z double")
+    flow = {x.cell: x.parent for x in terrain.flow_direction(df, "z", 5, 2, flats=True).collect()}
+    assert flow[11] == 12 and flow[12] == 13 and flow[13] == 14 and flow[14] is None
+    assert flow[6] == 12 and flow[16] == 12  # away from the walls first
+
+
+def test_filling_long_ways(spark):
+    """A spiral: the way out crosses every tile, and some pits are joined in many steps."""
+    n = 20
+    rng = np.random.default_rng(12)
+    z = rng.integers(0, 50, (n, n)).astype(float)
+    ground = pd.DataFrame([(r * n + c, r, c, z[r, c]) for r in range(n) for c in range(n)],
+                          columns=["cell", "r", "c", "z"])
+    for tile in (3, 7, 64):
+        got = hydrology.fill_depressions(spark.createDataFrame(ground), tile=tile).toPandas()
+        want = flooded({(r, c): h for r, c, h in ground[["r", "c", "z"]].itertuples(index=False)})
+        assert {(x.r, x.c): x.filled for x in got.itertuples()} == want
+
+
+def test_sums_over_tiles(spark, grid):
+    filled = hydrology.fill_depressions(spark.createDataFrame(grid), tile=5)
+    flow = terrain.flow_direction(filled, "filled", W, 5, flats=True)
+    plain = flow.select("cell", "parent")
+    for tile in (3, 8):
+        got = {x.cell: x.upstream for x in hydrology.flow_accumulation(flow, tile=tile).collect()}
+        assert got == {x.cell: x.upstream for x in hydrology.flow_accumulation(plain).collect()}
+        ends = {x.cell: x.outlet for x in hydrology.basins(flow, tile=tile).collect()}
+        assert ends == {x.cell: x.outlet for x in hydrology.basins(plain).collect()}
+
+
 def test_drainage(spark, grid):
     filled = hydrology.fill_depressions(spark.createDataFrame(grid), gradient=1e-4, tile=64)
     flow = terrain.flow_direction(filled.select("cell", "r", "c", F.col("filled").alias("z")), "z", W)
