@@ -102,6 +102,11 @@ def mix(logs, starts, sizes, penalty=2.0, first=12, later=6):
     return share
 
 
+def has_letter(text):
+    """Whether a text has a letter: signs such as ``½`` and ``²`` are none."""
+    return any(c.isalpha() for run in letters.finditer(text) for c in run.group())
+
+
 class Identifier:
     """Languages and scores of batches of texts, words looked up once."""
 
@@ -142,7 +147,7 @@ class Identifier:
         if not self.model.names:
             return names, scores
         block, chars = [], 0
-        known = [i for i, t in enumerate(texts) if t and letters.search(t)]
+        known = [i for i, t in enumerate(texts) if t and has_letter(t)]
         for i in known:
             block.append(i)
             chars += len(texts[i])
@@ -213,9 +218,8 @@ def identify(text: Column, model: LanguageModel, penalty=2.0) -> Column:
     return run(text)
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, text="text", min_share=0.5) -> DataFrame:
-    """Rows with a language that makes up ``min_share`` of the text or more."""
+def keep_identified(docs: DataFrame, model: LanguageModel, text="text") -> DataFrame:
+    """Rows with a language; those without one, ``und``, go, mixtures stay."""
     flag = free_name(docs, "found")
     found = docs.withColumn(flag, identify(named(text), model))
-    good = (F.col(flag)["lang_pred"] != UNKNOWN) & (F.col(flag)["score"] >= min_share)
-    return found.where(good).select(*[named(c) for c in docs.columns])
+    return found.where(F.col(flag)["lang_pred"] != UNKNOWN).select(*[named(c) for c in docs.columns])

@@ -167,15 +167,21 @@ def measure(text: Column) -> Column:
 
 def learn(measured: DataFrame, labels: DataFrame, key="doc_id", label="quality", sample=20_000,
           **settings) -> BoostedTrees:
-    """Trees from rows (key, features) joined with (key, label)."""
-    known = labels.where(named(label).isNotNull()).select(
-        named(key).alias("_key"), named(label).cast("double").alias("_label"))
+    """Trees from rows (key, features) joined with (key, label).
+
+    A key with several labels has the largest.  ``sample`` bounds the fit: keys are drawn
+    by hash, and should repeated keys give more than twice as many rows, those with the
+    smallest hashes of their content count.
+    """
+    known = labels.where(named(label).isNotNull()).groupBy(named(key).alias("_key")).agg(
+        F.max(named(label).cast("double")).alias("_label"))
     pairs = measured.select(named(key).alias("_key"), F.col("features")).join(known, "_key")
     n = pairs.count()
     share = min(1.0, sample / n) if n else 1.0
     # by hash, so a lost task draws the same rows again
     drawn = pairs.where(F.pmod(F.xxhash64("_key", F.lit(5)), F.lit(1 << 20)) < share * (1 << 20))
-    got = drawn.select("_key", "features", "_label").limit(2 * sample).toArrow()
+    columns = ["_key", "features", "_label"]
+    got = drawn.select(*columns).orderBy(F.xxhash64(*columns), *columns).limit(2 * sample).toArrow()
     order = np.argsort(np.asarray(got["_key"]), kind="stable") if got.num_rows else []
     rows = np.asarray(got["features"].combine_chunks().flatten()).reshape(-1, len(FEATURES))
     return fit_trees(rows[order], np.asarray(got["_label"])[order], **settings) if len(order) else (

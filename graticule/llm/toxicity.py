@@ -138,10 +138,12 @@ def learn(docs: DataFrame, labels: DataFrame, categories, key="doc_id", text="te
     """A chain for ``categories`` and, at its end, the label itself.
 
     ``categories`` maps a name to words: a labelled text with one of them, as a whole
-    word, is an example of that category.
+    word, is an example of that category.  A key with several labels has the largest.
+    ``sample`` bounds the fit: labelled keys are drawn by hash, and should repeated keys
+    give more than twice as many rows, those with the smallest hashes of their content count.
     """
-    known = labels.where(named(label).isNotNull()).select(
-        named(key).alias("_key"), named(label).cast("int").alias("toxic"))
+    known = labels.where(named(label).isNotNull()).groupBy(named(key).alias("_key")).agg(
+        F.max(named(label).cast("int")).alias("toxic"))
     n = known.count()
     share = min(1.0, sample / n) if n else 1.0
     pick = F.pmod(F.xxhash64("_key", F.lit(17)), F.lit(1 << 20)) < share * (1 << 20)
@@ -164,8 +166,10 @@ def learn(docs: DataFrame, labels: DataFrame, categories, key="doc_id", text="te
                  pa.array(at, pa.list_(pa.int32()))], names=["_key", "toxic", "at", "hits"])
 
     # the limit stands behind the texts, so none of them meet in one task
+    columns = ["_key", "toxic", "at", "hits"]
     got = drawn.mapInArrow(
-        encode, "_key bigint, toxic int, at array<int>, hits array<int>").limit(2 * sample).toArrow()
+        encode, "_key bigint, toxic int, at array<int>, hits array<int>").orderBy(
+        F.xxhash64(*columns), *columns).limit(2 * sample).toArrow()
     order = np.lexsort((np.asarray(got["toxic"]), np.asarray(got["_key"])))
     lists = [got["at"][int(i)].as_py() for i in order]
     toxic = np.asarray(got["toxic"], dtype=float)[order]

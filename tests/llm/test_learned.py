@@ -182,3 +182,33 @@ def test_toxicity_query(spark, small):
     clean, bad = got[got.y == 0], got[got.y == 1]
     assert (clean.predicted == 0).mean() > 0.95
     assert bad.score.mean() > 3 * clean.score.mean()
+
+
+def test_mixtures_stay_and_signs_are_no_letters(spark):
+    model = language_mix.learn(languages(spark))
+    docs = spark.createDataFrame(
+        [(1, AA + " " + BB), (2, "½ ² Ⅷ ①"), (3, "½ " + AA), (4, None)], "doc_id bigint, text string")
+    assert {r["doc_id"] for r in language_mix.keep_identified(docs, model).collect()} == {1, 3}
+    names, scores = language_mix.Identifier(model).judge(["½ ² Ⅷ ①", "²x" + AA])
+    assert names[0] == "und" and scores[0] == 0.0 and names[1] == "aa"
+
+
+def test_repeated_labels_and_ids_do_not_multiply(spark):
+    """A third of the rows share an id that has many labels: the fit stays bounded."""
+    rows = [(i, f"plain text number {'bad' if i % 2 else 'good'} {i}") for i in range(60)]
+    rows += [(7, f"hot bad row {i % 5}") for i in range(40)]
+    labels = [(i, i % 2) for i in range(60)] + [(7, 0)] * 50
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    known = spark.createDataFrame(labels, "doc_id bigint, toxic int").withColumn("quality", F.col("toxic"))
+    for sample in (20_000, 30):  # below and beyond the bound
+        scores = []
+        for _ in range(2):
+            chain = toxicity.learn(docs, known, {"x": ["bad"]}, sample=sample)
+            scores.append([r["p"]["toxic"] for r in docs.repartition(3).select(
+                "doc_id", toxicity.predict(F.col("text"), chain).alias("p")).orderBy("doc_id", "p").collect()])
+            measured = docs.select("doc_id", quality_trees.measure(F.col("text")).alias("features"))
+            trees = quality_trees.learn(measured, known, sample=sample)
+            scores[-1] += [r[0] for r in measured.select(
+                "doc_id", quality_trees.score(F.col("features"), trees).alias("s")).orderBy(
+                "doc_id", "s").select("s").collect()]
+        assert scores[0] == scores[1] and len(scores[0]) == 200
