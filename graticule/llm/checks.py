@@ -43,10 +43,11 @@ l as (
     len(regexp_extract_all(line, '{_WORD}')) as nw,
     len(regexp_extract_all(line, '[#*$%&|<>]+|!!+|\\?\\?+')) as odd,
     len(regexp_extract_all(line, '[|»›·]')) as bars,
-    regexp_matches(lower(line), '{"|".join(BOILERPLATE)}') as known
+    length(lower(line)) - length(regexp_replace(lower(line), '{"|".join(BOILERPLATE)}', '', 'g')) as known
   from (select doc_id, unnest(lines) as line from d)),
 f as (
-  select doc_id, size, odd > nw * 0.3::double or (bars >= 3 and bars * 4 >= nw) or known as fails from l),
+  select doc_id, size, odd > nw * 0.3::double or (bars >= 3 and bars * 4 >= nw)
+      or (known > 0 and known >= size * 0.2::double) as fails from l),
 s as (
   select doc_id, sum(size) as seen, coalesce(sum(size) filter (fails), 0) as lost,
     count(*) filter (fails) as n_failed from f group by 1),

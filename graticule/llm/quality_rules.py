@@ -7,7 +7,8 @@ goes if too much of its text went with them.
   than ``symbol_share`` of the line's words;
 * navigation: at least ``menu_parts`` bars, or other menu separators, on a line, and
   one for at most every ``menu_words`` words;
-* boilerplate: one of ``BOILERPLATE`` occurs in the lower-cased line.
+* boilerplate: phrases of ``BOILERPLATE`` make up at least ``phrase_share`` of the
+  lower-cased line's characters, so a paragraph that only mentions one passes.
 
 Lines without a word are neither judged nor counted.  A null or empty text has no
 line; it fails the base rule of 50 words.  Every row is judged by itself, so repeated
@@ -23,6 +24,9 @@ BOILERPLATE = [
     "all rights reserved", "licensed under the", "is licensed under", "terms of service",
     "privacy policy", "cookie policy", "accept cookies", "click here", "subscribe to our newsletter",
     "skip to content", "javascript is disabled",
+    "alle rechte vorbehalten", "datenschutzerklärung", "cookies akzeptieren",
+    "tous droits réservés", "politique de confidentialité", "accepter les cookies",
+    "todos los derechos reservados", "política de privacidad", "aceptar las cookies",
 ]
 
 
@@ -35,14 +39,17 @@ def split_lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.trim(F.translate(x, "\t\x0b\x0c\r", "    ")) != "")
 
 
-def line_fails(line: Column, symbol_share=0.3, menu_parts=3, menu_words=4) -> Column:
+def line_fails(line: Column, symbol_share=0.3, menu_parts=3, menu_words=4,
+               phrase_share=0.2) -> Column:
     words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
     odd = F.regexp_count(line, F.lit(r"[#*$%&|<>]+|!!+|\?\?+"))
     bars = F.regexp_count(line, F.lit("[|»›·]"))
+    low, known = F.lower(line), "|".join(BOILERPLATE)
+    phrases = F.char_length(low) - F.char_length(F.regexp_replace(low, known, ""))
     return (
         (odd > words * symbol_share)
         | ((bars >= menu_parts) & (bars * menu_words >= words))
-        | F.lower(line).rlike("|".join(BOILERPLATE))
+        | (low.rlike(known) & (phrases >= F.char_length(line) * phrase_share))
     )
 
 

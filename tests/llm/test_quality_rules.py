@@ -48,3 +48,11 @@ def test_rows_and_columns_stay(spark):
     clean = quality_rules.keep_good(docs, replace=True).where("doc_id = 22").first()
     assert "rights" not in clean["text"]
     assert quality_rules.keep_good(empty(spark)).count() == 0
+
+
+def test_a_phrase_fails_only_the_lines_it_makes_up(spark):
+    long = "We read the privacy policy of this company and wrote down in our own words what it says about data."
+    lines = ["Privacy policy", "Tous droits réservés.", "Datenschutzerklärung", long, "Nothing to see in here"]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").select(
+        "line", quality_rules.line_fails(F.col("line")).alias("fails")).collect()
+    assert [r["fails"] for r in rows] == [True, True, True, False, False]
