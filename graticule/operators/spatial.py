@@ -145,11 +145,13 @@ def at_most_below(value, bounds):
 def jenks_breaks(df: DataFrame, value, classes=5, bins=2048) -> DataFrame:
     """Natural breaks of all values: one row with ``classes + 1`` break values.
 
-    Up to ``bins`` distinct values are partitioned exactly.  More are put into about
-    as many groups of neighbouring values with count, sum and range; the best
-    partition of the groups is found exactly, the groups on both sides of each break
-    are split further, and this is repeated until the breaks lie between single
-    values.  A pass brings at most a few thousand group sums to the driver.
+    The partition has the least squared deviation that there is, for any number of
+    distinct values.  Up to ``bins`` of them are partitioned as they are.  More are put
+    into that many groups of neighbouring values, of which the driver sees count, sums
+    and range.  The best partition at the groups' ends is one that exists; a lower bound
+    of all partitions with a break inside a group shows which groups cannot hold one
+    (``_narrow``).  The others are cut into about ``bins`` finer ones together, until none
+    of them holds different values.  Usually that takes three or four passes.
     """
     known = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
     spark = df.sparkSession
@@ -157,33 +159,111 @@ def jenks_breaks(df: DataFrame, value, classes=5, bins=2048) -> DataFrame:
     few = known.distinct().limit(bins + 1).toPandas()["v"].tolist()
     if not few:
         return spark.createDataFrame([], schema)
-    starts = set(few)
-    if len(few) > bins:
+    if len(few) <= bins:
+        table = _group_sums(known, few, 0.0)
+        table["open"] = False
+    else:
         at = [i / bins for i in range(1, bins)]
-        starts = set(known.agg(F.percentile_approx("v", at, 20 * bins)).first()[0])
-    while True:
-        group = _between(F.col("v"), sorted(starts))
-        table = known.groupBy(group.alias("b")).agg(
-            F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"),
-            F.min("v").alias("low"), F.max("v").alias("top"),
-        ).toPandas().sort_values("b", ignore_index=True)
-        breaks = _best_partition(table, classes)
-        place = {top: i for i, top in enumerate(table["top"])}
-        beside = {j for t in breaks[:-1] for j in (place[t], place[t] + 1)}
-        wide = [int(table["b"][j]) for j in beside if table["low"][j] < table["top"][j]]
-        if not wide:
-            return spark.createDataFrame(
-                [(classes, [float(table["low"][0])] + breaks)], schema)
-        finer = known.select("v", group.alias("b")).where(F.col("b").isin(wide)).groupBy("b").agg(
-            F.percentile_approx("v", [i / 64 for i in range(1, 64)], 6400).alias("p"),
-            F.max("v").alias("top"))
+        row = known.agg(F.percentile_approx("v", at, 20 * bins).alias("p"), F.avg("v").alias("m")).first()
+        centre = row["m"]  # sums around the mean lose fewer digits
+        table = _group_sums(known, row["p"], centre)
+        table["open"] = table["low"] < table["top"]
+    while table["open"].any():
+        table = _narrow(table, classes, centre)
+        number = table.index[table["open"]].tolist()
+        if not number:
+            break
+        # values of closed groups are not read into the finer sums again
+        inside = known.withColumn("b", _between(F.col("v"), table["low"].tolist()[1:])).where(
+            F.col("b").isin(number))
+        pieces = max(2, bins // len(number))
+        cuts = inside.groupBy("b").agg(F.percentile_approx(
+            "v", [i / pieces for i in range(1, pieces)], 20 * pieces).alias("p")).collect()
         # the largest value of a group becomes one of its own, so every pass goes on
-        for r in finer.collect():
-            starts |= {*r["p"], r["top"]}
+        starts = {*table["low"][number], *table["top"][number], *(v for r in cuts for v in r["p"])}
+        finer = _group_sums(inside, starts, centre)
+        finer["open"] = finer["low"] < finer["top"]
+        table = pd.concat([table.drop(number), finer]).sort_values("low", ignore_index=True)
+    breaks, _ = _best_partition(table, classes)
+    return spark.createDataFrame([(classes, [float(table["low"][0])] + breaks)], schema)
+
+
+def _group_sums(known, starts, centre):
+    """Count, sums around ``centre`` and range of the values from each start to the next."""
+    x = F.col("v") - F.lit(float(centre))
+    return known.groupBy(_between(F.col("v"), sorted(set(starts))).alias("_g")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"),
+        F.min("v").alias("low"), F.max("v").alias("top"),
+    ).drop("_g").toPandas().sort_values("low", ignore_index=True)
+
+
+def _narrow(table, classes, centre):
+    """The groups, those that provably hold no break closed and merged where possible.
+
+    A break inside a group splits its values between the classes on both sides.  A class
+    pays for such a value at least its squared distance from the group's nearer end, and
+    the least sum of these is concave in the numbers on each side, so it is smallest when
+    the whole group is on one side (or in a class of its own, which is free).  Each open
+    group therefore gives two places for a break: one after its values, which then weigh
+    on the class to the left at the group's lower end, and one before them, where they
+    weigh on the class to the right at the upper end.  The best partition through a place
+    bounds all those with a break there; places above the best one known are given up.
+    """
+    n, s, q, low, top = (table[c].to_numpy(float) for c in ("n", "s", "q", "low", "top"))
+    opened, m = table["open"].to_numpy(bool), len(table)
+    sums = [np.concatenate([[0.0], a.cumsum()]) for a in (n, s, q)]
+    # places in order: (first whole group after, first group not whole before,
+    # open group that weighs on the right, on the left), -1 for none
+    places = [(0, 0, -1, -1)]
+    for g in range(m):
+        if opened[g]:
+            places += [(g + 1, g, g, -1), (g + 1, g, -1, g)]
+        places.append((g + 1, g + 1, -1, -1))
+    after, before, right, left = np.array(places).T
+
+    def weights(groups, ends):
+        x, w = ends - centre, np.where(groups < 0, 0.0, n[groups])
+        return w, w * x[groups], w * x[groups] ** 2
+
+    begin = [w - a[after] for w, a in zip(weights(right, top), sums)]
+    end = [w + a[before] for w, a in zip(weights(left, low), sums)]
+
+    def cost(i, j):
+        count, total, square = (b[i] + e[j] for b, e in zip(begin, end))
+        # a class inside one group is free
+        some = (count > 0) & ((right[i] < 0) | (right[i] != left[j]))
+        with np.errstate(all="ignore"):
+            return np.where(some, np.maximum(square - total * total / count, 0.0), 0.0)
+
+    p = len(places)
+    # least cost of at most c classes from the first place, and to the last one
+    upto, onward = np.full((classes + 1, p), np.inf), np.full((classes + 1, p), np.inf)
+    upto[:, 0] = onward[:, p - 1] = 0.0
+    for j in range(1, p):
+        i = np.arange(j)
+        upto[1:, j] = np.minimum.accumulate((upto[:-1, :j] + cost(i, j)).min(axis=1))
+    for i in range(p - 2, -1, -1):
+        j = np.arange(i + 1, p)
+        onward[1:, i] = np.minimum.accumulate((onward[:-1, i + 1:] + cost(i, j)).min(axis=1))
+    bound = (upto + onward[::-1]).min(axis=0)
+    _, best = _best_partition(table, classes)
+    # rounding must not give up a place
+    keep = bound <= best + 1e-12 * (q.sum() - s.sum() ** 2 / n.sum())
+    kept = np.zeros(m, bool)
+    for at in (right, left):
+        kept[at[(at >= 0) & keep]] = True
+    opened &= kept
+    fixed = keep[(right < 0) & (left < 0)][:-1]  # the place before each group
+    fixed[0] = True
+    fixed |= opened
+    fixed[1:] |= opened[:-1]
+    return table.assign(open=opened).groupby(fixed.cumsum()).agg(
+        {"n": "sum", "s": "sum", "q": "sum", "low": "min", "top": "max", "open": "max"}
+    ).reset_index(drop=True)
 
 
 def _best_partition(table, classes):
-    """Upper ends of the classes with the least squared deviation."""
+    """Upper ends of the classes with the least squared deviation, and that deviation."""
     n, s, q = (np.concatenate([[0.0], table[c].to_numpy(float).cumsum()]) for c in "nsq")
     top, m = table["top"].to_numpy(float), len(table)
     classes = min(classes, m)
@@ -204,4 +284,4 @@ def _best_partition(table, classes):
     for cut in reversed(cuts):
         ends.append(top[j - 1])
         j = cut[j]
-    return [float(e) for e in reversed(ends)]
+    return [float(e) for e in reversed(ends)], float(best[m])

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,19 +191,45 @@ def test_no_move_raises_modularity(spark):
     assert {tuple(r) for r in plain.collect()} == {(0, 0), (1, 1), (2, 2)}
 
 
-def test_breaks_beyond_the_bins(spark):
-    rng = np.random.default_rng(8)
-    values = np.round(np.concatenate([rng.exponential(0.01, 380), rng.random(40)]), 9)
-    df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    exact = spatial.jenks_breaks(df, "v", 4, bins=2048).first()["breaks"]
-    coarse = spatial.jenks_breaks(df, "v", 4, bins=24).first()["breaks"]
+def brute_force_breaks(values, classes):
+    """(least squared deviation, breaks) over all partitions of the sorted values."""
+    v, n = np.unique(values, return_counts=True)
+    x = v - values.mean()
+    cn, cs, cq = (np.concatenate([[0.0], np.cumsum(n * x ** k)]) for k in range(3))
+    best, cuts = np.full((classes + 1, len(v) + 1), np.inf), np.zeros((classes + 1, len(v) + 1), int)
+    best[0, 0] = 0.0
+    for j in range(1, len(v) + 1):
+        total = best[:-1, :j] + cq[j] - cq[:j] - (cs[j] - cs[:j]) ** 2 / (cn[j] - cn[:j])
+        cuts[1:, j] = total.argmin(axis=1)
+        best[1:, j] = total.min(axis=1)
+    breaks, j = [], len(v)
+    for k in range(classes, 0, -1):
+        breaks.append(v[j - 1])
+        j = cuts[k, j]
+    return best[classes, -1], [v[0]] + breaks[::-1]
 
-    def cost(breaks):
-        at = np.searchsorted(breaks[1:-1], values, side="left")
-        return sum(((values[at == k] - values[at == k].mean()) ** 2).sum() for k in set(at))
 
-    assert cost(exact) <= cost(coarse) <= 1.02 * cost(exact)
-    assert set(coarse) <= set(values)
+def test_breaks_beyond_the_bins(spark):
+    """Exact for more values than bins: skewed, even, clustered and rounded ones."""
+    rng = np.random.default_rng(8)
+    tables = {
+        "skewed": np.concatenate([rng.exponential(0.01, 380), rng.random(40)]),
+        "even": rng.random(400),
+        "clustered": np.concatenate([rng.normal(k, 0.02, 90) for k in (0, 1, 1.1, 7)]) * 1e6 + 1e9,
+        "repeated": np.round(rng.gamma(0.5, 40, 3000)),
+    }
+    for name, values in tables.items():
+        df = spark.createDataFrame([(float(v),) for v in values], "v double")
+        for classes, bins in ((4, 24), (2, 3)) if name == "skewed" else ((7, 64),):
+            got = spatial.jenks_breaks(df, "v", classes, bins=bins).first()["breaks"]
+            assert got == brute_force_breaks(values, classes)[1], (name, classes, bins)
+
+
+def test_breaks_of_many_values(spark):
+    values = np.random.default_rng(9).exponential(1.0, 20000) ** 3
+    df = spark.createDataFrame(pd.DataFrame({"v": values}))
+    got = spatial.jenks_breaks(df, "v", 5).first()["breaks"]
+    assert got == brute_force_breaks(values, 5)[1]
 
 
 def test_draws_are_one_rule():
