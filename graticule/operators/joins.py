@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 
 def align_layers(layers, key="cell", how="inner") -> DataFrame:
-    """Join single-layer tables on the cell; equal keys share one exchange each."""
+    """Join single-layer tables on the cell.
+
+    Each layer is exchanged once, on the cell; tables of ``layers.save_bucketed`` with the
+    same number of buckets are not exchanged at all.
+    """
     return reduce(lambda a, b: a.join(b, key, how), layers)
 
 

@@ -1,8 +1,9 @@
 """Fitting and scoring per-cell models with Spark ML, importances, ensembles."""
 
 import random
-from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
@@ -147,23 +148,36 @@ def permutation_importance(model, cells: DataFrame, variables, metric=None, labe
                            key="cell", seed=42) -> DataFrame:
     """Baseline score minus the score with one variable shuffled.
 
-    The rows are put in one random order; a variable is shuffled by taking each
-    value from the row a random distance further on (around the end), so every
-    value is used once and all variables share one ranking.
+    The rows are put in one random order; a variable is shuffled by giving each
+    value to the row a random distance further on (around the end), so every
+    value is used once and all variables share one ranking.  Each row sends every
+    variable's value to the row that takes it, so one shuffle on the rank serves all
+    variables, and one scoring pass all tables.
     """
+    variables = list(variables)
     metric = metric if metric is not None else accuracy(label)
-    score = lambda df: score_cells(model, df, key, (label,)).agg(metric.alias("_score"))
     base = durable(hash_rank(cells.select(key, label, *variables), seed, key, into="_rank"))
     n = base.count()
     rng = random.Random(seed)
-    parts = [score(base.drop("_rank")).select(F.lit("baseline").alias("variable"), "_score")]
-    for v in variables:
-        shift = rng.randrange(1, max(n, 2))
-        donor = base.select(
-            (F.pmod(F.col("_rank") - 1 + shift, F.lit(n)) + 1).alias("_rank"), F.col(v).alias(v))
-        mixed = base.drop(v).join(donor, "_rank").drop("_rank")
-        parts.append(score(mixed).select(F.lit(v).alias("variable"), "_score"))
-    scores = reduce(DataFrame.unionByName, parts)
+    shifts = [rng.randrange(1, max(n, 2)) for _ in variables]
+    row = F.struct(key, label, *variables)
+    own = F.struct(F.col("_rank"), F.lit(-1).alias("i"), F.lit(None).cast("double").alias("v"), row.alias("row"))
+    empty = F.lit(None).cast(base.select(row.alias("row")).schema["row"].dataType)
+    # the row a random distance further on takes the value
+    sent = [F.struct(
+        (F.pmod(F.col("_rank") - 1 + s, F.lit(n)) + 1).alias("_rank"), F.lit(i).alias("i"),
+        F.col(v).cast("double").alias("v"), empty.alias("row"))
+        for i, (v, s) in enumerate(zip(variables, shifts))]
+    met = base.select(F.explode(F.array(own, *sent)).alias("_e")).select("_e.*").groupBy("_rank").agg(
+        F.max_by("row", F.col("row").isNotNull()).alias("row"),
+        *[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"_{i}") for i in range(len(variables))])
+    tables = [F.struct(F.lit("baseline").alias("variable"), "row.*")] + [
+        F.struct(F.lit(v).alias("variable"), F.col(f"row.{key}"), F.col(f"row.{label}"), *[
+            (F.col(f"_{i}").cast(base.schema[w].dataType) if w == v else F.col(f"row.{w}")).alias(w)
+            for w in variables]) for i, v in enumerate(variables)]
+    mixed = met.select(F.explode(F.array(*tables)).alias("_t")).select("_t.*")
+    scores = score_cells(model, mixed, key, (label, "variable")).groupBy("variable").agg(
+        metric.alias("_score"))
     baseline = F.max(F.when(F.col("variable") == "baseline", F.col("_score"))).over(
         Window.partitionBy())  # one row per variable
     return scores.withColumn("_base", baseline).select("variable", F.when(
@@ -184,22 +198,36 @@ def random_settings(ranges, n, seed=42):
 
 
 def param_search(estimator, settings, train: DataFrame, validation: DataFrame, variables,
-                 label="y") -> DataFrame:
+                 label="y", parallelism=4) -> DataFrame:
     """Validation loss of each setting (a dict of estimator parameters), best first.
 
     The settings are a short list on the driver; each fit and each loss is a
-    distributed job.  Validation keeps the spatial split instead of a random one.
+    distributed job, and ``parallelism`` of them run at a time, so that small fits
+    fill the cluster together.  Validation keeps the spatial split instead of a random one.
     """
+    spark = train.sparkSession
+    schema = "setting int, parameters string, val_loss double"
+    if not settings:
+        return spark.createDataFrame([], schema)
     pack = VectorAssembler(inputCols=list(variables), outputCol="features")
-    packed, held = pack.transform(train).persist(), pack.transform(validation)
+    packed = pack.transform(train.select(*variables, label)).persist()
+    held = pack.transform(validation.select(*variables, label)).persist()
     maps = [{estimator.getParam(k): v for k, v in s.items()} for s in settings]
-    rows = []
-    for i, model in estimator.fitMultiple(packed, maps):
+    models = estimator.fitMultiple(packed, maps)  # its iterator may be shared by threads
+
+    @inheritable_thread_target(spark)
+    def fit_next(_):
+        i, model = next(models)
         loss = score_cells(model, held, label, ()).agg(log_loss(label)).first()[0]
-        rows.append((i, str(sorted(settings[i].items())), float(loss)))
-    packed.unpersist()
-    return train.sparkSession.createDataFrame(
-        rows, "setting int, parameters string, val_loss double").orderBy("val_loss", "setting")
+        return i, str(sorted(settings[i].items())), float(loss)
+
+    try:
+        with ThreadPool(min(parallelism, len(maps))) as pool:
+            rows = pool.map(fit_next, maps, chunksize=1)
+    finally:
+        packed.unpersist()
+        held.unpersist()
+    return spark.createDataFrame(rows, schema).orderBy("val_loss", "setting")
 
 
 def inverse_error_ensemble(maps: DataFrame, errors: DataFrame, member="model", key="cell"):

@@ -175,6 +175,6 @@ def model_comparison(spark, d):
     return rounded(E.model_comparison(X.scores_multi(spark, d)), "auroc", "ap", "mae")
 
 
-@query("rank_models", f"select model, f1 from ({COMPARISON}) order by f1 desc", ["curve", "best"])
+@query("rank_models", f"select * from ({COMPARISON}) order by f1 desc", ["curve", "best"])
 def rank_models(spark, d):
-    return E.rank_models(E.model_comparison(X.scores_multi(spark, d))).select("model", "f1")
+    return E.rank_models(rounded(E.model_comparison(X.scores_multi(spark, d)), "auroc", "ap", "mae"))

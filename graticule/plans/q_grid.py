@@ -115,16 +115,16 @@ def nearest_distance_gaps(spark, d):
 
 
 view("weights", """
-select cell, nbr from (select a.cell, b.cell as nbr, row_number() over (partition by a.cell
-  order by x.dr * x.dr + w.dc * w.dc, x.dr, w.dc) as rk
+select cell, nbr, rk from (select a.cell, b.cell as nbr, cast(row_number() over (partition by a.cell
+  order by x.dr * x.dr + w.dc * w.dc, x.dr, w.dc) as integer) as rk
   from g a, unnest([-3, -2, -1, 0, 1, 2, 3]) as x(dr), unnest([-3, -2, -1, 0, 1, 2, 3]) as w(dc), g b
   where b.r = a.r + x.dr and b.c = a.c + w.dc and (x.dr <> 0 or w.dc <> 0)
     and x.dr * x.dr + w.dc * w.dc <= 9) where rk <= 8""", ["g"])
 
 
-@query("knn_coords", "select cell, nbr, cast(0.125 as double) as w from weights", ["weights"])
+@query("knn_coords", "select cell, nbr, rk as rank, cast(0.125 as double) as w from weights", ["weights"])
 def knn_coords(spark, d):
-    return distance.knn_coords(X.g(spark, d), 8, X.WIDTH).select("cell", "nbr", "w")
+    return distance.knn_coords(X.g(spark, d), 8, X.WIDTH)
 
 
 # --- rasterising -------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graticule.functions.scaling import minmax_scale, target_scale
 from graticule.operators import evaluation as E
+from graticule.operators import joins
 from graticule.operators import models as M
 from graticule.operators.aggregates import region_stats
 from graticule.plans import fixtures as X
@@ -241,9 +242,14 @@ def report(spark, d):
     return path
 
 
-@query("write_json_report", f"select count(*) as n from ({REPORT_SQL})", ["hazards"])
+@query("write_json_report", f"""
+select region_id, n_pixel, n_hazard_pixels, round(hazard_coverage, 9) as hazard_coverage
+from ({REPORT_SQL})""", ["hazards"])
 def write_json_report(spark, d):
-    return spark.read.text(report(spark, d)).agg(F.count(F.lit(1)).alias("n"))
+    line = lambda name, kind: F.get_json_object("value", f"$.{name}").cast(kind).alias(name)
+    return spark.read.text(report(spark, d)).select(
+        line("region_id", "bigint"), line("n_pixel", "bigint"), line("n_hazard_pixels", "bigint"),
+        F.round(line("hazard_coverage", "double"), 9).alias("hazard_coverage"))
 
 
 @query("read_json_report", REPORT_SQL, ["hazards"])
@@ -297,3 +303,11 @@ def scan_events_csv(spark, d):
     return text.scan_events_csv(spark, path).select(
         "event", "hazard", F.col("starttime").cast("timestamp_ntz").alias("starttime"),
         corner["x"].alias("x"), corner["y"].alias("y"), F.size(F.col("rings")[0]).alias("corners"))
+
+
+@query("align_bucketed", "select cell, price, cust, age, prio from features", ["features"])
+def align_bucketed(spark, d):
+    f = X.features(spark, d)
+    tables = [L.save_bucketed(
+        f.select("cell", n), f"layer_{n}_{uuid.uuid4().hex}", new_path(spark, "bucketed"), 8) for n in VARS]
+    return joins.align_layers(tables)

@@ -126,6 +126,20 @@ def write_layer(df: DataFrame, path, block=256, mode="overwrite"):
     )
 
 
+def save_bucketed(df: DataFrame, name, path, buckets, key="cell"):
+    """Save one layer as table ``name`` under ``path``, bucketed and sorted by the cell.
+
+    Layers with the same ``buckets`` join (``joins.align_layers``) without an exchange:
+    the shuffle is paid here, once a layer, and not in every query.  Each bucket is one
+    file; take as many buckets as keep a file within a few hundred MB.
+    """
+    (
+        df.repartition(buckets, key).write.mode("overwrite")
+        .bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    )
+    return df.sparkSession.table(name)
+
+
 def append_metrics(df: DataFrame, path):
     """Add a run's metrics rows to the table of all runs."""
     df.select(*[F.col(f.name).cast(f.dataType) for f in METRICS.fields]).write.mode(

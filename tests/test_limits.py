@@ -219,7 +219,7 @@ def test_breaks_beyond_the_bins(spark):
         "repeated": np.round(rng.gamma(0.5, 40, 3000)),
     }
     for name, values in tables.items():
-        df = spark.createDataFrame([(float(v),) for v in values], "v double")
+        df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(4)
         for classes, bins in ((4, 24), (2, 3)) if name == "skewed" else ((7, 64),):
             got = spatial.jenks_breaks(df, "v", classes, bins=bins).first()["breaks"]
             assert got == brute_force_breaks(values, classes)[1], (name, classes, bins)
@@ -227,7 +227,7 @@ def test_breaks_beyond_the_bins(spark):
 
 def test_breaks_of_many_values(spark):
     values = np.random.default_rng(9).exponential(1.0, 20000) ** 3
-    df = spark.createDataFrame(pd.DataFrame({"v": values}))
+    df = spark.createDataFrame(pd.DataFrame({"v": values})).repartition(4)
     got = spatial.jenks_breaks(df, "v", 5).first()["breaks"]
     assert got == brute_force_breaks(values, 5)[1]
 

@@ -3,15 +3,18 @@
 import datetime
 import itertools
 import math
+import random
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from graticule.functions.special import gamma_cdf, normal_quantile
-from graticule.operators import cells, climate, graph, models, spatial
+from graticule.operators import cells, climate, graph, joins, models, spatial
 from graticule.operators.aggregates import hazard_stats
+from graticule.operators.ranks import hash_rank
 from graticule.sources import layers, npy, text
 
 
@@ -205,6 +208,24 @@ def test_layer_round_trip(spark, tmp_path):
     assert back.drop("row_block").exceptAll(df.select(*back.drop("row_block").columns)).count() == 0
 
 
+def test_bucketed_layers_join_without_exchange(spark, tmp_path):
+    names = [f"bucketed_{i}" for i in range(4)]
+    tables = [layers.save_bucketed(
+        spark.range(500).selectExpr("id as cell", f"id * {i + 1} as v{i}"), name, str(tmp_path / name), 4)
+        for i, name in enumerate(names)]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        whole = joins.align_layers(tables)
+        plan = whole._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") >= 3 and "Exchange" not in plan
+        assert {tuple(r) for r in whole.collect()} == {(i, i, 2 * i, 3 * i, 4 * i) for i in range(500)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        for name in names:
+            spark.sql(f"drop table {name}")
+
+
 def training(spark):
     rng = np.random.default_rng(8)
     a, b = rng.random(400), rng.random(400)
@@ -223,6 +244,41 @@ def test_models_learn_and_rank_features(spark):
     assert ranked["variable"] == "a"
 
 
+def test_shuffled_variables_are_those_of_the_ranking(spark):
+    """Each variable moves on by its own distance in one random order; missing values too."""
+    df = training(spark).withColumn("b", F.when(F.col("cell") % 7 != 0, F.col("b")))
+    seen = []
+
+    class Spy:
+        def transform(self, cells):
+            seen.append(cells)
+            return cells.withColumn("prediction", F.lit(0.0))
+
+    models.permutation_importance(Spy(), df, ["a", "b"], seed=5)
+    got = seen[0].toPandas().set_index(["variable", "cell"]).sort_index()
+    order = hash_rank(df, 5, "cell", into="k").toPandas().sort_values("k")
+    rng = random.Random(5)
+    for v in ("a", "b"):
+        shift = rng.randrange(1, 400)
+        want = pd.Series(np.roll(order[v].to_numpy(), shift), order["cell"].to_numpy()).sort_index()
+        rows = got.loc[v]
+        assert np.array_equal(rows[v].to_numpy(), want.to_numpy(), equal_nan=True)
+        other = "b" if v == "a" else "a"
+        plain = order.set_index("cell").sort_index()
+        assert np.array_equal(rows[other].to_numpy(), plain[other].to_numpy(), equal_nan=True)
+    assert len(seen) == 1 and len(got) == 3 * 400
+
+
+def test_settings_run_together_as_alone(spark):
+    df = training(spark)
+    settings = models.random_settings({"regParam": (1e-3, 1.0), "elasticNetParam": [0.0, 1.0]}, 5)
+    one, many = (models.param_search(
+        LogisticRegression(labelCol="y"), settings, df.where("cell < 300"), df.where("cell >= 300"),
+        ["a", "b"], parallelism=k).collect() for k in (1, 5))
+    assert one == many and len(one) == 5 and one[0]["val_loss"] == min(r["val_loss"] for r in one)
+    assert models.param_search(LogisticRegression(labelCol="y"), [], df, df, ["a"]).count() == 0
+
+
 def test_random_settings_are_repeatable():
     ranges = {"maxIter": [10, 20], "regParam": (0.0, 1.0)}
     first = models.random_settings(ranges, 5)
