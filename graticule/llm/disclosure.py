@@ -18,9 +18,18 @@ one text have one surroundings and prove nothing: 0.58 bits are left, with two
 surroundings 0.32.  Every occurrence of a disclosing term in the corpus gets a span,
 unless it overlaps a protected entity.
 
+Secrets are entities that no pattern names.  A value is a run of 16 or more letters and
+digits with both in it; its term is the word that it is assigned to (``token = ...``),
+else its first four characters where these are letters (``AKIA...``).  The term's
+documents with a value, over its documents with any run of that length in that place,
+give the rate above, smoothed by the number of different values ``c``; for first
+characters ``c`` must also exceed chance, as hexadecimal values begin alike in one of
+65,536 cases.  A term that leaves at most ``hint_bits`` makes all its values spans of
+kind ``secret``; one that holds an entity of a pattern is a span beside it.
+
 Terms are lower-cased runs of letters outside protected entities.  What the driver
-gathers is a bit filter of fixed
-size; the terms themselves stay in joins.  A null text counts as empty; null and
+gathers is a bit filter of fixed size; the terms themselves stay in joins.  A text is
+searched whole and in linear time, however long it is.  A null text counts as empty; null and
 repeated ids are allowed, as spans depend on the text alone.
 """
 
@@ -37,7 +46,7 @@ from graticule.llm.common import free_name, letters, named
 from graticule.session import durable
 
 KINDS = ["email", "ip", "card", "phone"]
-TERM_KINDS = ["term", "hint"]
+TERM_KINDS = ["term", "hint", "secret"]
 # The patterns of protected entities, with runs of digits entered at
 # their beginning only.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -46,6 +55,12 @@ IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
+# Values long enough for a secret, and what they are assigned to.
+RUN = re.compile("(?<![A-Za-z0-9])[A-Za-z0-9]{16,}")
+ASSIGNED = re.compile(r"""[:=][ \t]{0,3}["'`]?([^\s"'`:=]{16,})""")
+KEY = re.compile(r"""([^\W\d_]{1,40})["'`]?[ \t]{0,3}[:=]?\Z""")
+PREFIX = 4
+CHANCE = 16 / 16 ** PREFIX
 FILTER_BITS = 23
 SPANS = "array<struct<start:bigint,order:int,kind:string,end:bigint>>"
 
@@ -133,10 +148,36 @@ def surroundings(text, spans, reach):
     return out
 
 
+def mixed(run):
+    return not run.isalpha() and not run.isdigit()
+
+
+def claims(text):
+    """{term of a secret: [(hash of the value, start, end)]}; empty where long runs are no values."""
+    out, taken = {}, set()
+    value = lambda m: (xxhash.xxh64_intdigest(m.group(), 1) >> 1, m.start(), m.end())
+    for m in ASSIGNED.finditer(text):
+        key = KEY.search(text, max(0, m.start() - 64), m.start())
+        if key:
+            places = out.setdefault(key.group(1).lower() + "=", [])
+            run = RUN.match(text, m.start(1), m.end(1))
+            if run and mixed(run.group()) and not any(map(str.isalnum, text[run.end():m.end(1)])):
+                places.append(value(run))
+                taken.add(run.start())
+    for m in RUN.finditer(text):
+        start = text[m.start():m.start() + PREFIX]
+        if start.isalpha() and m.start() not in taken:
+            places = out.setdefault(start + "*", [])
+            if mixed(m.group()):
+                places.append(value(m))
+    return out
+
+
 def find(text: Column, reach=8) -> Column:
-    """Struct of the protected spans and of what stands near them."""
+    """Struct of the protected spans, of what stands near them, and of possible secrets."""
     kind = (f"struct<spans:{SPANS},"
-            "near:array<struct<entity:string,term:string,contexts:array<bigint>>>>")
+            "near:array<struct<entity:string,term:string,contexts:array<bigint>>>,"
+            "claims:array<struct<term:string,places:array<struct<value:bigint,start:bigint,end:bigint>>>>>")
 
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -148,14 +189,19 @@ def find(text: Column, reach=8) -> Column:
                 rows.append({
                     "spans": [dict(zip(("start", "order", "kind", "end"), s)) for s in spans],
                     "near": [{"entity": e, "term": t, "contexts": list(c)}
-                             for (e, t), c in near.items()]})
+                             for (e, t), c in near.items()],
+                    "claims": [{"term": t, "places": [dict(zip(("value", "start", "end"), v)) for v in places]}
+                               for t, places in claims(text or "").items()]})
             yield pa.array(rows, pa.struct([
                 ("spans", pa.list_(pa.struct([
                     ("start", pa.int64()), ("order", pa.int32()), ("kind", pa.string()),
                     ("end", pa.int64())]))),
                 ("near", pa.list_(pa.struct([
                     ("entity", pa.string()), ("term", pa.string()),
-                    ("contexts", pa.list_(pa.int64()))])))]))
+                    ("contexts", pa.list_(pa.int64()))]))),
+                ("claims", pa.list_(pa.struct([
+                    ("term", pa.string()), ("places", pa.list_(pa.struct([
+                        ("value", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])))])))]))
 
     return run(text)
 
@@ -257,33 +303,53 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text, hint_bits=0.5, ter
         F.substring_index("b.entity", ":", 1).alias("entity_kind")))
 
 
+def secret_terms(found: DataFrame, hint_bits=0.5, unseen=0.5) -> DataFrame:
+    """Terms whose long runs are secrets, one row each."""
+    claim = found.select(F.explode("claims").alias("x")).select("x.term", "x.places")
+    values = claim.select("term", F.explode("places").alias("p")).select("term", "p.value").distinct()
+    counts = durable(values.groupBy("term").agg(F.count(F.lit(1)).alias("values")))
+    free = F.col("term").endswith("*")
+    chance = CHANCE * (counts.where(free).agg(F.sum("values")).first()[0] or 0)
+    seen = F.col("values") / (F.col("values") + unseen + F.when(free, F.lit(chance)).otherwise(0.0))
+    rates = claim.groupBy("term").agg(F.avg((F.size("places") > 0).cast("double")).alias("rate"))
+    # terms without any value have no row among the counts
+    return durable(rates.join(counts, "term").where(-F.log2(F.col("rate") * seen) <= hint_bits).select("term"))
+
+
 def find_spans(docs: DataFrame, key="doc_id", text="text", reach=8, **limits) -> DataFrame:
     """(key, _text, base, spans): one row per row of ``docs``.
 
-    ``base`` holds the protected spans, ``spans`` these and the disclosing terms, both
-    sorted by start and kind; ``_text`` is a hash of the text.
+    ``base`` holds the protected spans, ``spans`` these, the disclosing terms and the
+    secrets, both sorted by start and kind; ``_text`` is a hash of the text.
     """
     found = durable(docs.select(
         named(key).alias(key), F.md5(F.coalesce(named(text), F.lit("")).cast("binary")).alias("_text"),
         find(named(text), reach).alias("f")).select(key, "_text", "f.*"))
-    terms = disclosing_terms(found, docs, text, **limits)
     base = found.select(key, "_text", F.col("spans").alias("base"))
-    if terms.isEmpty():
-        return base.withColumn("spans", F.col("base"))
-    bits = term_filter(terms)
-    placed = docs.select(
-        named(key).alias("_key"), F.md5(F.coalesce(named(text), F.lit("")).cast("binary")).alias("_md5"),
-        F.explode(occurrences(named(text), bits)).alias("o")).select("_key", "_md5", "o.*")
-    order = F.when(F.col("kind") == "term", F.lit(len(KINDS))).otherwise(F.lit(len(KINDS) + 1))
-    marks = placed.join(terms, "term").groupBy("_key", "_md5").agg(F.collect_set(F.struct(
-        "start", order.cast("int").alias("order"),
-        F.concat("kind", F.when(F.col("kind") == "hint", F.concat(F.lit("/"), "entity_kind"))
-                 .otherwise("")).alias("kind"), "end")).alias("_marks"))
+    order = lambda kind: F.lit(len(KINDS) + TERM_KINDS.index(kind)).cast("int")
+    secrets = found.select(F.col(key).alias("_key"), F.col("_text").alias("_md5"), F.explode("claims").alias("x")).join(
+        secret_terms(found, **{k: v for k, v in limits.items() if k != "term_bits"}), F.col("x.term") == F.col("term")
+    ).select("_key", "_md5", F.explode("x.places").alias("p")).select(
+        "_key", "_md5", "p.start", order("secret").alias("order"), F.lit("secret").alias("kind"), "p.end")
+    terms = disclosing_terms(found, docs, text, **limits)
+    marks = secrets
+    if not terms.isEmpty():
+        placed = docs.select(
+            named(key).alias("_key"), F.md5(F.coalesce(named(text), F.lit("")).cast("binary")).alias("_md5"),
+            F.explode(occurrences(named(text), term_filter(terms))).alias("o")).select("_key", "_md5", "o.*")
+        hint = F.col("kind") == "hint"
+        marks = secrets.unionByName(placed.join(terms, "term").select(
+            "_key", "_md5", "start", F.when(hint, order("hint")).otherwise(order("term")).alias("order"),
+            F.concat("kind", F.when(hint, F.concat(F.lit("/"), "entity_kind")).otherwise("")).alias("kind"), "end"))
+    marks = marks.groupBy("_key", "_md5").agg(
+        F.collect_set(F.struct("start", "order", "kind", "end")).alias("_marks"))
     joined = base.join(marks, F.col(key).eqNullSafe(F.col("_key")) & (
         F.col("_text") == F.col("_md5")), "left")
     free = F.filter(
         F.coalesce("_marks", F.array().cast(SPANS)),
-        lambda m: ~F.exists("base", lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])))
+        lambda m: ~F.exists("base", lambda b: F.when(
+            m["kind"] == "secret", (b["start"] <= m["start"]) & (m["end"] <= b["end"])).otherwise(
+            (m["start"] < b["end"]) & (b["start"] < m["end"]))))
     return joined.select(
         key, "_text", "base", F.sort_array(F.concat("base", free)).alias("spans"))
 
@@ -300,7 +366,7 @@ def written(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """Texts with spans replaced: entities and hints by their kind, terms by nothing.
+    """Texts with spans replaced: entities, secrets and hints by their kind, terms by nothing.
 
     Overlapping spans are replaced together, by the kind of the first.
     """
