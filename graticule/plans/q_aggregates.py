@@ -177,6 +177,17 @@ def kde_1d(spark, d):
     return out.select("y", place, F.round("density", 6).alias("density"))
 
 
+@query("kde_1d_within", """
+with s as (select y, count(*) as n, stddev_samp(p) * pow(count(*), -0.2) as h from scores group by 1)
+select s.y, i, round(sum(exp(-0.5 * ((i / 49.0 - p) / h) * ((i / 49.0 - p) / h)))
+  / (max(n) * max(h) * sqrt(2 * pi())), 6) as density
+from scores join s on scores.y = s.y cross join range(50) t(i) group by 1, 2""", ["scores"])
+def kde_1d_within(spark, d):
+    out = A.kde_1d_within(X.scores(spark, d), "p", 0.0, 1.0, 50, 1e-10, ["y"])
+    place = F.round(F.col("x") * 49).cast("long").alias("i")
+    return out.select("y", place, F.round("density", 6).alias("density"))
+
+
 @query("kde_2d", """
 with s as (select count(*) as n, var_samp(price) as sxx, var_samp(age) as syy,
   covar_samp(price, age) as sxy, min(price) as x0, max(price) as x1, min(age) as y0,

@@ -65,6 +65,35 @@ def test_densities(spark):
     assert aggregates.kde_2d(same.limit(0), "x", "y").count() == 0
 
 
+@pytest.mark.parametrize("tolerance", [1e-3, 1e-6, 1e-11])
+def test_density_within_tolerance(spark, tolerance):
+    """Skewed values, far ones, few and equal ones, empty tables."""
+    rng = np.random.default_rng(4)
+    sets = {"normal": rng.normal(0.4, 0.2, 3000), "skewed": rng.lognormal(-2, 1.5, 2000),
+            "far": np.append(rng.normal(0.5, 0.1, 50), [1e6, -1e6]), "narrow": rng.normal(0.5, 1e-4, 300),
+            "two": np.array([0.1, 0.9]), "outside": rng.normal(90, 0.1, 100), None: rng.uniform(0, 1, 400)}
+    rows = [(k, float(v)) for k, vs in sets.items() for v in vs]
+    rows += [("one", 0.5), ("same", 0.3), ("same", 0.3), ("same", None), ("null", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    out = aggregates.kde_1d_within(df, "v", 0.0, 1.0, 41, tolerance, ["k"]).collect()
+    assert len(out) == 41 * (len(sets) + 2)
+    got = {(r["k"], round(r["x"] * 40)): r["density"] for r in out}
+    for k, v in sets.items():
+        h = v.std(ddof=1) * len(v) ** -0.2
+        peak = 1 / (h * math.sqrt(2 * math.pi))
+        for i in range(41):
+            want = np.exp(-0.5 * ((i / 40 - v) / h) ** 2).mean() * peak
+            assert abs(got[k, i] - want) <= tolerance * peak + 1e-13 * peak, (k, i)
+    assert got["one", 0] is None and got["same", 3] is None
+    v = sets["normal"]
+    alone = df.where("k = 'normal'").select("v")
+    plain = aggregates.kde_1d_within(alone, "v", 0.0, 1.0, 41, tolerance).collect()
+    assert len(plain) == 41
+    for r in plain:
+        assert r["density"] == pytest.approx(got["normal", round(r["x"] * 40)], abs=1e-9)
+    assert aggregates.kde_1d_within(df.limit(0), "v", 0.0, 1.0, keys=["k"]).count() == 0
+
+
 def test_yeo_johnson_outside_first_bracket(spark):
     rng = np.random.default_rng(1)
     x = 30 - rng.exponential(1.0, 400)
