@@ -233,7 +233,7 @@ def param_search(estimator, settings, train: DataFrame, validation: DataFrame, v
     if not settings:
         return spark.createDataFrame([], schema)
     pack = VectorAssembler(inputCols=list(variables), outputCol="features")
-    packed = pack.transform(train.select(*variables, label)).persist()
+    packed = spread(pack.transform(train.select(*variables, label)))
     held = pack.transform(validation.select(*variables, label)).persist()
     maps = [{estimator.getParam(k): v for k, v in s.items()} for s in settings]
     models = estimator.fitMultiple(packed, maps)  # its iterator may be shared by threads
