@@ -97,7 +97,7 @@ def sorted_orders(reps: DataFrame, k, orders, block, seed, rows_per_task=50_000)
     return _merge(ranged.select("_rep", "_f", "_order").mapInArrow(compare, PAIRS), k)
 
 
-def descend(best: DataFrame, reps: DataFrame, k) -> DataFrame:
+def descend(best: DataFrame, reps: DataFrame, k, rows_per_task=400_000) -> DataFrame:
     """One round: rows that share a neighbour, or are one's neighbours, are compared.
 
     A row's list goes both ways; of the rows that name it, the ``k`` nearest count.
@@ -107,23 +107,37 @@ def descend(best: DataFrame, reps: DataFrame, k) -> DataFrame:
         "_v", "_rep")
     own = reps.select(F.col("_rep").alias("_v"), "_rep")
     members = forward.unionByName(reverse).unionByName(own).distinct()
-    lists = members.join(reps.select("_rep", "_f"), "_rep").groupBy("_v").agg(
-        F.collect_list(F.struct("_rep", "_f")).alias("_m"))  # at most 1 + 2 k rows
+    # a list is at most 1 + 2 k rows; a task streams them and holds one
+    lists = members.join(reps.select("_rep", "_f"), "_rep").select("_v", "_rep", "_f")
+    tasks = max(1, -(-lists.count() // rows_per_task))
+    sorted_lists = lists.repartition(tasks, "_v").sortWithinPartitions("_v", "_rep")
 
     def compare(batches):
-        for batch in batches:
-            out = []
-            for row in batch.column("_m"):
-                ids = row.values.field("_rep").to_numpy(zero_copy_only=False)
-                x = row.values.field("_f").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-                d = distances(x, x)
+        held = None  # the rows of a list that may go on in the next batch
+
+        def search(table):
+            which, ids, x = (*(table.column(c).to_numpy() for c in ("_v", "_rep")), _vectors(table))
+            ends = np.flatnonzero(np.diff(which)) + 1
+            for rows in np.split(np.arange(len(ids)), ends):
+                d = distances(x[rows], x[rows])
                 np.fill_diagonal(d, np.inf)
-                i, j = _pick(ids, d, k)
-                out.append((ids[i], ids[j], d[i, j]))
-            if out:
-                yield _pairs(*(np.concatenate(c) for c in zip(*out)))
+                i, j = _pick(ids[rows], d, k)
+                yield _pairs(ids[rows][i], ids[rows][j], d[i, j])
 
-    found = lists.select("_m").mapInArrow(compare, PAIRS)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            which = table.column("_v").to_numpy()
+            full = int(np.flatnonzero(which != which[-1])[-1]) + 1 if (which != which[-1]).any() else 0
+            if full:
+                yield from search(table.slice(0, full))
+            held = table.slice(full)
+        if held is not None:
+            yield from search(held)
+
+    found = sorted_lists.mapInArrow(compare, PAIRS)
     return _merge(found.unionByName(best), k)
 
 
