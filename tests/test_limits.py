@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graticule.functions import geometry, scaling
 from graticule.operators import (
-    aggregates, climate, distance, graph, joins, models, rasterize, resample, spatial)
+    aggregates, climate, distance, graph, joins, models, modularity, rasterize, resample, spatial)
 
 
 def test_hazard_without_region(spark):
@@ -220,6 +220,41 @@ def test_no_move_raises_modularity(spark):
     assert {tuple(r) for r in plain.collect()} == {(0, 0), (1, 1), (2, 2)}
 
 
+def test_rounds_without_a_move_are_few(spark, monkeypatch):
+    """One round shows that no node moves, and communities that stay are not merged again."""
+    counts = {"rounds": 0, "settled": 0, "merges": 0}
+
+    def counted(name, key):
+        old = getattr(modularity, name)
+
+        def run(*args, **kwargs):
+            counts[key] += 1
+            return old(*args, **kwargs)
+        monkeypatch.setattr(modularity, name, run)
+
+    for name, key in (("_best_moves", "rounds"), ("settle", "settled"), ("merge", "merges")):
+        counted(name, key)
+    clique = lambda ids: [(a, b) for a in ids for b in ids if a < b]
+    edges = clique(range(0, 6)) + clique(range(10, 17)) + [(5, 10)]
+    nodes = spark.createDataFrame([(i,) for i in [*range(6), *range(10, 17), 99]], "id long")
+    trace = []
+    got = {r["id"]: r["community"] for r in graph.communities(
+        nodes, spark.createDataFrame(edges, "src long, dst long"), trace=trace).collect()}
+    assert got == {**{i: 0 for i in range(6)}, **{i: 10 for i in range(10, 17)}, 99: 99}
+    assert counts["rounds"] - len(trace) <= counts["settled"] and counts["merges"] == 1, (counts, trace)
+
+
+def test_a_node_bound_by_its_name_leaves(spark):
+    """Node 0 names its community and is better off alone: the other name sets it free."""
+    links = spark.createDataFrame(
+        [(1, 2, 9), (2, 1, 9), (0, 7, 1), (7, 0, 1)], "src long, dst long, w long")
+    state = spark.createDataFrame(
+        [(0, 0, 1), (1, 0, 9), (2, 0, 9), (7, 7, 60)], "id long, com long, k long")
+    got, moved = modularity.settle(links, state, 38)
+    coms = {r["id"]: r["com"] for r in got.collect()}
+    assert moved and coms[0] not in (coms[1], coms[7]) and coms[1] == coms[2]
+
+
 def brute_force_breaks(values, classes):
     """(least squared deviation, breaks) over all partitions of the sorted values."""
     v, n = np.unique(values, return_counts=True)
