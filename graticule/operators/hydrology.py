@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graticule.operators import rims
+from graticule.operators import rims, stream_order
 from graticule.operators.focal import TILE, focal_apply, windows
 from graticule.operators.terrain import flow_direction
 from graticule.session import durable
@@ -99,11 +99,7 @@ def flow_accumulation(flow: DataFrame, value=None, into="upstream", tile=TILE) -
     amount = F.lit(1.0) if value is None else F.col(value).cast("double")
     if {"r", "c"} <= set(flow.columns):
         paths = rims.tile_paths(flow, amount, tile)
-        forest = rims.exit_forest(paths, tile)
-        entries = forest.where("below is not null").select("cell", "below", "row", "col")
-        inflow = flow_accumulation(forest, "total", "gain").join(entries, "cell").groupBy(
-            F.col("below").alias("cell"), "row", "col").agg(F.sum("gain").alias("gain"))
-        return rims.enter_tiles(paths, inflow, into, tile)
+        return _tile_sums(paths, rims.exit_forest(paths, tile), into, tile)
     start = flow.select("cell", F.col("parent").alias("jump"), amount.alias("acc"))
 
     def step(state):
@@ -119,6 +115,13 @@ def flow_accumulation(flow: DataFrame, value=None, into="upstream", tile=TILE) -
     return done.select("cell", F.col("acc").alias(into))
 
 
+def _tile_sums(paths, forest, into, tile):
+    entries = forest.where("below is not null").select("cell", "below", "row", "col")
+    inflow = flow_accumulation(forest.select("cell", "parent", "total"), "total", "gain").join(
+        entries, "cell").groupBy(F.col("below").alias("cell"), "row", "col").agg(F.sum("gain").alias("gain"))
+    return rims.enter_tiles(paths, inflow, into, tile)
+
+
 def basins(flow: DataFrame, tile=TILE) -> DataFrame:
     """Outlet of each cell, by tiles if the cells have ``r`` and ``c``.
 
@@ -127,8 +130,7 @@ def basins(flow: DataFrame, tile=TILE) -> DataFrame:
     """
     if {"r", "c"} <= set(flow.columns):
         paths = rims.tile_paths(flow, F.lit(0.0), tile)
-        ends = basins(rims.exit_forest(paths, tile)).withColumnRenamed("cell", "exit")
-        return paths.select("cell", "exit").join(ends, "exit").select("cell", "outlet")
+        return _tile_basins(paths, rims.exit_forest(paths, tile))
     start = flow.select(
         "cell", F.col("parent").alias("jump"),
         F.when(F.col("parent").isNull(), F.col("cell")).alias("outlet"))
@@ -142,6 +144,11 @@ def basins(flow: DataFrame, tile=TILE) -> DataFrame:
     return _doubling(durable(start), step, F.col("jump").isNotNull()).select("cell", "outlet")
 
 
+def _tile_basins(paths, forest):
+    ends = basins(forest.select("cell", "parent")).withColumnRenamed("cell", "exit")
+    return paths.select("cell", "exit").join(ends, "exit").select("cell", "outlet")
+
+
 def cell_area(row: Column, top, resolution) -> Column:
     """Area in km2 of a cell of a geographic grid: narrower towards the poles.
 
@@ -163,27 +170,34 @@ def drainage(df: DataFrame, z="z", width=None, top=0.0, resolution=1.0, limit=10
     flow = durable(flow_direction(filled, "filled", width, tile, flats=True).join(
         filled.select("cell", F.col("filled")), "cell").withColumn(
         "area", cell_area(F.col("r"), top, resolution)))
-    upstream = durable(flow_accumulation(flow, "area", "upstream_km2"))
-    streams = durable(stream_cells(flow, upstream, limit, "upstream_km2"))
-    return flow, upstream, basins(flow), streams.join(strahler(streams), "cell")
+    paths = rims.tile_paths(flow, F.col("area"), tile)
+    forest = rims.exit_forest(paths, tile)
+    upstream = durable(_tile_sums(paths, forest, "upstream_km2", tile))
+    streams = durable(stream_cells(flow, upstream, limit, "upstream_km2", carry=("r", "c")))
+    return flow, upstream, _tile_basins(paths, forest), streams.drop("r", "c").join(
+        strahler(streams, tile), "cell")
 
 
-def stream_cells(flow: DataFrame, upstream: DataFrame, limit, area="upstream") -> DataFrame:
+def stream_cells(flow: DataFrame, upstream: DataFrame, limit, area="upstream", carry=()) -> DataFrame:
     """Stream links (cell, parent): cells with more than ``limit`` upstream.
 
-    A stream cell's parent carries at least as much, so it is a stream cell too.
+    A stream cell's parent carries at least as much, so it is a stream cell too.  ``carry``
+    names further columns of ``flow`` to keep.
     """
-    return flow.join(upstream.where(F.col(area) > limit), "cell").select("cell", "parent", area)
+    return flow.join(upstream.where(F.col(area) > limit), "cell").select("cell", "parent", area, *carry)
 
 
-def strahler(streams: DataFrame) -> DataFrame:
+def strahler(streams: DataFrame, tile=TILE) -> DataFrame:
     """Stream order of each cell of a network (cell, parent).
 
-    Cells of order > s are those at or below a meeting of two branches of order
+    With the cells' ``r`` and ``c`` tiles are solved whole (see ``stream_order``).  Without,
+    cells of order > s are those at or below a meeting of two branches of order
     >= s.  Starting from all cells, each pass marks the meetings, sends the mark
     downstream by flow accumulation, and keeps the marked cells.  A pass works on
     the part that is left, which shrinks from order to order.
     """
+    if {"r", "c"} <= set(streams.columns):
+        return stream_order.tile_orders(streams, tile)
     network = durable(streams.select("cell", "parent"))
     levels = network.select("cell", F.lit(1).alias("level"))
     for level in itertools.count(2):  # each pass has fewer meetings than the one before

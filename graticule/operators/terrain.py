@@ -127,14 +127,25 @@ def _shifted(grid, fill=np.nan):
 
 def _distances(start, level):
     """Steps from the ``start`` cells (with their steps so far) over cells of equal height."""
-    same = _shifted(level) == level
-    found = np.where(np.isnan(start), np.inf, start)
-    while True:
-        near = np.where(same, _shifted(found, np.inf), np.inf).min(axis=0) + 1
-        new = np.minimum(found, near)
-        if np.array_equal(new, found):
-            return np.where(np.isinf(found), np.nan, found)
-        found = new
+    wide = np.pad(level, 1, constant_values=np.nan)
+    side, height = wide.shape[1], wide.ravel()
+    near = np.array([dr * side + dc for dr, dc in NEIGHBOURS])
+    found = np.pad(np.where(np.isnan(start), np.inf, start), 1, constant_values=np.inf).ravel()
+    given = np.flatnonzero(np.isfinite(found))
+    given = given[np.argsort(found[given], kind="stable")]
+    steps, taken, new = found[given], 0, given[:0]
+    while len(new) or taken < len(given):  # from the nearest cells outwards
+        now = found[new[0]] if len(new) else steps[taken]
+        upto = np.searchsorted(steps, now, "right")
+        at = np.concatenate([new, given[taken:upto]])
+        taken = max(taken, upto)
+        at = at[found[at] == now]
+        to = at[:, None] + near
+        to = to[(height[to] == height[at][:, None]) & (found[to] > now + 1)]
+        new = np.unique(to)
+        found[new] = now + 1
+    out = found.reshape(wide.shape)[1:-1, 1:-1]
+    return np.where(np.isinf(out), np.nan, out)
 
 
 def _with_flats(df, z, width, tile):
@@ -144,8 +155,9 @@ def _with_flats(df, z, width, tile):
     flat neighbour with the smallest ``2 * toward - away``: steps to such a cell, and
     steps from higher ground.  Heights stay as they are, and since the next cell on a
     shortest way out always has a smaller number, paths end.  Distances are found in
-    whole tiles; only flat cells take part, and tiles exchange their rims until none
-    changes, which takes as many rounds as the tiles that a flat reaches across.
+    whole tiles; only flat cells take part.  Flats inside one tile are done at once; for the
+    others tiles exchange their rims until none changes, which takes as many rounds as the
+    tiles that a flat reaches across.
     """
     number, whole = T.DoubleType(), T.LongType()
 
@@ -164,6 +176,15 @@ def _with_flats(df, z, width, tile):
                 "_toward": np.where(flat & ways.any(axis=0), 1.0, np.nan),
                 "_away": np.where(flat & higher, 1.0, np.nan)}
 
+    def alone(present, grids):
+        core, level = (slice(1, -1), slice(1, -1)), grids[z]
+        outside = np.zeros(level.shape)
+        outside[core] = np.nan
+        new = {n: _distances(grids[n], level) for n in ("_toward", "_away")}
+        return {z: level[core], **choose(present, {**grids, **new}), "_old": grids["_way"][core],
+                **{n: new[n][core] for n in new},
+                "_open": (~np.isnan(_distances(outside, np.where(present, level, np.nan))))[core].astype("int64")}
+
     def further(present, grids):
         core = (slice(1, -1), slice(1, -1))
         new = {n: _distances(grids[n], grids[z])[core] for n in ("_toward", "_away")}
@@ -180,9 +201,11 @@ def _with_flats(df, z, width, tile):
 
     kinds = {z: number, "_way": number, "_flat": whole, "_toward": number, "_away": number}
     ground = stored(focal_apply(df.select("cell", "r", "c", z), [z], first, kinds, 2, tile))
-    flat = ground.where("_flat = 1").drop("_flat")
-    kinds = {z: number, "_way": number, "_toward": number, "_away": number, "_changed": whole}
     columns = [z, "_way", "_toward", "_away"]
+    kinds = {z: number, "_way": number, "_old": number, "_toward": number, "_away": number, "_open": whole}
+    inside = stored(focal_apply(ground.where("_flat = 1"), columns, alone, kinds, 1, tile))
+    flat = inside.where("_open = 1").select("cell", "r", "c", z, F.col("_old").alias("_way"), "_toward", "_away")
+    kinds = {z: number, "_way": number, "_toward": number, "_away": number, "_changed": whole}
     while True:
         after = stored(focal_apply(flat, columns, further, kinds, 1, tile))
         discard(flat)
@@ -190,7 +213,8 @@ def _with_flats(df, z, width, tile):
         if flat.where("_changed = 1").isEmpty():
             break
     routed = focal_apply(flat, columns, choose, {"_way": number}, 1, tile)
-    every = ground.where("_flat = 0").select("cell", "r", "c", "_way").unionByName(routed)
+    every = ground.where("_flat = 0").unionByName(inside.where("_open = 0"), allowMissingColumns=True).select(
+        "cell", "r", "c", "_way").unionByName(routed)
     step = F.get(F.array(*[F.lit(int(s)) for s in _steps(width)]), F.col("_way").cast("int"))
     return every.select(
         "cell", "r", "c", F.pow(F.lit(2.0), F.col("_way")).cast("bigint").alias("direction"),

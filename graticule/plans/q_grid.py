@@ -346,7 +346,7 @@ ord(cell, k) using key (cell) as (
 select cell, k as strahler from ord""", ["flow"])
 def strahler(spark, d):
     f = flow(spark, d)
-    return hydrology.strahler(hydrology.stream_cells(f, hydrology.flow_accumulation(f), 2))
+    return hydrology.strahler(hydrology.stream_cells(f, hydrology.flow_accumulation(f), 2, carry=("r", "c")))
 
 
 @query("drainage_chain", """

@@ -184,6 +184,44 @@ def test_sums_over_tiles(spark, grid):
         assert ends == {x.cell: x.outlet for x in hydrology.basins(plain).collect()}
 
 
+def orders_by_hand(links):
+    """Strahler orders of (cell, parent) rows, cell by cell; a row that comes twice is two branches."""
+    above, order = {}, {}
+    for cell, parent in links:
+        above.setdefault(parent, []).append(cell)
+
+    def of(cell):
+        if cell not in order:
+            near = sorted((of(x) for x in above.get(cell, [])), reverse=True)
+            order[cell] = 1 if not near else near[0] + (near.count(near[0]) > 1)
+        return order[cell]
+
+    return {cell: of(cell) for cell, _ in links}
+
+
+def test_stream_orders_over_tiles(spark, monkeypatch):
+    """Random trees on a grid; the cells are read twice, not once for each order and doubling."""
+    monkeypatch.setattr(hydrology, "_doubling", None)
+    rng = np.random.default_rng(8)
+    n, links = 40, []
+    for r in range(n):
+        for c in range(n):
+            dr, dc = [(1, -1), (1, 0), (1, 1), (0, 1)][rng.choice(4, p=[0.2, 0.2, 0.2, 0.4])]
+            inside = r + dr < n and 0 <= c + dc < n
+            links.append((r * n + c, (r + dr) * n + c + dc if inside else None, r, c))
+    some = [x for x in links if rng.random() < 0.9 or x[1] is None]
+    known = {x[0] for x in some}
+    some = [(a, b if b in known else None, r, c) for a, b, r, c in some]
+    twice = some + [x for x in some if x[0] % 97 == 5]
+    for rows in (some, twice):
+        want = orders_by_hand([x[:2] for x in rows])
+        df = spark.createDataFrame(rows, "cell long, parent long, r long, c long")
+        for tile in (3, 64) if rows is some else (5,):
+            got = hydrology.strahler(df, tile=tile).collect()
+            assert len(got) == len(want) and {x.cell: x.strahler for x in got} == want
+    assert max(want.values()) > 3
+
+
 def test_drainage(spark, grid):
     filled = hydrology.fill_depressions(spark.createDataFrame(grid), gradient=1e-4, tile=64)
     flow = terrain.flow_direction(filled.select("cell", "r", "c", F.col("filled").alias("z")), "z", W)
