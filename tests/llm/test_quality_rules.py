@@ -58,3 +58,25 @@ def test_a_phrase_fails_only_the_lines_it_makes_up(spark):
     rows = spark.createDataFrame([(x,) for x in lines], "line string").select(
         "line", quality_rules.line_fails(F.col("line")).alias("fails")).collect()
     assert [r["fails"] for r in rows] == [True, True, True, False, False]
+
+
+def test_repeats_without_sorting_or_matching_all_words(spark):
+    """Windows are compared by hashes, and lines without a mark are not counted word by word."""
+    texts = ["a b c a b c a b", "a b c d", "a b", "", "x a b c y a b c z", "a a a a a", "b c b c b c d",
+             " ".join(f"w{i % 700}" for i in range(1500))]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select(
+        "text", quality_rules.repeated_words(quality_rules.split_words(F.col("text"))).alias("n"))
+    assert [r["n"] for r in rows.collect()] == [brute(x)[4] for x in texts]
+    plan = str(rows._jdf.queryExecution().analyzed())
+    assert "xxhash64" in plan
+    judged = quality_rules.judge(F.lit("a b"))
+    plan = str(spark.range(1).select(judged.alias("j"))._jdf.queryExecution().analyzed())
+    assert "translate(" not in plan  # slow for each character
+
+
+def test_equal_hashes_of_different_windows(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules.F, "xxhash64", lambda *a: F.lit(5).cast("bigint"))
+    texts = ["a b c d e f a b c", "a b c d e f", "a b c a b c"]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select(
+        quality_rules.repeated_words(quality_rules.split_words(F.col("text"))).alias("n")).collect()
+    assert [r["n"] for r in rows] == [brute(x)[4] for x in texts]
