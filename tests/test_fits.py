@@ -2,10 +2,44 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.sql import functions as F
 
-from graticule.operators import lbfgs, models
+from graticule.operators import dense_net, lbfgs, models
+
+
+def rows(spark, n=1500, parts=3):
+    h = lambda k: (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 1000.0)
+    df = spark.range(0, n, 1, parts).select("id", h(1).alias("a"), h(2).alias("b"), h(3).alias("e"))
+    return df.withColumn("y", (F.col("a") + F.col("b") * F.col("b") + F.col("e") / 4 > 1.1).cast("int"))
+
+
+def test_dense_net_takes_spark_steps(spark):
+    """Stacks end in each partition, and the last one of each is not a whole one."""
+    df, names = rows(spark), ["a", "b"]
+    spark_net = MultilayerPerceptronClassifier(labelCol="y", layers=[2, 5, 4, 2], maxIter=12, seed=42)
+    want = models.assembled(spark_net, names).fit(df).stages[-1].weights.toArray()
+    start = models.assembled(spark_net.copy({spark_net.maxIter: 0}), names).fit(df).stages[-1].weights.toArray()
+    got = dense_net.trained_weights(df, names, "y", start, [2, 5, 4, 2], 12)
+    assert np.allclose(got, want, rtol=1e-6, atol=1e-8) and not np.allclose(start, want, atol=1e-3)
+
+
+def test_dense_net_is_a_spark_model(spark, tmp_path):
+    df, names = rows(spark), ["a", "b"]
+    model = models.fit_mlp(df, names, hidden=(6,), iterations=30)
+    models.save_model(model, str(tmp_path / "net"))
+    again = models.score_cells(models.load_model(str(tmp_path / "net")), df, "id", ("y",))
+    got = models.score_cells(model, df, "id", ("y",)).withColumnRenamed("p", "q").join(again, "id").toPandas()
+    assert (got["p"] == got["q"]).all() and len(got) == 1500
+    hit = again.where((F.col("p") > 0.5) == (F.col("y") == 1)).count()
+    assert hit > 1300
+
+
+def test_dense_net_refuses_missing_values(spark):
+    for bad in (F.lit(None).cast("double"), F.lit(float("nan"))):
+        df = rows(spark).withColumn("a", F.when(F.col("id") == 7, bad).otherwise(F.col("a")))
+        with pytest.raises(Exception, match="missing or NaN"):
+            models.fit_mlp(df, ["a", "b"], hidden=(3,), iterations=2)
 
 
 def patches(spark):
